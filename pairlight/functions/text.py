@@ -86,5 +86,5 @@ def name_problem(name: Column) -> Column:
     return (
         F.when(clean == "", F.lit(vocab.NAME_EMPTY))
         .when(F.length(clean) > vocab.MAX_NAME_CHARS, F.lit(vocab.NAME_TOO_LONG % vocab.MAX_NAME_CHARS))
-        .when(~clean.rlike("(?U)" + vocab.NAME_PATTERN), F.lit(vocab.NAME_BAD_CHARS))
+        .when(~clean.rlike(rf"^(?:[{vocab.NAME_CHARS}]|{SPACE})+\z"), F.lit(vocab.NAME_BAD_CHARS))
     )

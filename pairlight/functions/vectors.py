@@ -40,7 +40,8 @@ class ModelEmbedder:
     """Embedding by a model that `load` builds once per Python worker.
 
     `load` returns a function from a list of texts to a list of vectors. It is
-    called on the workers, so a model is never sent from the driver.
+    called on the workers, so a model is never sent from the driver. Rows
+    without text get no vector and do not reach the model.
     """
 
     def __init__(self, load: Callable[[], Callable[[list[str]], list[list[float]]]], dimension: int, batch: int = 64):
@@ -53,13 +54,15 @@ class ModelEmbedder:
         def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
-                vectors: list[list[float]] = []
-                for i in range(0, len(texts), size):
-                    part = model(texts.iloc[i:i + size].tolist())
-                    if any(len(v) != dim for v in part):
-                        raise ValueError(f"model returned vectors that do not have {dim} values")
-                    vectors.extend([float(x) for x in v] for v in part)
-                yield pd.Series(vectors, index=texts.index, dtype=object)
+                vectors = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+                asked = texts[texts.notna()]
+                for i in range(0, len(asked), size):
+                    part = asked.iloc[i:i + size]
+                    for at, vector in zip(part.index, model(part.tolist()), strict=True):
+                        if len(vector) != dim:
+                            raise ValueError(f"model returned a vector that does not have {dim} values")
+                        vectors.at[at] = [float(x) for x in vector]
+                yield vectors
 
         return df.withColumn(out, embed(F.col(text)))
 

@@ -76,7 +76,7 @@ REGIMEN_SIZE = (2, 10)
 RATE_LIMIT = (30, 60.0)
 
 # Name check.
-NAME_PATTERN = r"^[A-Za-z0-9\s\-.,()/'%]+\z"
+NAME_CHARS = r"A-Za-z0-9\-.,()/'%"  # and white space
 NAME_EMPTY = "Drug name must not be empty."
 NAME_TOO_LONG = "Drug name exceeds the maximum length of %d characters."
 NAME_BAD_CHARS = (
