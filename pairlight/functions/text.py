@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,14 @@ WORD = r"[\p{L}\p{N}_]"
 EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row.
+
+    Expressions used inside a lambda are otherwise computed again for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def squish(text: Column) -> Column:
     """Collapse runs of white space to one space and drop it at both ends."""
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
@@ -69,22 +79,21 @@ def chunk_windows(
     if overlap >= size:
         raise ValueError(f"overlap ({overlap}) must be smaller than size ({size})")
     step = size - overlap
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.ceil((F.size(words) - size) / F.lit(step)).cast("int"))
+        windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
+        return F.when(F.size(words) <= size, F.array(F.array_join(words, " "))).otherwise(
+            F.filter(windows, lambda w: F.length(w) >= min_chars))
+
     clean = squish(F.coalesce(text, F.lit("")))
-    words = F.split(clean, " ")
-    starts = F.sequence(F.lit(0), F.ceil((F.size(words) - size) / F.lit(step)).cast("int"))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(size)), " "))
-    return (
-        F.when(clean == "", F.array().cast("array<string>"))
-        .when(F.size(words) <= size, F.array(clean))
-        .otherwise(F.filter(windows, lambda w: F.length(w) >= min_chars))
-    )
+    return let(clean, lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(let(F.split(c, " "), cut)))
 
 
 def name_problem(name: Column) -> Column:
     """Null for an acceptable name, else the reason to refuse it."""
-    clean = strip(name)
-    return (
+    return let(strip(name), lambda clean: (
         F.when(clean == "", F.lit(vocab.NAME_EMPTY))
         .when(F.length(clean) > vocab.MAX_NAME_CHARS, F.lit(vocab.NAME_TOO_LONG % vocab.MAX_NAME_CHARS))
         .when(~clean.rlike(rf"^(?:[{vocab.NAME_CHARS}]|{SPACE})+\z"), F.lit(vocab.NAME_BAD_CHARS))
-    )
+    ))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlight.functions.text import let
+
 
 class Embedder(Protocol):
     """Adds a vector column for a text column."""
@@ -21,9 +23,11 @@ class Embedder(Protocol):
 
 def hash_vector(text: Column, dim: int) -> Column:
     """Deterministic vector from the bytes of a SHA-256 digest, repeated to dim, scaled to -1..1."""
-    digest = F.sha2(text, 256)
-    byte = lambda i: F.conv(F.substr(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (byte(i) - 127.5) / 127.5)
+    def spread(digest: Column) -> Column:
+        byte = lambda i: F.conv(F.substr(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (byte(i) - 127.5) / 127.5)
+
+    return F.when(text.isNotNull(), let(F.sha2(text, 256), spread))
 
 
 class HashEmbedder:
@@ -72,8 +76,7 @@ def norm(vec: Column) -> Column:
 
 
 def normalise(vec: Column, floor: float = 1e-12) -> Column:
-    size = F.greatest(norm(vec), F.lit(floor))
-    return F.transform(vec, lambda x: x.cast("double") / size)
+    return let(F.greatest(norm(vec), F.lit(floor)), lambda n: F.transform(vec, lambda x: x.cast("double") / n))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

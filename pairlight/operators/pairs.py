@@ -15,21 +15,19 @@ PAIR = ["rxcui_a", "rxcui_b"]
 def first_spellings(names: Column) -> Column:
     """Array of names without blanks and without later spellings of an earlier name."""
     clean = F.filter(F.transform(names, tx.strip), lambda n: n != "")
-    lowered = F.transform(clean, F.lower)
-    return F.filter(clean, lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)
+    return tx.let(clean, lambda c: tx.let(
+        F.transform(c, F.lower), lambda low: F.filter(c, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)))
 
 
 def unordered_pairs(names: Column) -> Column:
     """Array of the pairs of an array of names, in input order."""
-    size = F.size(names)
-    per_first = F.transform(
-        names,
+    return tx.let(names, lambda all_names: F.flatten(F.transform(
+        all_names,
         lambda a, i: F.transform(
-            F.slice(names, i + 2, F.greatest(size - i - 1, F.lit(0))),
+            F.slice(all_names, i + 2, F.greatest(F.size(all_names) - i - 1, F.lit(0))),
             lambda b: F.struct(a.alias("drug_a"), b.alias("drug_b")),
         ),
-    )
-    return F.flatten(per_first)
+    )))
 
 
 def check_names(df: DataFrame, name: str = "name") -> DataFrame:
@@ -61,20 +59,16 @@ def check_regimens(names: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("_l"))
         .withColumn("_raw", F.transform("_l", lambda x: x["name"]))
     )
+    problem = F.get(F.filter(F.transform("_raw", tx.name_problem), lambda r: r.isNotNull()), F.lit(0))
     clean = F.transform("_raw", tx.strip)
-    problem = F.element_at(F.filter(F.transform("_raw", tx.name_problem), lambda r: r.isNotNull()), 1)
-    lowered = F.transform("_clean", F.lower)
-    again = F.array_sort(F.array_distinct(
-        F.filter("_clean", lambda n, i: F.array_position(lowered, F.lower(n)) != i + 1)
-    ))
+    again = lambda c: tx.let(F.transform(c, F.lower), lambda low: F.array_sort(F.array_distinct(
+        F.filter(c, lambda n, i: F.array_position(low, F.lower(n)) != i + 1))))
     checked = (
-        listed.withColumn("_clean", clean)
-        .withColumn("_problem", F.when(F.exists("_raw", lambda n: tx.name_problem(n).isNotNull()), problem))
-        .withColumn("_again", again)
-        .withColumn("reason", F.when(F.col("_problem").isNotNull(), F.col("_problem")).when(
-            F.size("_again") > 0,
-            F.format_string(vocab.REGIMEN_DUPLICATE, F.array_join("_again", ", ")),
-        ))
+        listed.select("regimen_id", "n_names", tx.let(clean, lambda c: F.struct(
+            c.alias("clean"), problem.alias("problem"), again(c).alias("again"))).alias("_c"))
+        .select("regimen_id", "n_names", F.col("_c.clean").alias("_clean"), F.when(
+            F.col("_c.problem").isNotNull(), F.col("_c.problem")
+        ).when(F.size("_c.again") > 0, F.format_string(vocab.REGIMEN_DUPLICATE, F.array_join("_c.again", ", "))).alias("reason"))
         .select("regimen_id", "n_names", F.when(F.col("reason").isNull(), F.col("_clean")).alias("names"), "reason")
     )
     return outside.unionByName(checked)
@@ -126,16 +120,16 @@ def pair_queries(pairs: DataFrame, cards: DataFrame) -> DataFrame:
         entry(F.concat(b[0], F.lit(" interaction warnings")), "drug_b_specific"),
     )
     every = F.filter(F.concat(crossed, fixed), lambda e: e["query"] != "")
-    lowered = F.transform("_q", lambda e: F.lower(e["query"]))
-    unique = F.filter("_q", lambda e, i: F.array_position(lowered, F.lower(e["query"])) == i + 1)
+    unique = tx.let(every, lambda q: tx.let(
+        F.transform(q, lambda e: F.lower(e["query"])),
+        lambda low: F.filter(q, lambda e, i: F.array_position(low, F.lower(e["query"])) == i + 1)))
     scope = (
         F.when(F.col("query_type") == "drug_a_specific", F.array("rxcui_a"))
         .when(F.col("query_type") == "drug_b_specific", F.array("rxcui_b"))
         .otherwise(F.array_sort(F.array(*PAIR)))
     )
     return (
-        both.withColumn("_q", every)
-        .select(*PAIR, F.posexplode(unique).alias("_i", "_e"))
+        both.select(*PAIR, F.posexplode(unique).alias("_i", "_e"))
         .select(*PAIR, (F.col("_i") + 1).alias("ord"), "_e.query", "_e.query_type")
         .withColumn("scope", scope)
         .withColumn("search_id", F.sha2(F.concat_ws("\x1f", "scope", F.lower("query")), 256))

@@ -37,11 +37,15 @@ class Knowledge:
 
 
 def resolve_pairs(asked: DataFrame, known: Knowledge) -> DataFrame:
-    """Adds rxcui_a and rxcui_b to distinct (drug_a, drug_b), null where unknown."""
-    names = asked.select(F.explode(F.array("drug_a", "drug_b")).alias("name"))
-    ids = resolve.resolve_drugs(names, known.drugs, known.synonyms.drop("ord"))
+    """Adds rxcui_a and rxcui_b to distinct (drug_a, drug_b), null where unknown.
+
+    The distinct names are resolved once and written, since both sides join them.
+    """
+    distinct = cut(asked.select("drug_a", "drug_b").distinct())
+    names = distinct.select(F.explode(F.array("drug_a", "drug_b")).alias("name"))
+    ids = cut(resolve.resolve_drugs(names, known.drugs, known.synonyms.drop("ord")))
     return (
-        asked.select("drug_a", "drug_b").distinct()
+        distinct
         .join(ids.select(F.col("name").alias("drug_a"), F.col("rxcui").alias("rxcui_a")), "drug_a", "left")
         .join(ids.select(F.col("name").alias("drug_b"), F.col("rxcui").alias("rxcui_b")), "drug_b", "left")
     )

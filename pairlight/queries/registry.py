@@ -641,14 +641,15 @@ def index_report(spark, sf):
 @query("SELECT rxcui_a, rxcui_b, ord, query, query_type, array_to_string(scope, '|') AS scope FROM queries")
 def pair_queries(spark, sf):
     known = roles.knowledge(spark, sf)
-    ids = pe.searchable(roles.all_pairs(spark, sf))
+    ids = pe.searchable(roles.all_pairs(spark, sf, known))
     out = pairs.pair_queries(ids, pairs.drug_cards(known.drugs, known.terms()))
     return out.select("rxcui_a", "rxcui_b", F.col("ord").cast("long").alias("ord"), "query", "query_type", joined("scope").alias("scope"))
 
 
 def _evidence(spark, sf):
-    resolved = roles.all_pairs(spark, sf)
-    return resolved, pe.evidence_for(pe.searchable(resolved), roles.knowledge(spark, sf), roles.EMBEDDER)
+    known = roles.knowledge(spark, sf)
+    resolved = roles.all_pairs(spark, sf, known)
+    return resolved, pe.evidence_for(pe.searchable(resolved), known, roles.EMBEDDER)
 
 
 @query("""SELECT rxcui_a, rxcui_b, chunk_id, place, evidence_id, distance, rxcui, classification, mentions_a, mentions_b,
@@ -688,7 +689,8 @@ def status_labels(spark, sf):
     FROM regpairs JOIN statuses USING (drug_a, drug_b) GROUP BY 1""")
 def regimen_report(spark, sf):
     """From order lines as name lists to pair statuses per regimen."""
-    return pe.check_regimens(roles.regimens(spark, sf), roles.knowledge(spark, sf), roles.EMBEDDER)
+    known = roles.knowledge(spark, sf)
+    return pe.check_regimens(roles.regimens(spark, sf, known), known, roles.EMBEDDER)
 
 
 # Grounding ---------------------------------------------------------------------------------------

@@ -17,8 +17,9 @@ from pyspark.sql import Window as W
 from pairlight import vocab
 from pairlight.functions import text as tx
 from pairlight.functions.vectors import HashEmbedder
-from pairlight.operators import chunking
-from pairlight.plans.pair_evidence import Knowledge
+from pairlight.operators import chunking, pairs
+from pairlight.plans.pair_evidence import Knowledge, resolve_pairs
+from pairlight.session import cut
 
 DRUGS = 20
 DIM = 16
@@ -63,12 +64,12 @@ def synonyms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def classes(spark: SparkSession, sf: str) -> DataFrame:
+def classes(spark: SparkSession, sf: str, stored: DataFrame | None = None) -> DataFrame:
     """The five most frequent words of six letters; class c has every drug whose number leaves c modulo five."""
     top = word_counts(spark, sf, F.length("word") == 6).orderBy(F.desc("n"), "word").limit(5)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("w")).select(
         F.posexplode("w").alias("ord", "w")).select("ord", F.col("w.word").alias("class_term"))
-    members = drugs(spark, sf).where(F.col("normalized_name").isNotNull()).select(
+    members = (drugs(spark, sf) if stored is None else stored).where(F.col("normalized_name").isNotNull()).select(
         (F.col("drug_id") % 5).cast("int").alias("ord"), F.lower("normalized_name").alias("member"))
     return ranked.join(members, "ord")
 
@@ -77,9 +78,8 @@ def sections(spark: SparkSession, sf: str) -> DataFrame:
     """Seven sections per document: section k holds the lines whose number leaves k modulo seven."""
     keys = F.array(*[F.struct(F.lit(k).alias("section_key"), F.lit(c).alias("section_code"), F.lit(n).alias("section_name"))
                      for k, (c, n) in vocab.SECTIONS.items()])
-    lines = F.split("text", "\n")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: tx.squish(
-        F.array_join(F.filter(lines, lambda x, i: i % 7 == k), " ")))
+    parts = tx.let(F.split("text", "\n"), lambda lines: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: tx.squish(
+        F.array_join(F.filter(lines, lambda x, i: i % 7 == k), " "))))
     return (
         table(spark, sf, "documents")
         .select(F.col("doc_id").alias("label_id"), F.posexplode(parts).alias("k", "raw"))
@@ -114,24 +114,28 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.build_chunks(drugs(spark, sf), labels(spark, sf), sections(spark, sf), links(spark, sf))
+def chunks(spark: SparkSession, sf: str, stored: DataFrame | None = None) -> DataFrame:
+    known = drugs(spark, sf) if stored is None else stored
+    return chunking.build_chunks(known, labels(spark, sf), sections(spark, sf), links(spark, sf))
+
+
+EMBEDDER = HashEmbedder(DIM)
 
 
 def knowledge(spark: SparkSession, sf: str) -> Knowledge:
+    """Stored tables and the stored index, written to the work folder as a load would leave them."""
+    stored = cut(drugs(spark, sf))
     return Knowledge(
-        drugs(spark, sf), synonyms(spark, sf), classes(spark, sf),
-        HashEmbedder(DIM)(chunks(spark, sf), "text", "embedding"),
+        stored, cut(synonyms(spark, sf)), cut(classes(spark, sf, stored)),
+        cut(EMBEDDER(chunks(spark, sf, stored), "text", "embedding")),
     )
 
 
-EMBEDDER = HashEmbedder(DIM)
-
-
-def regimens(spark: SparkSession, sf: str) -> DataFrame:
+def regimens(spark: SparkSession, sf: str, known: Knowledge | None = None) -> DataFrame:
     """(regimen_id, pos, name): each order line names drug l_partkey mod 20 in a spelling that its flags pick."""
-    names = drugs(spark, sf).join(
-        name_words(spark, sf).where("ord = 2").select("drug_id", F.col("term").alias("other")), "drug_id", "left"
+    stored, other = (drugs(spark, sf), synonyms(spark, sf)) if known is None else (known.drugs, known.synonyms)
+    names = stored.join(
+        other.where("ord = 2").select("drug_id", F.col("synonym").alias("other")), "drug_id", "left"
     ).select(F.col("drug_id").alias("_d"), "rxcui", "normalized_name", "other")
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag",
@@ -153,13 +157,10 @@ def regimens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def all_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct ordered drug pairs asked for in the accepted regimens."""
-    from pairlight.operators import pairs
-    from pairlight.plans import pair_evidence
-
-    asked = pairs.regimen_pairs(pairs.check_regimens(regimens(spark, sf)))
-    return pair_evidence.resolve_pairs(asked, knowledge(spark, sf))
+def all_pairs(spark: SparkSession, sf: str, known: Knowledge) -> DataFrame:
+    """Distinct (drug_a, drug_b) asked for in the accepted regimens, with their ids."""
+    asked = pairs.regimen_pairs(pairs.check_regimens(regimens(spark, sf, known)))
+    return resolve_pairs(asked, known)
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:

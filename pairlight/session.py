@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +44,11 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the reliable checkpoint folder so that later branches read it once."""
-    spark = df.sparkSession
-    folder = work_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write df as a table of its own in the work folder and read it back.
+
+    Later branches then read it instead of computing it again, a lost executor
+    costs no more than its own tasks, and the planner knows its size.
+    """
+    path = f"{work_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -76,20 +76,20 @@ def parse_labels(docs: DataFrame) -> DataFrame:
         for k, (c, n) in vocab.SECTIONS.items()
     ])
 
-    def chosen(t):
-        full = F.filter("_s", lambda s: (s["code"] == t["section_code"]) & tx.meaningful(s["text"]))
+    def chosen(found, t):
+        full = F.filter(found, lambda s: (s["code"] == t["section_code"]) & tx.meaningful(s["text"]))
         text = F.coalesce(F.get(full, F.lit(0))["text"], F.lit(""))
         return F.struct(t["section_key"], t["section_code"], t["section_name"], text.alias("text"),
                         (text != "").alias("found"))
 
     empty_to_null = lambda c: F.nullif(F.col(c), F.lit(""))
-    return raw.withColumn("_s", clean).select(
+    return raw.select(
         "doc",
         "setid", "spl_version",
         F.when(F.col("ok"), tx.strip(F.col("title"))).alias("title"),
         "effective_time",
         tx.strip(empty_to_null("manufacturer")).alias("manufacturer"),
-        F.when(F.col("ok"), F.transform(target, chosen)).alias("sections"),
+        F.when(F.col("ok"), tx.let(clean, lambda s: F.transform(target, lambda t: chosen(s, t)))).alias("sections"),
         F.when(~F.col("ok"), F.lit("document cannot be parsed")).alias("error"),
     )
 
