@@ -33,7 +33,8 @@ def audit_rollup(df: DataFrame, by: list[str], latency: str = "latency_ms") -> D
     """Requests per group with latency statistics. All aggregates combine on the map side."""
     return df.groupBy(*by).agg(
         F.count("*").alias("n_requests"),
-        F.round(F.avg(latency), 4).alias("avg_latency"),
+        F.sum(latency).alias("sum_latency"),
+        F.avg(latency).alias("avg_latency"),
         F.min(latency).alias("min_latency"),
         F.max(latency).alias("max_latency"),
         F.percentile_approx(latency, 0.5, 10000).alias("p50_latency"),

@@ -759,7 +759,7 @@ def _validated(spark, sf):
     found = pe.cut(found)
     known = resolved.where("rxcui_a is not null and rxcui_b is not null")
     statuses = pe.statuses_for(known, found).select("rxcui_a", "rxcui_b", "evidence_status").distinct()
-    parsed = grounding.parse_answers(roles.answers(spark, sf))
+    parsed = pe.cut(grounding.parse_answers(roles.answers(spark, sf)))
     return found, statuses, parsed, grounding.validate(parsed.where("not malformed"), found, statuses)
 
 
@@ -828,12 +828,13 @@ def failure_reasons(spark, sf):
 
 # Events --------------------------------------------------------------------------------------------
 
-@query("""SELECT event_type AS endpoint, user_id AS rxcui_a, count(*) AS n_requests, round(avg(value), 4) AS avg_latency, min(value) AS min_latency,
+@query("""SELECT event_type AS endpoint, user_id AS rxcui_a, count(*) AS n_requests, round(sum(value), 2) AS sum_latency, min(value) AS min_latency,
     max(value) AS max_latency, quantile_disc(value, 0.5) AS p50_latency, quantile_disc(value, 0.95) AS p95_latency FROM events GROUP BY 1, 2""")
 def audit_rollup(spark, sf):
     events = table(spark, sf, "events").select(
         F.col("event_type").alias("endpoint"), F.col("user_id").alias("rxcui_a"), F.col("value").alias("latency_ms"))
-    return audit.audit_rollup(events, ["endpoint", "rxcui_a"])
+    out = audit.audit_rollup(events, ["endpoint", "rxcui_a"]).drop("avg_latency")
+    return out.withColumn("sum_latency", F.round("sum_latency", 2))
 
 
 @query("""SELECT ts AS timestamp, 'interaction_check' AS event, event_id::VARCHAR AS request_id, event_type AS endpoint, user_id::VARCHAR AS rxcui_a,
