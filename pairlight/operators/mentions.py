@@ -13,15 +13,17 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text:
     """(key, term) for every term that occurs in a text as whole words, in any case.
 
     Texts are cut into their distinct words and joined to the dictionary on the
-    first word of each term. A one-word term is then settled by equality. Only
-    for the remaining terms is the text looked at again, for candidates only.
+    longest word of each term, the one that fewest texts can be expected to hold.
+    A one-word term is then settled by equality. Only for the remaining terms is
+    the text looked at again, for candidates only.
     """
+    longest = lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a)
     entries = (
         terms.select(F.col(term).alias("_term"))
         .where(tx.strip(F.col(term)) != "")
         .distinct()
         .withColumn("_key", tx.fold(F.col("_term")))
-        .withColumn("_word", F.coalesce(F.get(tx.tokens(F.col("_key")), F.lit(0)), F.lit("")))
+        .withColumn("_word", F.aggregate(tx.tokens(F.col("_key")), F.lit(""), longest))
     )
     # A term without any word character is filed under the empty word, which every text has.
     words = texts.select(
@@ -34,8 +36,8 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text:
     checked = (
         words.join(longer, "_word")
         .select("_id", "_term", "_key")
-        .join(texts.select(F.col(key).alias("_id"), F.col(text).alias("_text")), "_id")
-        .where(F.rlike("_text", tx.whole_word_pattern(F.col("_key"))))
+        .join(texts.select(F.col(key).alias("_id"), F.lower(text).alias("_text")), "_id")
+        .where(F.contains("_text", "_key") & F.rlike("_text", tx.whole_word_pattern(F.col("_key"))))
         .select("_id", "_term")
     )
     return sure.unionByName(checked).select(F.col("_id").alias(key), F.col("_term").alias(term))

@@ -112,8 +112,9 @@ def match_vocabulary(
     Exact means equal up to case, punctuation and spacing. The score of an
     approximate match is 100 times the Dice coefficient of the two names'
     trigrams. Two names can only reach `min_score` if they share one of the
-    rarest trigrams of each, so only those are joined (prefix filtering): no
-    candidate is lost, and a trigram that most names have is not a join key.
+    rarest trigrams of each, early enough in both, so only those are joined
+    (prefix and positional filtering, as in set similarity joins): no candidate
+    is lost, and a trigram that most names have is rarely a join key.
     """
     asked = names.select(F.col(name).alias("_raw")).distinct()
     asked = asked.withColumn("_k", tx.match_key(F.col("_raw")))
@@ -133,10 +134,11 @@ def match_vocabulary(
     right = known.where(F.col("_k") != "").select(F.col("_k").alias("_rk")).distinct().withColumn("_rg", padded(F.col("_rk")))
     common = right.select(F.explode("_rg").alias("_g")).groupBy("_g").agg(F.count("*").alias("_n"))
 
-    def rare_first(df: DataFrame, key: str, gram: str) -> DataFrame:
-        """Key grams of each name: all but those that cannot be the only shared ones."""
+    def rare_first(df: DataFrame, key: str, side: str) -> DataFrame:
+        """Key grams of each name, rarest first: all but those that cannot be the only shared ones."""
+        gram, size, at = f"_{side}g", f"_{side}n", f"_{side}p"
         # dice >= t with o shared grams needs o >= n * t / (2 - t) on each side.
-        need = F.ceil(F.size(gram) * F.lit(threshold / (2.0 - threshold)) - F.lit(1e-9))
+        need = F.ceil(F.size(gram) * F.lit(threshold / (2.0 - threshold)) - F.lit(1e-9)).cast("int")
         ordered = (
             df.select(key, gram, F.explode(gram).alias("_g"))
             .join(common, "_g", "left")
@@ -144,13 +146,18 @@ def match_vocabulary(
             .agg(F.first(gram).alias(gram),
                  F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))).alias("_o"))
         )
-        return ordered.select(key, gram, F.explode(F.slice("_o", F.lit(1), F.size(gram) - need.cast("int") + 1)).alias("_p")) \
-            .select(key, gram, F.col("_p.g").alias("_g"))
+        return ordered.select(
+            key, gram, F.size(gram).alias(size), F.posexplode(F.slice("_o", F.lit(1), F.size(gram) - need + 1)).alias(at, "_p")
+        ).select(key, gram, size, at, F.col("_p.g").alias("_g"))
 
+    # A pair that first meets at these places can share no more grams than are left on either side.
+    reachable = 200.0 * F.least(F.col("_ln") - F.col("_lp"), F.col("_rn") - F.col("_rp")) >= (
+        min_score * (F.col("_ln") + F.col("_rn")) - 1e-6)
     pairs = (
-        rare_first(left, "_lk", "_lg").join(rare_first(right, "_rk", "_rg"), "_g")
+        rare_first(left, "_lk", "l").join(rare_first(right, "_rk", "r"), "_g")
+        .where(reachable)
         .withColumn("_s", F.round(
-            200.0 * F.size(F.array_intersect("_lg", "_rg")) / (F.size("_lg") + F.size("_rg")), 6))
+            200.0 * F.size(F.array_intersect("_lg", "_rg")) / (F.col("_ln") + F.col("_rn")), 6))
         .where(F.col("_s") >= min_score)
         .select("_lk", "_rk", "_s").distinct()
     )

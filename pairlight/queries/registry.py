@@ -275,18 +275,20 @@ def name_search(spark, sf):
     return resolve.search_names(asked, resolve.search_terms(drugs, other))
 
 
+def _asked_names(spark, sf):
+    """Distinct names in accepted regimens, written since resolving reads them more than once."""
+    asked = pairs.regimen_pairs(pairs.check_regimens(roles.regimens(spark, sf)))
+    return pe.cut(asked.select(F.explode(F.array("drug_a", "drug_b")).alias("name")).distinct())
+
+
 @query("SELECT * FROM resolved")
 def resolve_drugs(spark, sf):
-    asked = pairs.regimen_pairs(pairs.check_regimens(roles.regimens(spark, sf)))
-    names = asked.select(F.explode(F.array("drug_a", "drug_b")).alias("name"))
-    return resolve.resolve_drugs(names, roles.drugs(spark, sf), roles.synonyms(spark, sf))
+    return resolve.resolve_drugs(_asked_names(spark, sf), roles.drugs(spark, sf), roles.synonyms(spark, sf))
 
 
 @query("SELECT name FROM resolved WHERE rxcui IS NULL")
 def unknown_names(spark, sf):
-    asked = pairs.regimen_pairs(pairs.check_regimens(roles.regimens(spark, sf)))
-    names = asked.select(F.explode(F.array("drug_a", "drug_b")).alias("name"))
-    return resolve.unknown_names(names, roles.drugs(spark, sf), roles.synonyms(spark, sf))
+    return resolve.unknown_names(_asked_names(spark, sf), roles.drugs(spark, sf), roles.synonyms(spark, sf))
 
 
 @query("SELECT d.drug_id, d.rxcui, c.c_custkey FROM customer c JOIN drugs d ON d.rxcui = c.c_custkey::VARCHAR")
@@ -434,21 +436,25 @@ def _every_seventh(first: int):
 def label_xml(spark, sf):
     """Label documents in XML, one per row of documents; German ones are cut off and cannot be parsed."""
     escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    lines = F.split("text", "\n")
     section = lambda code, body: F.concat(F.lit(f'<component><section><code code="{code}"/><title>t</title>'), body, F.lit("</section></component>"))
-    parts = []
-    for i, (code, _) in enumerate(vocab.SECTIONS.values()):
-        mine = F.filter(lines, _every_seventh(i))
-        body = F.concat(F.lit("<text>"), F.array_join(F.transform(mine, lambda x: F.concat(F.lit("<paragraph>"), escaped(x), F.lit("</paragraph>"))), ""), F.lit("</text>"))
-        # A placeholder first, then the content in a nested section.
-        parts.append(section("00000-0", F.concat(section(code, F.lit("<text> . </text>")), section(code, body))))
-        parts.append(section(code, F.lit("<text>later text</text>")) if i == 0 else F.lit(""))
+
+    def body(lines):
+        parts = []
+        for i, (code, _) in enumerate(vocab.SECTIONS.values()):
+            paragraphs = F.transform(F.filter(lines, _every_seventh(i)),
+                                     lambda x: F.concat(F.lit("<paragraph>"), x, F.lit("</paragraph>")))
+            content = F.concat(F.lit("<text>"), F.array_join(paragraphs, ""), F.lit("</text>"))
+            # A placeholder first, then the content in a nested section.
+            parts.append(section("00000-0", F.concat(section(code, F.lit("<text> . </text>")), section(code, content))))
+            parts.append(section(code, F.lit("<text>later text</text>")) if i == 0 else F.lit(""))
+        return F.concat(*parts)
+
     xml = F.concat(
         F.lit(f'<document xmlns="{vocab.LABEL_NAMESPACE}"><setId root="'), F.col("doc_id").cast("string"), F.lit('"/><title> Label '),
         F.col("lang"), F.lit(' </title><versionNumber value="'), F.col("n_chars").cast("string"),
         F.lit('"/><author><assignedEntity><representedOrganization><name>'), escaped(F.col("source")),
         F.lit("</name></representedOrganization></assignedEntity></author><component><structuredBody>"),
-        *parts, F.lit("</structuredBody></component></document>"))
+        tx.let(F.split(escaped(F.col("text")), "\n"), body), F.lit("</structuredBody></component></document>"))
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("doc"), F.when(F.col("lang") == "de", F.replace(xml, F.lit("</document>"), F.lit(""))).otherwise(xml).alias("xml"))
 

@@ -23,10 +23,16 @@ from pairlight.session import cut
 
 DRUGS = 20
 DIM = 16
+SPREAD = ("documents", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One with fewer file splits than cores is small enough to spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in SPREAD and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def drug_number(source: Column) -> Column:
@@ -134,9 +140,9 @@ def knowledge(spark: SparkSession, sf: str) -> Knowledge:
 def regimens(spark: SparkSession, sf: str, known: Knowledge | None = None) -> DataFrame:
     """(regimen_id, pos, name): each order line names drug l_partkey mod 20 in a spelling that its flags pick."""
     stored, other = (drugs(spark, sf), synonyms(spark, sf)) if known is None else (known.drugs, known.synonyms)
-    names = stored.join(
+    names = cut(stored.join(
         other.where("ord = 2").select("drug_id", F.col("synonym").alias("other")), "drug_id", "left"
-    ).select(F.col("drug_id").alias("_d"), "rxcui", "normalized_name", "other")
+    ).select(F.col("drug_id").alias("_d"), "rxcui", "normalized_name", "other"))
     lines = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag",
         "l_linestatus", (F.col("l_partkey") % DRUGS).alias("_d"))
