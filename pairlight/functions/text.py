@@ -94,10 +94,10 @@ def chunk_windows(
     return let(clean, lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(let(F.split(c, " "), cut)))
 
 
-def name_problem(name: Column) -> Column:
-    """Null for an acceptable name, else the reason to refuse it."""
-    return let(strip(name), lambda clean: (
+def name_problem(clean: Column) -> Column:
+    """Null for an acceptable stripped name, else the reason to refuse it."""
+    return (
         F.when(clean == "", F.lit(vocab.NAME_EMPTY))
         .when(F.length(clean) > vocab.MAX_NAME_CHARS, F.lit(vocab.NAME_TOO_LONG % vocab.MAX_NAME_CHARS))
         .when(~clean.rlike(rf"^(?:[{vocab.NAME_CHARS}]|{SPACE})+\z"), F.lit(vocab.NAME_BAD_CHARS))
-    ))
+    )

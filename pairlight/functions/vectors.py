@@ -97,5 +97,5 @@ def mean_pool(df: DataFrame, key: str, vec: str, mask: str, out: str = "pooled")
         .agg(F.sum(F.col("_m") * F.col("_x").cast("double")).alias("_s"), F.sum("_m").alias("_n"))
         .select(key, "_i", (F.col("_s") / F.greatest("_n", F.lit(1e-9))).alias("_v"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("_i", "_v")))
+    ordered = F.sort_array(F.collect_list(F.struct("_i", "_v")))
     return parts.groupBy(key).agg(F.transform(ordered, lambda p: p["_v"]).alias(out))

@@ -41,7 +41,7 @@ def prompts(pairs: DataFrame, evidence: DataFrame, names: DataFrame, instruction
     blocks = (
         evidence.where(F.col("evidence_id").isNotNull())
         .groupBy(*PAIR)
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("place"), block.alias("b")))).alias("_b"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.col("place"), block.alias("b")))).alias("_b"))
         .select(*PAIR, F.array_join(F.transform("_b", lambda x: x["b"]), "\n").alias("_e"))
     )
     side = lambda s: names.select(F.col("rxcui").alias(f"rxcui_{s}"), F.col("normalized_name").alias(f"_n{s}"))
@@ -118,9 +118,9 @@ def validate(answers: DataFrame, evidence: DataFrame, statuses: DataFrame) -> Da
     of ids, so the texts gathered per answer are those of its own citations.
     """
     per_answer = cited_evidence(answers, evidence).groupBy("answer_id").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("known"), F.struct("pos", "evidence_id")))).alias("_u"),
+        F.sort_array(F.collect_list(F.when(~F.col("known"), F.struct("pos", "evidence_id")))).alias("_u"),
         F.bool_or(F.col("classification") == vocab.PAIR_SPECIFIC).alias("_pair"),
-        F.array_sort(F.collect_list(F.when(F.col("known"), F.struct("pos", F.lower("text").alias("t"))))).alias("_t"),
+        F.sort_array(F.collect_list(F.when(F.col("known"), F.struct("pos", F.lower("text").alias("t"))))).alias("_t"),
     )
     rows = answers.join(per_answer, "answer_id", "left").join(
         statuses.select(*PAIR, "evidence_status"), PAIR, "left")
@@ -196,10 +196,10 @@ def explain(pairs: DataFrame, evidence: DataFrame, answers: DataFrame, validatio
     answers: parsed answers with provider and failure (category or null); a pair
              without an answer row was not sent to any provider.
     """
-    listed = citations(evidence).groupBy(*PAIR).agg(F.array_sort(F.collect_list("evidence_id")).alias("_listed"))
+    listed = citations(evidence).groupBy(*PAIR).agg(F.sort_array(F.collect_list("evidence_id")).alias("_listed"))
     known = (
         cited_evidence(answers.where(~F.col("malformed")), evidence).where("known")
-        .groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("pos", "evidence_id"))).alias("_cited"))
+        .groupBy("answer_id").agg(F.sort_array(F.collect_list(F.struct("pos", "evidence_id"))).alias("_cited"))
         .select("answer_id", F.transform("_cited", lambda c: c["evidence_id"]).alias("_cited"))
     )
     rows = (

@@ -50,7 +50,7 @@ def owner_mentions(texts: DataFrame, owner_terms: DataFrame, key: str = "chunk_i
     return (
         found.join(owner_terms.select(owner, "term", "ord"), "term")
         .groupBy(key, owner)
-        .agg(F.array_sort(F.collect_list(F.struct("ord", "term"))).alias("_t"))
+        .agg(F.sort_array(F.collect_list(F.struct("ord", "term"))).alias("_t"))
         .select(key, owner, F.transform("_t", lambda t: t["term"]).alias("matched_terms"))
     )
 

@@ -32,9 +32,10 @@ def unordered_pairs(names: Column) -> Column:
 
 def check_names(df: DataFrame, name: str = "name") -> DataFrame:
     """Adds clean_name (null if refused) and reason (null if accepted)."""
-    reason = tx.name_problem(F.col(name))
-    return df.withColumn("reason", reason).withColumn(
-        "clean_name", F.when(F.col("reason").isNull(), tx.strip(F.col(name)))
+    return (
+        df.withColumn("clean_name", tx.strip(F.col(name)))
+        .withColumn("reason", tx.name_problem(F.col("clean_name")))
+        .withColumn("clean_name", F.when(F.col("reason").isNull(), F.col("clean_name")))
     )
 
 
@@ -53,22 +54,22 @@ def check_regimens(names: DataFrame) -> DataFrame:
         F.when(F.col("n_names") < low, F.lit(vocab.REGIMEN_SMALL))
         .otherwise(F.format_string(vocab.REGIMEN_LARGE, F.col("n_names"), F.lit(high))).alias("reason"),
     )
+    # Names are cleaned and checked as rows, before they are gathered.
+    each = names.select("regimen_id", "pos", tx.strip(F.col("name")).alias("_n")).withColumn(
+        "_problem", tx.name_problem(F.col("_n")))
     listed = (
-        names.join(sizes.where(within), "regimen_id")
+        each.join(sizes.where(within), "regimen_id")
         .groupBy("regimen_id", "n_names")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("_l"))
-        .withColumn("_raw", F.transform("_l", lambda x: x["name"]))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("_n").alias("name")))).alias("_l"),
+             F.min_by("_problem", F.when(F.col("_problem").isNotNull(), F.col("pos"))).alias("_problem"))
+        .withColumn("_clean", F.transform("_l", lambda x: x["name"]))
     )
-    problem = F.get(F.filter(F.transform("_raw", tx.name_problem), lambda r: r.isNotNull()), F.lit(0))
-    clean = F.transform("_raw", tx.strip)
-    again = lambda c: tx.let(F.transform(c, F.lower), lambda low: F.array_sort(F.array_distinct(
-        F.filter(c, lambda n, i: F.array_position(low, F.lower(n)) != i + 1))))
+    again = tx.let(F.transform("_clean", F.lower), lambda low: F.sort_array(F.array_distinct(
+        F.filter("_clean", lambda n, i: F.array_position(low, F.lower(n)) != i + 1))))
     checked = (
-        listed.select("regimen_id", "n_names", tx.let(clean, lambda c: F.struct(
-            c.alias("clean"), problem.alias("problem"), again(c).alias("again"))).alias("_c"))
-        .select("regimen_id", "n_names", F.col("_c.clean").alias("_clean"), F.when(
-            F.col("_c.problem").isNotNull(), F.col("_c.problem")
-        ).when(F.size("_c.again") > 0, F.format_string(vocab.REGIMEN_DUPLICATE, F.array_join("_c.again", ", "))).alias("reason"))
+        listed.withColumn("_again", F.when(F.size(F.array_distinct(F.transform("_clean", F.lower))) < F.size("_clean"), again))
+        .withColumn("reason", F.coalesce("_problem", F.format_string(vocab.REGIMEN_DUPLICATE, F.array_join("_again", ", "))))
+        .withColumn("reason", F.when(F.col("_problem").isNotNull() | F.col("_again").isNotNull(), F.col("reason")))
         .select("regimen_id", "n_names", F.when(F.col("reason").isNull(), F.col("_clean")).alias("names"), "reason")
     )
     return outside.unionByName(checked)
@@ -93,7 +94,7 @@ def drug_cards(drugs: DataFrame, terms: DataFrame, limit: int = vocab.MAX_VARIAN
         first.withColumn("_n", F.row_number().over(place))
         .where(F.col("_n") <= limit)
         .groupBy("rxcui")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "term"))).alias("_v"))
+        .agg(F.sort_array(F.collect_list(F.struct("_n", "term"))).alias("_v"))
         .select("rxcui", F.transform("_v", lambda v: v["term"]).alias("variants"))
     )
     return drugs.select("rxcui", "normalized_name", "input_name").join(variants, "rxcui", "left").select(
@@ -126,7 +127,7 @@ def pair_queries(pairs: DataFrame, cards: DataFrame) -> DataFrame:
     scope = (
         F.when(F.col("query_type") == "drug_a_specific", F.array("rxcui_a"))
         .when(F.col("query_type") == "drug_b_specific", F.array("rxcui_b"))
-        .otherwise(F.array_sort(F.array(*PAIR)))
+        .otherwise(F.sort_array(F.array(*PAIR)))
     )
     return (
         both.select(*PAIR, F.posexplode(unique).alias("_i", "_e"))
@@ -147,7 +148,7 @@ def merge_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     `hits` holds (search_id, chunk_id, distance, rank). A group has at most one
     row per query of a pair, that is nine.
     """
-    seen = F.array_sort(F.collect_list(F.struct("ord", "rank", "query", "query_type")))
+    seen = F.sort_array(F.collect_list(F.struct("ord", "rank", "query", "query_type")))
     return (
         queries.join(hits, "search_id")
         .groupBy(*PAIR, "chunk_id")

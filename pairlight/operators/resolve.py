@@ -144,7 +144,7 @@ def match_vocabulary(
             .join(common, "_g", "left")
             .groupBy(key)
             .agg(F.first(gram).alias(gram),
-                 F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))).alias("_o"))
+                 F.sort_array(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g")))).alias("_o"))
         )
         return ordered.select(
             key, gram, F.size(gram).alias(size), F.posexplode(F.slice("_o", F.lit(1), F.size(gram) - need + 1)).alias(at, "_p")
@@ -168,7 +168,7 @@ def match_vocabulary(
         .withColumn("_n", F.row_number().over(place))
         .where(F.col("_n") <= keep)
         .groupBy("_raw")
-        .agg(F.array_sort(F.collect_list(F.struct("_n", "rxcui", "concept_name", "_s"))).alias("_c"))
+        .agg(F.sort_array(F.collect_list(F.struct("_n", "rxcui", "concept_name", "_s"))).alias("_c"))
         .select("_raw", F.lit("approximate").alias("match_type"), F.col("_c")[0]["rxcui"].alias("rxcui"),
                 F.col("_c")[0]["concept_name"].alias("normalized_name"), F.col("_c")[0]["_s"].alias("match_score"),
                 F.transform(F.slice("_c", 2, keep), lambda c: F.struct(c["rxcui"].alias("rxcui"), c["_s"].alias("score")))

@@ -90,9 +90,10 @@ def check_regimens(names: DataFrame, known: Knowledge, embedder, k: int = vocab.
     """Rows (regimen_id, pos, name) to one report row per accepted regimen.
 
     Regimens repeat the same pairs, so pairs are made distinct (with partial
-    aggregation) before anything is resolved or searched.
+    aggregation) before anything is resolved or searched. The pairs are written,
+    since the report joins them again and the names need not be grouped twice.
     """
-    asked = pairs.regimen_pairs(pairs.check_regimens(names))
+    asked = cut(pairs.regimen_pairs(pairs.check_regimens(names)))
     resolved = resolve_pairs(asked, known)
     statuses = statuses_for(resolved, evidence_for(searchable(resolved), known, embedder, k))
     return pairs.regimen_report(asked, statuses)

@@ -73,7 +73,7 @@ def synonyms(spark: SparkSession, sf: str) -> DataFrame:
 def classes(spark: SparkSession, sf: str, stored: DataFrame | None = None) -> DataFrame:
     """The five most frequent words of six letters; class c has every drug whose number leaves c modulo five."""
     top = word_counts(spark, sf, F.length("word") == 6).orderBy(F.desc("n"), "word").limit(5)
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("w")).select(
+    ranked = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("w")).select(
         F.posexplode("w").alias("ord", "w")).select("ord", F.col("w.word").alias("class_term"))
     members = (drugs(spark, sf) if stored is None else stored).where(F.col("normalized_name").isNotNull()).select(
         (F.col("drug_id") % 5).cast("int").alias("ord"), F.lower("normalized_name").alias("member"))
