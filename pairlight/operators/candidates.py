@@ -38,16 +38,16 @@ def best_candidate(candidates: DataFrame, key: str, order: list, hit: str,
     row per task.
     """
     place = W.partitionBy(key).orderBy(*order)
-    top = candidates.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= checked)
+    top = candidates.withColumn("_rank", F.row_number().over(place)).where(F.col("_rank") <= checked)
     rest = [c for c in candidates.columns if c not in (key, hit)]
     best = top.groupBy(key).agg(
-        F.min_by(F.struct("rank", hit, *rest), F.struct(~F.col(hit), F.col("rank"))).alias("_b"),
+        F.min_by(F.struct("_rank", hit, *rest), F.struct(~F.col(hit), F.col("_rank"))).alias("_b"),
         F.count("*").cast("int").alias("_n"),
     )
     total = candidates.groupBy(key).agg(F.count("*").cast("int").alias("total_candidates_found"))
     return best.join(total, key).select(
         key, *[F.col(f"_b.{c}").alias(c) for c in rest],
-        F.when(F.col(f"_b.{hit}"), F.col("_b.rank")).otherwise(F.col("_n")).alias("candidates_checked"),
+        F.when(F.col(f"_b.{hit}"), F.col("_b._rank")).otherwise(F.col("_n")).alias("candidates_checked"),
         "total_candidates_found",
         F.when(F.col(f"_b.{hit}"), "interaction_evidence_found").otherwise("label_found_no_interaction_section")
         .alias("evidence_status"),

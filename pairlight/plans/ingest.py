@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pairlight import vocab
 from pairlight.operators import candidates as cd
 from pairlight.operators import chunking, index, resolve, upsert
+from pairlight.session import cut
 from pairlight.sources import tables
 
 DRUG_FIELDS = ["normalized_name", "term_type", "generic_name", "input_name", "match_type", "match_score", "source_url"]
@@ -89,9 +90,10 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
     A name that means nothing is reported as failed and changes nothing.
     """
     matched = resolve.match_vocabulary(names, sources.concepts).select("name", "match_type", "rxcui", "normalized_name", "match_score")
-    resolved = names.join(matched, "name")
+    # The small results of each step are written: several tables and the report follow from them.
+    resolved = cut(names.join(matched, "name"))
     last = W.partitionBy("rxcui").orderBy(F.desc("pos"))
-    drugs = (
+    drugs = cut(
         resolved.where(F.col("rxcui").isNotNull())
         .withColumn("_n", F.row_number().over(last)).where("_n = 1")
         .join(sources.related, "rxcui", "left")
@@ -111,7 +113,10 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
     moved = synonym_diff.where(F.col("status").isin("added", "deleted")).join(drugs.select("drug_id", "rxcui"), "drug_id")
     drug_diff = upsert.upsert(store.drugs, drugs.drop("brand_names", "synonyms"), ["rxcui"], DRUG_FIELDS, as_of, also_changed=moved)
 
-    chosen = choose_labels(sources.found.join(drugs.select("rxcui"), "rxcui", "left_semi"), sources.documents)
+    found = sources.found.join(drugs.select("rxcui"), "rxcui", "left_semi")
+    documents = cut(sources.documents.join(
+        found.where(F.col("rank") <= vocab.CANDIDATES_CHECKED).select(F.col("setid").alias("doc")).distinct(), "doc", "left_semi"))
+    chosen = cut(choose_labels(found, documents))
     usable = chosen.where(F.col("evidence_status") != "error").select(
         "rxcui", tables.natural_id("rxcui").alias("drug_id"), F.col("setid").alias("doc"),
         F.coalesce("doc_setid", "setid").alias("setid"), F.coalesce("doc_version", "spl_version").alias("spl_version"),
@@ -119,10 +124,11 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
         F.concat(F.lit("label?setid="), "setid").alias("source_url"), F.concat(F.lit("labels/"), "setid", F.lit(".xml")).alias("api_url"),
         *LINK_FIELDS,
     ).withColumn("label_id", tables.natural_id("setid", "spl_version"))
-    labels = usable.dropDuplicates(["label_id"]).withColumn("retrieved_at", as_of).withColumn("updated_at", as_of)
+    one = W.partitionBy("label_id").orderBy("rxcui")
+    labels = usable.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").withColumn("retrieved_at", as_of).withColumn("updated_at", as_of)
     label_diff = upsert.upsert(store.labels, labels, ["setid", "spl_version"], LABEL_FIELDS, as_of)
     sections = (
-        labels.select("label_id", "doc").join(sources.documents.select("doc", "sections"), "doc")
+        labels.select("label_id", "doc").join(documents.select("doc", "sections"), "doc")
         .select("label_id", F.explode("sections").alias("s")).select("label_id", "s.*")
         .withColumn("section_id", tables.natural_id("label_id", "section_code")).withColumn("updated_at", as_of)
     )

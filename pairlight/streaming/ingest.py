@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairlight.operators import resolve
 from pairlight.plans import ingest as plan
+from pairlight.session import cut
 from pairlight.sources import tables
 
 
@@ -28,7 +29,7 @@ def load_batch(spark: SparkSession, names: DataFrame, folder: str, version: int,
     store = plan.Store.read(spark, folder, before) if before >= 0 else plan.Store.empty(spark)
     index = tables.read_snapshot(spark, folder, "chunk_index", before) if before >= 0 else tables.empty(spark, "chunk_index")
     unknown = resolve.unknown_names(names, store.drugs, store.drug_synonyms)
-    todo = names.join(unknown, "name", "left_semi")
+    todo = cut(names.join(unknown, "name", "left_semi"))
     as_of = F.current_timestamp()
     after, _ = plan.ingest(todo, store, sources, as_of)
     after.write(folder, version)
