@@ -60,6 +60,7 @@ def index_report(diff: DataFrame, rejected: DataFrame) -> DataFrame:
         F.count_if(status == "unchanged").alias("chunks_unchanged"),
         F.count_if(status == "deleted").alias("chunks_deleted_stale"),
     )
-    # Both sides are one-row aggregates.
     bad = rejected.agg(F.count("*").alias("malformed_records_skipped"))
-    return counts.withColumn("_k", F.lit(1)).join(bad.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # One row each; added up, so that no join is needed.
+    return counts.unionByName(bad, allowMissingColumns=True).agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*counts.columns, "malformed_records_skipped")])

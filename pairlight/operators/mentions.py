@@ -43,10 +43,8 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text:
     return sure.unionByName(checked).select(F.col("_id").alias(key), F.col("_term").alias(term))
 
 
-def owner_mentions(texts: DataFrame, owner_terms: DataFrame, key: str = "chunk_id", text: str = "text",
-                   owner: str = "rxcui") -> DataFrame:
-    """(key, owner, matched_terms): the owner's terms found in the text, in the owner's order."""
-    found = match_terms(texts, owner_terms, key, text, "term")
+def by_owner(found: DataFrame, owner_terms: DataFrame, key: str = "chunk_id", owner: str = "rxcui") -> DataFrame:
+    """(key, owner, matched_terms) from (key, term): the owner's terms in the owner's order."""
     return (
         found.join(owner_terms.select(owner, "term", "ord"), "term")
         .groupBy(key, owner)
@@ -55,14 +53,23 @@ def owner_mentions(texts: DataFrame, owner_terms: DataFrame, key: str = "chunk_i
     )
 
 
-def class_mentions(texts: DataFrame, classes: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, member, class_term): first class term in the text, by declaration order, that has the member.
+def by_class(found: DataFrame, classes: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(key, member, class_term) from (key, term): first class term, by declaration order, that has the member.
 
     `classes` has one row per (class_term, ord, member).
     """
-    found = match_terms(texts, classes.select(F.col("class_term").alias("term")), key, text, "term")
     return (
         found.join(classes.withColumnRenamed("class_term", "term"), "term")
         .groupBy(key, "member")
         .agg(F.min_by("term", "ord").alias("class_term"))
     )
+
+
+def owner_mentions(texts: DataFrame, owner_terms: DataFrame, key: str = "chunk_id", text: str = "text",
+                   owner: str = "rxcui") -> DataFrame:
+    return by_owner(match_terms(texts, owner_terms, key, text, "term"), owner_terms, key, owner)
+
+
+def class_mentions(texts: DataFrame, classes: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    terms = classes.select(F.col("class_term").alias("term"))
+    return by_class(match_terms(texts, terms, key, text, "term"), classes, key)

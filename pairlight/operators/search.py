@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
@@ -72,27 +73,35 @@ def top_k(
 
     queries: query_id string, scope string, qvec (one row per scope of a query)
     chunks:  chunk_id string, scope string, cvec
+    Without a scope column on both sides every query searches all chunks.
 
     Each scope is cut into blocks of queries and blocks of chunks from its row
     counts, so a scope that owns a third of all chunks is spread over as many
     tasks as it needs and no task holds more than one block of each side. A pair
     of blocks gives back only k rows per query; the block winners are then ranked
-    once more. Nothing is left out, the result is exact. A search without a scope
-    passes the same constant scope on both sides.
+    once more. Nothing is left out, the result is exact.
     """
-    def sized(df: DataFrame, block: int, out: str) -> DataFrame:
-        return df.groupBy("scope").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(out))
-
-    blocks = sized(queries, query_block, "_nq").join(sized(chunks, chunk_block, "_nc"), "scope")
+    if "scope" in queries.columns:
+        def sized(df: DataFrame, block: int, out: str) -> DataFrame:
+            return df.groupBy("scope").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(out))
+
+        blocks = sized(queries, query_block, "_nq").join(sized(chunks, chunk_block, "_nc"), "scope")
+        queries, chunks = queries.join(blocks, "scope"), chunks.join(blocks, "scope")
+    else:
+        # One scope for all: two counts take the place of a join.
+        def whole(df: DataFrame) -> DataFrame:
+            return df.withColumns({"scope": F.lit(""), "_nq": F.lit(n_queries), "_nc": F.lit(n_chunks)})
+
+        n_queries = max(1, math.ceil(queries.count() / query_block))
+        n_chunks = max(1, math.ceil(chunks.count() / chunk_block))
+        queries, chunks = whole(queries), whole(chunks)
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (
-        queries.join(blocks, "scope")
-        .withColumn("_qb", F.expr("int(pmod(xxhash64(query_id), _nq))"))
+        queries.withColumn("_qb", F.expr("int(pmod(xxhash64(query_id), _nq))"))
         .select("scope", "_qb", all_of("_nc").alias("_cb"), "query_id", "qvec")
     )
     right = (
-        chunks.join(blocks, "scope")
-        .withColumn("_cb", F.expr("int(pmod(xxhash64(chunk_id), _nc))"))
+        chunks.withColumn("_cb", F.expr("int(pmod(xxhash64(chunk_id), _nc))"))
         .select("scope", "_cb", all_of("_nq").alias("_qb"), "chunk_id", "cvec")
     )
     keys = ["scope", "_qb", "_cb"]
@@ -116,8 +125,8 @@ def retrieve(
     scope = metadata_filter(index, {"rxcui": rxcui, "section_key": section_key})
     asked = embedder(queries.where(strip(F.col("query_text")) != ""), "query_text", "qvec")
     hits = top_k(
-        asked.select(F.col("query_id").cast("string").alias("query_id"), F.lit("").alias("scope"), "qvec"),
-        scope.select("chunk_id", F.lit("").alias("scope"), F.col("embedding").alias("cvec")),
+        asked.select(F.col("query_id").cast("string").alias("query_id"), "qvec"),
+        scope.select("chunk_id", F.col("embedding").alias("cvec")),
         k,
     )
     return hits.join(scope.drop("embedding"), "chunk_id")

@@ -60,8 +60,9 @@ def evidence_for(pair_ids: DataFrame, known: Knowledge, embedder, k: int = vocab
     """Ranked evidence rows of the given (rxcui_a, rxcui_b) pairs.
 
     Pairs that share a search share its result. The found (pair, chunk) rows are
-    small, at most k rows for each of nine queries of a pair and without text,
-    and are written once because three branches read them.
+    small, at most k rows for each of nine queries of a pair and without text.
+    They, the texts of the found chunks and the terms found in them are written
+    once each, because several branches read them.
     """
     terms = known.terms()
     queries = pairs.pair_queries(pair_ids, pairs.drug_cards(known.drugs, terms))
@@ -73,10 +74,12 @@ def evidence_for(pair_ids: DataFrame, known: Knowledge, embedder, k: int = vocab
     ).withColumnRenamed("query_id", "search_id")
     items = cut(pairs.merge_hits(queries, hits))
 
-    found = known.index.drop("embedding").join(items.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    texts = found.select("chunk_id", "text")
-    per_drug = mentions.owner_mentions(texts, terms)
-    per_class = mentions.class_mentions(texts, known.classes)
+    # Texts of the found chunks only; one pass over them looks for the terms of drugs and of classes.
+    found = cut(known.index.drop("embedding").join(items.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    every_term = terms.select("term").unionByName(known.classes.select(F.col("class_term").alias("term")))
+    matched = cut(mentions.match_terms(found.select("chunk_id", "text"), every_term))
+    per_drug = mentions.by_owner(matched, terms)
+    per_class = mentions.by_class(matched, known.classes)
     names = known.drugs.select("rxcui", "normalized_name")
     classified = pairs.classify(items.join(found, "chunk_id"), per_drug, per_class, names)
     return pairs.rank_evidence(classified)

@@ -155,11 +155,11 @@ def topk_scoped(spark, sf):
       FROM embeddings a JOIN embeddings b ON b.label IN (2, 5, 7))) WHERE rank <= 3""")
 def topk_filtered(spark, sf):
     """Three nearest vectors of each vector among those that a metadata filter leaves."""
-    v, scope = _vectors(spark, sf), F.lit("").alias("scope")
+    v = _vectors(spark, sf)
     kept = search.metadata_filter(v, {"label": [2, 5, 7], "id": None})
     return search.top_k(
-        v.select(F.col("id").alias("query_id"), scope, F.col("embedding").alias("qvec")),
-        kept.select(F.col("id").alias("chunk_id"), scope, F.col("embedding").alias("cvec")), k=3,
+        v.select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec")),
+        kept.select(F.col("id").alias("chunk_id"), F.col("embedding").alias("cvec")), k=3,
     ).withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -96,11 +96,7 @@ def parse_labels(docs: DataFrame) -> DataFrame:
 
 def section_rows(parsed: DataFrame) -> DataFrame:
     """(doc, section_key, section_code, section_name, text, found, error); a broken document gives one error row."""
-    good = parsed.where(F.col("error").isNull()).select("doc", F.explode("sections").alias("s"), "error").select(
-        "doc", "s.section_key", "s.section_code", "s.section_name", "s.text", "s.found", "error"
+    return parsed.select("doc", F.explode_outer("sections").alias("s"), "error").select(
+        "doc", "s.section_key", "s.section_code", "s.section_name", "s.text",
+        F.coalesce("s.found", F.lit(False)).alias("found"), "error",
     )
-    bad = parsed.where(F.col("error").isNotNull()).select(
-        "doc", *[F.lit(None).cast("string").alias(c) for c in ("section_key", "section_code", "section_name", "text")],
-        F.lit(False).alias("found"), "error",
-    )
-    return good.unionByName(bad)
