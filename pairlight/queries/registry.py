@@ -201,10 +201,12 @@ def class_mentions(spark, sf):
     return mentions.class_mentions(docs, roles.classes(spark, sf), key="doc_id")
 
 
-@query(f"""WITH phrases AS (SELECT DISTINCT {o.squish("split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)")} AS term FROM benchmark)
-    SELECT d.doc_id, p.term FROM documents d JOIN phrases p ON p.term <> '' AND contains(lower(d.text), lower(p.term)) AND regexp_matches(lower(d.text),
-      '(^|[^\\pL\\pN_])' || regexp_escape(lower(p.term)) || '($|[^\\pL\\pN_])')
-    WHERE regexp_full_match(p.term, '[A-Za-z]+ [A-Za-z]+')""")
+@query(f"""WITH phrases AS (SELECT DISTINCT lower(term) AS p, term FROM (
+      SELECT {o.squish("split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)")} AS term FROM benchmark)
+      WHERE regexp_full_match(term, '[A-Za-z]+ [A-Za-z]+')),
+    marked AS MATERIALIZED (SELECT doc_id, '#' || regexp_replace(lower(text), '[^\\pL\\pN_ ]', '#', 'g') || '#' AS t FROM documents)
+    SELECT m.doc_id, p.term FROM marked m, phrases p WHERE contains(m.t, p.p) AND (contains(m.t, ' ' || p.p || ' ')
+      OR contains(m.t, ' ' || p.p || '#') OR contains(m.t, '#' || p.p || ' ') OR contains(m.t, '#' || p.p || '#'))""")
 def mention_phrases(spark, sf):
     """Two-word terms: joined on the first word, settled on the text."""
     words = F.split("text", " ")
