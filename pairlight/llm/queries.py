@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm import bpe, decontaminate, rans, simhash
+from pairlight.llm import bpe, decontaminate, lines, rans, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,5 +37,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op6_byte_bpe": op6_byte_bpe}
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_chunks", "n_removed", "removed_chars", F.length("text_kept").alias("kept_chars"), F.sha2("text_kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op4_decontamination": op4_decontamination, "op6_byte_bpe": op6_byte_bpe, "op8_line_dedup": op8_line_dedup}
 ORACLE: dict[str, str] = {}
