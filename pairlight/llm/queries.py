@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm import bpe, chat, decontaminate, lines, pii, rans, simhash
+from pairlight.llm import ann, bpe, chat, decontaminate, lines, pii, rans, shards, simhash
+from pairlight.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,5 +75,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_chunks", "n_removed", "removed_chars", F.length("text_kept").alias("kept_chars"), F.sha2("text_kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op3_chat_format": op3_chat_format, "op4_decontamination": op4_decontamination, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup}
+def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = shards.kd_shards(table(spark, sf_dir, "documents"), leaves=8)
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = cut(ann.index(table(spark, sf_dir, "embeddings")))
+    return ann.search(coded, coded.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op3_chat_format": op3_chat_format, "op4_decontamination": op4_decontamination, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_kd_shards": op9_kd_shards,
+           "op10_one_bit_ann": op10_one_bit_ann}
 ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL}
