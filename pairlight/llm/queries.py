@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm import ann, bpe, chat, decontaminate, lines, pii, rans, shards, simhash
+from pairlight.llm import ann, bpe, chat, decontaminate, lines, pii, rans, shards, simhash, toxicity
 from pairlight.session import cut
 
 
@@ -20,6 +20,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """Labels that may be learnt from; the rest are held out."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, learnable(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *where).drop("text")
@@ -85,6 +97,7 @@ def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(coded, coded.where(F.col("vec_id") % 20 == 0), k=20)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op3_chat_format": op3_chat_format, "op4_decontamination": op4_decontamination, "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_kd_shards": op9_kd_shards,
+QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op3_chat_format": op3_chat_format, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity,
+           "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_kd_shards": op9_kd_shards,
            "op10_one_bit_ann": op10_one_bit_ann}
 ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL}
