@@ -1,0 +1,65 @@
+"""Spans against plain regular expressions."""
+
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from pairlight.llm import pii, queries
+
+
+def digits(s):
+    return re.sub("[^0-9]", "", s)
+
+
+def luhn(s):
+    return sum(x - 9 * (x > 9) for x in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(s)))) % 10 == 0
+
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m)) <= 19 and luhn(digits(m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+]
+
+
+def slow(text):
+    found = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in re.finditer(p, text or "") if ok(m[0]))
+    return ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in found)
+
+
+ODD = [
+    "a@b.c_d@e.f x@y", "😀a@b.co 1.2.3.4.5.6.7 0001.2.3.0255 256.1.1.1", "4539 1488 0343 6467-1 4539148803436467", "+1 (2) 3-4.5 +123456789 +1 23456789 9 12", None, "", "1 " * 3000,
+    "+" * 50 + "1 2 3", "9" * 5000, "é" * 100 + " a.b+c@d-e.f-g.h. ", "a@b.c " * 300, "12-34 5 " * 200, "x" * 20_000, "1.1.1.1 1.1.1.1", "%@a.b-.c @a.b", "+12345678901234567", "a@b.c" * 50,
+    "mail me@x.org, call +1 (988) 555-2485 or 10.0.0.1\n4041894974608795", "1.2.3.4" * 40, "0.0.0.00000000000000000000000255",
+]
+
+
+def test_base_spans(spark):
+    docs = spark.createDataFrame([(i, t, "e") for i, t in enumerate(ODD)] * 2, "doc_id long, text string, pii string")
+    made = pii.find(docs).select("doc_id", pii.listed(F.filter("pii", lambda s: s["nr"] < 4)).alias("spans")).collect()
+    assert len(made) == 2 * len(ODD)
+    for r in made:
+        assert r.spans == slow(ODD[r.doc_id]), ODD[r.doc_id][:50]
+    assert pii.find(docs.limit(0)).count() == 0
+
+
+def test_checked_and_context_kinds(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32 and DE89370400440532013000 x", "GB82 WEST 1234 5698 7654 33", "my ssn is 123-45-6789", "no 123-45-6789", "ssn 000-12-3456", "write to a@b.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    made = {r.doc_id: r.pii for r in pii.find(docs).collect()}
+    assert [texts[0][s.start : s.end] for s in made[0] if s.kind == "account"] == ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    assert not [s for s in made[1] if s.kind == "account"] and not made[3] and not made[4]
+    assert [s.kind for s in made[2]] == ["national"] and made[5][0].score > pii.KINDS[0].score
+
+
+def test_op7_query(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    for r in queries.op7_pii(spark, sf).collect():
+        want = slow(texts.pop(r.doc_id))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want.count(k + ":") for k in ("email", "ip", "card", "phone")]
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+    assert not texts
