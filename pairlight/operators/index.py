@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pairlight.functions import text as tx
+
 SECTION = ["link_id", "db_record_id"]
 
 
@@ -14,9 +15,13 @@ def index_diff(old: DataFrame, new: DataFrame, delete_unvisited: bool = False) -
 
     Only text decides between updated and unchanged. A chunk is deleted when its
     section was visited and no longer produces it. `delete_unvisited` also drops
-    chunks of sections that the load did not visit at all.
+    chunks of sections that the load did not visit at all. Rows of sections that
+    the load does not visit take no part in the comparison: a small load moves
+    only its own sections.
     """
-    o = old.withColumn("_o", F.lit(True)).alias("o")
+    visited = new.select(*SECTION).distinct()
+    rest = old.join(visited, SECTION, "left_anti").withColumn("status", F.lit("deleted" if delete_unvisited else None).cast("string"))
+    o = old.join(visited, SECTION, "left_semi").withColumn("_o", F.lit(True)).alias("o")
     n = new.withColumn("_n", F.lit(True)).alias("n")
     both = o.join(n, F.col("o.chunk_id") == F.col("n.chunk_id"), "full_outer")
     is_new, is_old = F.col("n._n").isNotNull(), F.col("o._o").isNotNull()
@@ -27,14 +32,9 @@ def index_diff(old: DataFrame, new: DataFrame, delete_unvisited: bool = False) -
              else F.when(~take_new, F.col(f"o.{c}"))).alias(c)
             for c in old.columns
         ],
-        F.when(is_new & ~is_old, "added").when(take_new, "updated").when(is_new, "unchanged").alias("status"),
+        F.when(is_new & ~is_old, "added").when(take_new, "updated").when(is_new, "unchanged").otherwise("deleted").alias("status"),
     )
-    if delete_unvisited:
-        gone = F.lit("deleted")
-    else:
-        # One section's chunks, bounded by the length of its text.
-        gone = F.when(F.max(F.col("status").isNotNull()).over(W.partitionBy(*SECTION)), F.lit("deleted"))
-    return merged.withColumn("status", F.coalesce("status", gone))
+    return merged.unionByName(rest.select(*merged.columns))
 
 
 def embed_changes(diff: DataFrame, embedder, text: str = "text") -> DataFrame:
@@ -48,12 +48,19 @@ def embed_changes(diff: DataFrame, embedder, text: str = "text") -> DataFrame:
     )
 
 
-def index_report(diff: DataFrame, rejected: DataFrame) -> DataFrame:
-    """One row of counts for a run. Distinct drugs and sections are counted exactly."""
+def index_report(diff: DataFrame, rejected: DataFrame, drugs: DataFrame, labels: DataFrame, sections: DataFrame, links: DataFrame) -> DataFrame:
+    """One row of counts for a run over the given tables. Distinct drugs and sections are counted exactly.
+
+    A drug is processed if it has a link to a label, a section if it has chunks;
+    a section with text but without chunks is skipped as empty.
+    """
+    whole = links.join(drugs.select("drug_id", "rxcui"), "drug_id").join(labels.select("label_id"), "label_id", "left_semi").select("link_id", "label_id", "rxcui")
+    texts = sections.where(F.col("found") & (tx.strip(F.coalesce("text", F.lit(""))) != "")).select("label_id", "section_id")
+    linked = whole.agg(F.count_distinct("rxcui").alias("drugs_processed"))
+    texted = texts.join(whole, "label_id").agg(F.count_distinct("link_id", "section_id").alias("_texts"))
     status = F.col("status")
     live = status.isin("added", "updated", "unchanged")
     counts = diff.agg(
-        F.count_distinct(F.when(live, F.col("rxcui"))).alias("drugs_processed"),
         F.count_distinct(F.when(live, F.struct(*SECTION))).alias("sections_processed"),
         F.count_if(status == "added").alias("chunks_added"),
         F.count_if(status == "updated").alias("chunks_updated"),
@@ -62,5 +69,10 @@ def index_report(diff: DataFrame, rejected: DataFrame) -> DataFrame:
     )
     bad = rejected.agg(F.count("*").alias("malformed_records_skipped"))
     # One row each; added up, so that no join is needed.
-    return counts.unionByName(bad, allowMissingColumns=True).agg(*[
-        F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*counts.columns, "malformed_records_skipped")])
+    one = counts
+    for more in (bad, linked, texted):
+        one = one.unionByName(more, allowMissingColumns=True)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return one.agg(
+        total("drugs_processed").alias("drugs_processed"), *[total(c).alias(c) for c in (*counts.columns, "malformed_records_skipped")],
+        (total("_texts") - total("sections_processed")).alias("skipped_empty_sections"))

@@ -25,17 +25,17 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text:
         .withColumn("_key", tx.fold(F.col("_term")))
         .withColumn("_word", F.aggregate(tx.tokens(F.col("_key")), F.lit(""), longest))
     )
-    # A term without any word character is filed under the empty word, which every text has.
-    words = texts.select(
-        F.col(key).alias("_id"),
-        F.explode(F.array_union(F.array_distinct(tx.tokens(F.col(text))), F.array(F.lit("")))).alias("_word"),
-    )
+    words = texts.select(F.col(key).alias("_id"), F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("_word"))
     single = entries.where((F.col("_word") == F.col("_key")))
-    longer = entries.where((F.col("_word") != F.col("_key")))
+    longer = entries.where((F.col("_word") != F.col("_key")) & (F.col("_word") != ""))
+    # Only a term without any word character meets every text; without such terms this side is empty.
+    bare = entries.where(F.col("_word") == "")
+    everywhere = texts.select(F.col(key).alias("_id"), F.lit("").alias("_word")).join(bare, "_word").select("_id", "_term", "_key")
     sure = words.join(single, "_word").select("_id", "_term")
     checked = (
         words.join(longer, "_word")
         .select("_id", "_term", "_key")
+        .unionByName(everywhere)
         .join(texts.select(F.col(key).alias("_id"), F.lower(text).alias("_text")), "_id")
         .where(F.contains("_text", "_key") & F.rlike("_text", tx.whole_word_pattern(F.col("_key"))))
         .select("_id", "_term")

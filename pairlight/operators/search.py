@@ -28,6 +28,17 @@ def metadata_filter(df: DataFrame, conditions: dict[str, object]) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
 
 
+def usable(vector: str):
+    """Whether a vector can be searched: not null or empty, no null or non-finite value."""
+    v = F.col(vector)
+    return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+
+
+def vector_rejects(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, reason) of the rows that a search leaves out."""
+    return df.where(~F.coalesce(usable(vector), F.lit(False))).select(key, F.lit("vector missing or not finite").alias("reason"))
+
+
 def _block_top_k(k: int, digits: int):
     """Top k of one block of chunks for each query of one block of queries."""
 
@@ -79,8 +90,11 @@ def top_k(
     counts, so a scope that owns a third of all chunks is spread over as many
     tasks as it needs and no task holds more than one block of each side. A pair
     of blocks gives back only k rows per query; the block winners are then ranked
-    once more. Nothing is left out, the result is exact.
+    once more. The result is exact over all usable vectors of a query's own
+    length; `vector_rejects` lists the others.
     """
+    queries = queries.where(usable("qvec")).withColumn("_dim", F.size("qvec"))
+    chunks = chunks.where(usable("cvec")).withColumn("_dim", F.size("cvec"))
     if "scope" in queries.columns:
         def sized(df: DataFrame, block: int, out: str) -> DataFrame:
             return df.groupBy("scope").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(out))
@@ -98,13 +112,13 @@ def top_k(
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (
         queries.withColumn("_qb", F.expr("int(pmod(xxhash64(query_id), _nq))"))
-        .select("scope", "_qb", all_of("_nc").alias("_cb"), "query_id", "qvec")
+        .select("scope", "_qb", all_of("_nc").alias("_cb"), "_dim", "query_id", "qvec")
     )
     right = (
         chunks.withColumn("_cb", F.expr("int(pmod(xxhash64(chunk_id), _nc))"))
-        .select("scope", "_cb", all_of("_nq").alias("_qb"), "chunk_id", "cvec")
+        .select("scope", "_cb", all_of("_nq").alias("_qb"), "_dim", "chunk_id", "cvec")
     )
-    keys = ["scope", "_qb", "_cb"]
+    keys = ["scope", "_qb", "_cb", "_dim"]
     winners = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         _block_top_k(k, digits), "query_id string, chunk_id string, distance double"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -19,9 +20,13 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], compare: list[str],
 
     Keys match null-safely. `stamp` moves only on a change; `touch` names a time
     that every visited row gets. Columns outside `compare` keep their stored
-    value. `also_changed` lists keys whose child rows changed. `new` must have
-    one row per key.
+    value. `also_changed` lists keys whose child rows changed. Two rows of `new`
+    with one key are an error that names the key.
     """
+    # counted on the partitioning that the join needs anyway
+    several = F.count(F.lit(1)).over(W.partitionBy(*key)) > 1
+    named = F.raise_error(F.concat(F.lit("more than one new row for the key "), F.to_json(F.struct(*key)))).cast("boolean")
+    new = new.withColumn("_several", several).where(F.when(F.col("_several"), named).otherwise(True)).drop("_several")
     on = reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key])
     o = old.withColumn("_in_old", F.lit(True)).alias("o")
     n = new.withColumn("_in_new", F.lit(True)).alias("n")

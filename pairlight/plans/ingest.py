@@ -37,9 +37,12 @@ class Store:
     def read(cls, spark, folder: str, version: int) -> Store:
         return cls(*[tables.read_snapshot(spark, folder, f.name, version) for f in fields(cls)])
 
-    def write(self, folder: str, version: int) -> None:
+    def write(self, folder: str, version: int, run: str | None = "load") -> None:
+        """Write all tables, then mark the version as complete; run None leaves the mark to the caller."""
         for f in fields(self):
             tables.write_snapshot(getattr(self, f.name), folder, f.name, version)
+        if run is not None:
+            tables.commit(self.drugs.sparkSession, folder, run, version, version)
 
 
 @dataclass(frozen=True)
@@ -58,6 +61,11 @@ class Sources:
     documents: DataFrame
 
 
+def first_value(*names: str) -> Column:
+    """The first of the columns that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
+
+
 def choose_labels(found: DataFrame, documents: DataFrame) -> DataFrame:
     """One label per rxcui: the first of three candidates with interaction text, else the first.
 
@@ -108,7 +116,9 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
         F.transform(F.coalesce("brand_names", F.array()), lambda b: F.struct(b.alias("synonym"), F.lit("brand").alias("synonym_type"))),
         F.transform(F.coalesce("synonyms", F.array()), lambda s: F.struct(s.alias("synonym"), F.lit("synonym").alias("synonym_type"))),
     )
-    synonyms = drugs.select("drug_id", F.explode(kinds).alias("k")).select("drug_id", "k.synonym", "k.synonym_type")
+    # In stored order; the first of equal ones.
+    synonyms = drugs.select("drug_id", F.posexplode(kinds).alias("ord", "k")).groupBy("drug_id", "k.synonym", "k.synonym_type").agg(
+        (F.min("ord") + 1).alias("ord"))
     synonym_diff = upsert.reconcile(store.drug_synonyms, synonyms, drugs, "drug_id")
     moved = synonym_diff.where(F.col("status").isin("added", "deleted")).join(drugs.select("drug_id", "rxcui"), "drug_id")
     drug_diff = upsert.upsert(store.drugs, drugs.drop("brand_names", "synonyms"), ["rxcui"], DRUG_FIELDS, as_of, also_changed=moved)
@@ -119,8 +129,8 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
     chosen = cut(choose_labels(found, documents))
     usable = chosen.where(F.col("evidence_status") != "error").select(
         "rxcui", tables.natural_id("rxcui").alias("drug_id"), F.col("setid").alias("doc"),
-        F.coalesce("doc_setid", "setid").alias("setid"), F.coalesce("doc_version", "spl_version").alias("spl_version"),
-        F.coalesce("doc_title", "title").alias("title"), "manufacturer", "published_date",
+        first_value("doc_setid", "setid").alias("setid"), first_value("doc_version", "spl_version").alias("spl_version"),
+        first_value("doc_title", "title").alias("title"), "manufacturer", "published_date",
         F.concat(F.lit("label?setid="), "setid").alias("source_url"), F.concat(F.lit("labels/"), "setid", F.lit(".xml")).alias("api_url"),
         *LINK_FIELDS,
     ).withColumn("label_id", tables.natural_id("setid", "spl_version"))
@@ -168,5 +178,5 @@ def build_index(store: Store, old: DataFrame, embedder, rxcuis: DataFrame | None
     sections = slim(store.label_sections, "updated_at")
     links = slim(links, "retrieved_at")
     diff = index.index_diff(old, chunking.build_chunks(drugs, labels, sections, links, size, overlap))
-    report = index.index_report(diff, chunking.rejects(drugs, labels, sections, links))
+    report = index.index_report(diff, chunking.rejects(drugs, labels, sections, links), drugs, labels, sections, links)
     return index.embed_changes(diff, embedder), report

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlight import vocab
@@ -27,6 +27,11 @@ class Knowledge:
     classes: DataFrame
     index: DataFrame
 
+    @classmethod
+    def of_store(cls, store, index: DataFrame) -> Knowledge:
+        """What a load wrote (pairlight.plans.ingest.Store) with the index built from it and the fixed classes."""
+        return cls(store.drugs, store.drug_synonyms, class_table(index.sparkSession), index)
+
     def terms(self) -> DataFrame:
         """(rxcui, term, ord): the normalized name, then the synonyms in stored order."""
         own = self.drugs.where(F.coalesce("normalized_name", F.lit("")) != "").select(
@@ -36,6 +41,12 @@ class Knowledge:
         return own.unionByName(other)
 
 
+def class_table(spark: SparkSession) -> DataFrame:
+    """The fixed class terms and their members."""
+    rows = [(term, i, m) for i, (term, members) in enumerate(vocab.CLASS_TERMS.items()) for m in members]
+    return spark.createDataFrame(rows, "class_term string, ord int, member string")
+
+
 def resolve_pairs(asked: DataFrame, known: Knowledge) -> DataFrame:
     """Adds rxcui_a and rxcui_b to distinct (drug_a, drug_b), null where unknown.
 

@@ -69,9 +69,8 @@ CTES = {
     "synonyms": """SELECT drug_id, term AS synonym, CASE WHEN ord % 2 = 0 THEN 'brand' ELSE 'synonym' END AS synonym_type, ord
         FROM terms WHERE ord > 1""",
     "classes": """SELECT c.word AS class_term, c.ord, lower(d.normalized_name) AS member FROM (
-        SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS ord FROM (
-          SELECT word, count(*) AS n FROM bwords WHERE length(word) = 6 GROUP BY word) ORDER BY n DESC, word LIMIT 5) c
-        JOIN drugs d ON d.drug_id % 5 = c.ord WHERE d.normalized_name IS NOT NULL""",
+        SELECT DISTINCT word, ('0x' || substr(md5(word), 1, 12))::BIGINT AS ord FROM bwords WHERE length(word) = 6) c
+        JOIN drugs d ON d.drug_id % 5 = c.ord % 5 WHERE d.normalized_name IS NOT NULL""",
     "keys": f"SELECT * FROM (VALUES {SECTION_VALUES}) AS t(k, section_key, section_code, section_name)",
     "rawsections": f"""SELECT d.doc_id AS label_id, d.doc_id * 7 + k AS section_id, k, section_key, section_code, section_name, lang,
         {squish("array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: (i - 1) % 7 = k), ' ')")} AS raw

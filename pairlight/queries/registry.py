@@ -202,16 +202,16 @@ def class_mentions(spark, sf):
 
 
 @query(f"""WITH phrases AS (SELECT DISTINCT lower(term) AS p, term FROM (
-      SELECT {o.squish("split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3)")} AS term FROM benchmark)
+      SELECT {o.squish("w[i] || ' ' || w[i + 1]")} AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (
+        SELECT string_split(text, ' ') AS w FROM benchmark)))
       WHERE regexp_full_match(term, '[A-Za-z]+ [A-Za-z]+')),
     marked AS MATERIALIZED (SELECT doc_id, '#' || regexp_replace(lower(text), '[^\\pL\\pN_ ]', '#', 'g') || '#' AS t FROM documents)
     SELECT m.doc_id, p.term FROM marked m, phrases p WHERE contains(m.t, p.p) AND (contains(m.t, ' ' || p.p || ' ')
       OR contains(m.t, ' ' || p.p || '#') OR contains(m.t, '#' || p.p || ' ') OR contains(m.t, '#' || p.p || '#'))""")
 def mention_phrases(spark, sf):
-    """Two-word terms: joined on the first word, settled on the text."""
-    words = F.split("text", " ")
-    phrase = tx.squish(F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(2))))
-    phrases = table(spark, sf, "benchmark").select(phrase.alias("term")).where(
+    """All neighbouring words as two-word terms: joined on the longer word, settled on the text."""
+    pair = tx.let(F.split("text", " "), lambda w: F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
+    phrases = table(spark, sf, "benchmark").select(F.explode(pair).alias("term")).select(tx.squish(F.col("term")).alias("term")).where(
         F.col("term").rlike(r"^[A-Za-z]+ [A-Za-z]+\z")).distinct()
     return mentions.match_terms(table(spark, sf, "documents").select("doc_id", "text"), phrases, key="doc_id")
 
@@ -627,21 +627,26 @@ def chunk_diff(spark, sf):
 
 
 @query(f"""WITH {CHUNK_DIFF}, e AS (SELECT chunk_id, {o.hash_vec('text')} AS v FROM d WHERE status IS DISTINCT FROM 'deleted')
-    SELECT chunk_id, round(v[1], 9) AS v0, round(v[16], 9) AS v15 FROM e""")
+    SELECT chunk_id, j AS pos, round(v[j + 1], 9) AS value FROM e, range(16) t(j)""")
 def embed_changes(spark, sf):
     """Next index: new vectors for changed chunks, stored vectors for the others."""
     rows = index.embed_changes(_chunk_diff(spark, sf), roles.EMBEDDER)
-    return rows.select("chunk_id", F.round(F.col("embedding")[0], 9).alias("v0"), F.round(F.col("embedding")[15], 9).alias("v15"))
+    return rows.select("chunk_id", F.posexplode("embedding").alias("pos", "value")).select(
+        "chunk_id", F.col("pos").cast("long").alias("pos"), F.round("value", 9).alias("value"))
 
 
-@query(f"""WITH {CHUNK_DIFF} SELECT (SELECT count(DISTINCT drug_id) FROM links WHERE link_id IN (SELECT link_id FROM d WHERE status <> 'deleted')) AS drugs_processed,
+@query(f"""WITH {CHUNK_DIFF} SELECT (SELECT count(DISTINCT drug_id) FROM links JOIN drugs USING (drug_id) JOIN documents ON doc_id = label_id WHERE documents.lang <> 'es') AS drugs_processed,
     count(DISTINCT db_record_id) FILTER (status <> 'deleted') AS sections_processed,
+    (SELECT count(*) FROM sections JOIN links USING (label_id) JOIN drugs USING (drug_id) WHERE found AND lang <> 'es')
+      - (SELECT count(DISTINCT db_record_id) FROM new) AS skipped_empty_sections,
     count(*) FILTER (status = 'added') AS chunks_added, count(*) FILTER (status = 'updated') AS chunks_updated,
     count(*) FILTER (status = 'unchanged') AS chunks_unchanged, count(*) FILTER (status = 'deleted') AS chunks_deleted_stale,
     (SELECT count(*) FROM links WHERE drug_id = 3) + (SELECT count(*) FROM sections JOIN links USING (label_id)
       WHERE found AND lang = 'de' AND drug_id <> 3) AS malformed_records_skipped FROM d""")
 def index_report(spark, sf):
-    return index.index_report(_chunk_diff(spark, sf), chunking.rejects(*_orphaned(spark, sf)))
+    """Every drug with a whole link counts, also one whose sections give no chunk."""
+    loaded = roles.drugs(spark, sf), roles.labels(spark, sf).where("manufacturer <> 'es'"), roles.sections(spark, sf), roles.links(spark, sf)
+    return index.index_report(_chunk_diff(spark, sf), chunking.rejects(*_orphaned(spark, sf)), *loaded)
 
 
 # Pairs -----------------------------------------------------------------------------------------

@@ -23,16 +23,10 @@ from pairlight.session import cut
 
 DRUGS = 20
 DIM = 16
-SPREAD = ("documents", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One with fewer file splits than cores is small enough to spread over them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def drug_number(source: Column) -> Column:
@@ -71,13 +65,15 @@ def synonyms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def classes(spark: SparkSession, sf: str, stored: DataFrame | None = None) -> DataFrame:
-    """The five most frequent words of six letters; class c has every drug whose number leaves c modulo five."""
-    top = word_counts(spark, sf, F.length("word") == 6).orderBy(F.desc("n"), "word").limit(5)
-    ranked = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("w")).select(
-        F.posexplode("w").alias("ord", "w")).select("ord", F.col("w.word").alias("class_term"))
+    """Words of six letters are class terms, declared in the order of their hashes and dealt by them to five classes.
+
+    A class has every drug whose number leaves the class modulo five.
+    """
+    code = F.conv(F.substring(F.md5("word"), 1, 12), 16, 10).cast("long")
+    declared = word_counts(spark, sf, F.length("word") == 6).select(F.col("word").alias("class_term"), code.alias("ord"), (code % 5).alias("_c"))
     members = (drugs(spark, sf) if stored is None else stored).where(F.col("normalized_name").isNotNull()).select(
-        (F.col("drug_id") % 5).cast("int").alias("ord"), F.lower("normalized_name").alias("member"))
-    return ranked.join(members, "ord")
+        (F.col("drug_id") % 5).alias("_c"), F.lower("normalized_name").alias("member"))
+    return declared.join(members, "_c").drop("_c")
 
 
 def sections(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,10 +19,12 @@ _RAW = (
 
 
 def read_label_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, xml) per file. One file is one row, so files stay the unit of parallel work."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("doc"), F.col("value").alias("xml")
-    )
+    """(doc, xml) per file; doc is the file's name without .xml, the set id under which a load looks for it.
+
+    One file is one row, so files stay the unit of parallel work.
+    """
+    name = F.url_decode(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[xX][mM][lL])?$", 1))
+    return spark.read.text(path, wholetext=True).select(name.alias("doc"), F.col("value").alias("xml"))
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ SCHEMAS = {
     "drugs": "drug_id bigint, rxcui string, normalized_name string, term_type string, generic_name string, "
              "input_name string, match_type string, match_score double, source string, source_url string, "
              "created_at timestamp, updated_at timestamp",
-    "drug_synonyms": "drug_id bigint, synonym string, synonym_type string",
+    "drug_synonyms": "drug_id bigint, synonym string, synonym_type string, ord int",
     "labels": "label_id bigint, setid string, spl_version string, title string, manufacturer string, "
               "published_date string, source_url string, api_url string, retrieved_at timestamp, updated_at timestamp",
     "label_sections": "section_id bigint, label_id bigint, section_key string, section_code string, "
@@ -22,14 +23,6 @@ SCHEMAS = {
                    "section_name string, section_code string, source_url string, api_url string, "
                    "db_record_id bigint, link_id bigint, evidence_status string, chunk_index int, total_chunks int",
 }
-KEYS = {
-    "drugs": ["rxcui"],
-    "drug_synonyms": ["drug_id", "synonym", "synonym_type"],
-    "labels": ["setid", "spl_version"],
-    "label_sections": ["label_id", "section_code"],
-    "drug_label_links": ["drug_id", "label_id"],
-    "chunk_index": ["chunk_id"],
-}
 
 
 def natural_id(*columns: str):
@@ -50,16 +43,13 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[table])
 
 
-def write_snapshot(df: DataFrame, folder: str, table: str, version: int, partition_by: str | None = None) -> str:
+def write_snapshot(df: DataFrame, folder: str, table: str, version: int) -> str:
     """Write a whole table to the folder of its version; readers of older versions are not disturbed.
 
     A task or a batch that is run again replaces its own version only.
     """
     path = f"{folder}/{table}/version={version}"
-    writer = conform(df, table).write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    conform(df, table).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -67,6 +57,33 @@ def read_snapshot(spark: SparkSession, folder: str, table: str, version: int) ->
     return conform(spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}/version={version}"), table)
 
 
+COMMITS = "run string, batch_id bigint, version bigint"
+
+
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    """(run, batch_id, version) of every version that is complete; none for a new folder."""
+    found = read_or_none(spark, f"{folder}/commits", COMMITS)
+    return spark.createDataFrame([], COMMITS) if found is None else found
+
+
+def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def latest(spark: SparkSession, folder: str) -> int | None:
+    return commits(spark, folder).agg(F.max("version")).first()[0]
+
+
+def commit(spark: SparkSession, folder: str, run: str, batch_id: int, version: int) -> None:
+    """Mark a version as complete, after all its tables are written."""
+    spark.createDataFrame([(run, batch_id, version)], COMMITS).coalesce(1).write.mode("append").parquet(f"{folder}/commits")
+
+
 def by_ids(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
 

@@ -35,8 +35,10 @@ def _with_segments(events: DataFrame, key: str, limit: int, window: int) -> Data
     before it is more than a window older, or when the two buckets before hold no
     more than `limit` events together: then every event of the last bucket is let
     in whatever came earlier, and those events, repeated as a warm-up, are all the
-    segment has to know. So a key with a third of all events is still spread over
-    many tasks. Only counts per bucket are shuffled to find the cuts.
+    segment has to know. A key with many events and pauses is so spread over many
+    tasks; one that stays above half its limit in every two windows cannot be cut,
+    as each decision then depends on the one before. Only counts per bucket are
+    shuffled to find the cuts.
     """
     buckets = events.groupBy(key, "_bucket").agg(
         F.min("_t").alias("_lo"), F.max("_t").alias("_hi"), F.count("*").alias("_n"))
@@ -102,13 +104,16 @@ def admit_batch(events: DataFrame, key: str, ts: str, order: str, limit: int = L
 
 
 def admit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int = LIMIT,
-                 window_seconds: float = WINDOW, lateness: str | None = None) -> DataFrame:
+                 window_seconds: float = WINDOW, idle_seconds: float | None = None) -> DataFrame:
     """Streaming form: state per key is the times of its last admitted events, at most `limit`.
 
     The events of one trigger are decided in the order of ts, then `order`; across
     triggers the order of arrival counts. The source's limit per trigger bounds
-    what a key can bring at once. With `lateness` the state of a silent key is
-    dropped once the watermark has passed its window; without it state stays.
+    what a key can bring at once. Every event gets a decision, however late it
+    is: there is no watermark that could take it away. With `idle_seconds` the
+    state of a key that brings nothing for so long (by the clock, so choose more
+    than the window and the greatest delay together) is dropped; without it state
+    stays.
     """
     window = round(window_seconds * 1e6)
     key_type = events.schema[key].dataType
@@ -125,15 +130,13 @@ def admit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int =
         rows = pd.concat(list(batches)).sort_values(["_t", order])
         decided = [admit(hits, int(now), limit, window) for now in rows["_t"]]
         state.update((list(hits),))
-        if lateness and hits:
-            state.setTimeoutTimestamp(max(int(hits[-1] + window) // 1000, state.getCurrentWatermarkMs() + 1))
+        if idle_seconds:
+            state.setTimeoutDuration(round(idle_seconds * 1000))
         yield pd.DataFrame({
             key: [group[0]] * len(rows), order: rows[order].tolist(),
             "allowed": [d[0] for d in decided], "retry_after": [d[1] for d in decided],
         })
 
     timed = events.select(key, order, ts).withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    if lateness:
-        timed = timed.withWatermark(ts, lateness)
-    timeout = GroupStateTimeout.EventTimeTimeout if lateness else GroupStateTimeout.NoTimeout
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout
     return timed.groupBy(key).applyInPandasWithState(run, out_schema, "hits array<bigint>", "append", timeout)

@@ -7,6 +7,7 @@ from pairlight import vocab
 from pairlight.functions.vectors import HashEmbedder
 from pairlight.operators import candidates, index, upsert
 from pairlight.plans import ingest as plan
+from pairlight.plans import pair_evidence as pe
 from pairlight.sources import label_xml, tables, vocabulary
 from pairlight.streaming import ingest as stream
 
@@ -202,16 +203,78 @@ def test_streamed_load_is_idempotent(spark, tmp_path):
     names.mkdir()
     (names / "1.json").write_text('{"pos": 1, "name": "warfarin"}\n{"pos": 2, "name": "nobody"}\n')
     folder, checkpoint = str(tmp_path / "store"), str(tmp_path / "cp")
-    run = lambda: stream.start(stream.read_names(spark, str(names)), folder, checkpoint,
-                               lambda: sources(spark, {"w2": "Avoid NSAIDs."}), EMBED).awaitTermination()
-    run()
+    load_from = lambda: sources(spark, {"w2": "Avoid NSAIDs."})
+    run = lambda cp: stream.start(stream.read_names(spark, str(names)), folder, cp, load_from, EMBED).awaitTermination()
+    run(checkpoint)
+    assert tables.latest(spark, folder) == 0
     assert tables.read_snapshot(spark, folder, "drugs", 0).count() == 1
     assert tables.read_snapshot(spark, folder, "chunk_index", 0).count() == 1
+    report = {r.name: r.drug_status for r in spark.read.parquet(f"{folder}/reports/version=0").collect()}
+    assert report == {"warfarin": "added", "nobody": "failed"}
     (names / "2.json").write_text('{"pos": 3, "name": "Warfarin"}\n{"pos": 4, "name": "ibuprofen"}\n')
-    run()
+    run(checkpoint)
     drugs = tables.read_snapshot(spark, folder, "drugs", 1)
     assert {r.rxcui for r in drugs.collect()} == {"11289", "5640"}
     assert tables.read_snapshot(spark, folder, "chunk_index", 1).count() == 2
     batch = spark.createDataFrame([(3, "Warfarin"), (4, "ibuprofen")], "pos bigint, name string")
-    stream.load_batch(spark, batch, folder, 1, sources(spark, {"w2": "Avoid NSAIDs."}), EMBED)
-    assert tables.read_snapshot(spark, folder, "chunk_index", 1).count() == 2
+    assert stream.load_batch(spark, batch, folder, 1, load_from(), EMBED, run=checkpoint) == 1
+    assert tables.latest(spark, folder) == 1
+    # a fresh checkpoint goes on from what is there
+    run(str(tmp_path / "other"))
+    assert tables.latest(spark, folder) == 2
+    assert {r.rxcui for r in tables.read_snapshot(spark, folder, "drugs", 2).collect()} == {"11289", "5640"}
+    assert tables.read_snapshot(spark, folder, "drugs", 0).count() == 1
+
+
+def test_stream_goes_on_from_a_loaded_store(spark, tmp_path):
+    after, _ = load(spark, plan.Store.empty(spark), ["warfarin"], {"w2": "Avoid NSAIDs."})
+    after.write(str(tmp_path), 0)
+    batch = spark.createDataFrame([(1, "ibuprofen")], "pos bigint, name string")
+    assert stream.load_batch(spark, batch, str(tmp_path), 0, sources(spark, {"w2": "Avoid NSAIDs."}), EMBED) == 1
+    assert tables.read_snapshot(spark, str(tmp_path), "drugs", 1).count() == 2
+    assert tables.read_snapshot(spark, str(tmp_path), "chunk_index", 1).count() == 2
+
+
+def test_load_feeds_the_retrieval(spark):
+    after, _ = load(spark, plan.Store.empty(spark), ["warfarin", "Ibuprofen"], {"w2": "Avoid NSAIDs with warfarin."})
+    rows, _ = plan.build_index(after, tables.empty(spark, "chunk_index"), EMBED)
+    known = pe.Knowledge.of_store(after, rows)
+    assert {(r.term, r.ord) for r in known.terms().where("rxcui = '11289'").collect()} == {("warfarin", 0), ("Coumadin", 1), ("warfarin 5 mg", 2)}
+    resolved = pe.resolve_pairs(spark.createDataFrame([("Coumadin", "ibuprofen")], "drug_a string, drug_b string"), known)
+    evidence = pe.evidence_for(pe.searchable(resolved), known, EMBED)
+    assert [r.evidence_status for r in pe.statuses_for(resolved, evidence).collect()] == [vocab.PAIR_FOUND]
+
+
+def test_label_files_are_found_by_set_id_and_empty_values_fall_back(spark, tmp_path):
+    (tmp_path / "w1.xml").write_text(label("", section("34073-7", "text"), version="").replace("Label ", ""))
+    docs = label_xml.parse_labels(label_xml.read_label_files(spark, str(tmp_path)))
+    found = spark.createDataFrame([("11289", 1, "w1", "7", "Candidate title", "d")], "rxcui string, rank int, setid string, spl_version string, title string, published_date string")
+    concepts = spark.createDataFrame([("11289", "warfarin")], "rxcui string, concept_name string")
+    related = spark.createDataFrame([], "rxcui string, term_type string, brand_names array<string>, generic_name string, synonyms array<string>")
+    names = spark.createDataFrame([(0, "warfarin")], "pos bigint, name string")
+    after, _ = plan.ingest(names, plan.Store.empty(spark), plan.Sources(concepts, related, found, docs), F.lit("2024-01-01").cast("timestamp"))
+    row = after.labels.first()
+    assert (row.setid, row.spl_version, row.title, after.label_sections.where("found").count()) == ("w1", "7", "Candidate title", 1)
+
+
+def test_index_report_counts_drugs_without_chunks(spark):
+    store = small_store(spark, "x")
+    more = plan.Store(store.drugs.unionByName(tables.conform(spark.createDataFrame([(2, "5640", "ibuprofen")], "drug_id bigint, rxcui string, normalized_name string"), "drugs")),
+                      store.drug_synonyms, store.labels.unionByName(tables.conform(spark.createDataFrame([(20, "t", "1")], "label_id bigint, setid string, spl_version string"), "labels")),
+                      store.label_sections, store.drug_label_links.unionByName(spark.createDataFrame([(2000, 2, 20, "interaction_evidence_found", 1, 1, None)], tables.SCHEMAS["drug_label_links"])))
+    _, report = rows_and_report(more, tables.empty(spark, "chunk_index"))
+    assert (report.drugs_processed, report.sections_processed, report.skipped_empty_sections) == (2, 1, 0)
+
+
+def test_unvisited_sections_are_not_compared(spark):
+    rows, _ = rows_and_report(small_store(spark, "some text that is indexed"), tables.empty(spark, "chunk_index"))
+    other = rows.withColumns({"chunk_id": F.lit("z"), "db_record_id": F.lit(7).cast("bigint")})
+    diff = {r.chunk_id: r.status for r in index.index_diff(rows.unionByName(other), rows.drop("embedding")).collect()}
+    assert diff == {"z": None, rows.first().chunk_id: "unchanged"}
+
+
+def test_two_new_rows_with_one_key_are_an_error(spark):
+    old = spark.createDataFrame([], "k string, a string, updated_at timestamp")
+    new = spark.createDataFrame([("1", "x"), ("1", "y")], "k string, a string")
+    with pytest.raises(Exception, match="more than one new row"):
+        upsert.upsert(old, new, ["k"], ["a"]).collect()
