@@ -20,6 +20,23 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+OP4_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS s
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+g AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))),
+hit AS MATERIALIZED (SELECT DISTINCT doc_id, i, n, item_id FROM g JOIN win USING (n, s)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS named FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(named, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def learnable(labels: DataFrame) -> DataFrame:
     """Labels that may be learnt from; the rest are held out."""
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
@@ -100,4 +117,4 @@ def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op3_chat_format": op3_chat_format, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity,
            "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_kd_shards": op9_kd_shards,
            "op10_one_bit_ann": op10_one_bit_ann}
-ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL}
+ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_decontamination": OP4_SQL}

@@ -46,7 +46,7 @@ def test_bpe_of_very_long_words():
 
 def test_bpe_forgets_and_stays_right():
     own, lib = bpe.Bpe(library()._mergeable_ranks, P.PATTERN, piece_limit=5), library()
-    own.chunks.limit, own.chunks.group_chars = 3, 20
+    own.chunks.known.limit, own.chunks.group_chars = 3, 20
     texts = odd_texts() * 2
     assert [x.tolist() for x in own.encode(texts)] == [lib.encode_ordinary(t) for t in texts]
 
