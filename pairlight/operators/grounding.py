@@ -165,10 +165,13 @@ def validate(answers: DataFrame, evidence: DataFrame, statuses: DataFrame) -> Da
     )
 
 
-def failure_category(provider: Column, status_code: Column, message: Column) -> Column:
-    """Category of a failed call, by status code or marker in the message, in the provider's order."""
+def failure_category(provider: Column, status_code: Column, message: Column, kind: Column | None = None) -> Column:
+    """Category of a failed call: its kind where the caller knows one (a key of FAILURE_DETAIL), else by
+    status code or marker in the message, in the provider's order."""
     text = F.lower(F.coalesce(message, F.lit("")))
     out = F.when(provider == "disabled", F.lit("disabled"))
+    if kind is not None:
+        out = out.when(kind.isin(*vocab.FAILURE_DETAIL), kind)
     for family, rules in vocab.FAILURE_RULES.items():
         for category, codes, markers in rules:
             test = F.lit(False)

@@ -92,8 +92,9 @@ def evidence_for(pair_ids: DataFrame, known: Knowledge, embedder, k: int = vocab
     per_drug = mentions.by_owner(matched, terms)
     per_class = mentions.by_class(matched, known.classes)
     names = known.drugs.select("rxcui", "normalized_name")
-    classified = pairs.classify(items.join(found, "chunk_id"), per_drug, per_class, names)
-    return pairs.rank_evidence(classified)
+    # Rows are classified and ranked without texts; texts and provenance join the ranked rows.
+    classified = pairs.classify(items.join(found.select("chunk_id", "rxcui"), "chunk_id"), per_drug, per_class, names)
+    return pairs.rank_evidence(classified).join(found.drop("rxcui"), "chunk_id")
 
 
 def statuses_for(resolved: DataFrame, evidence: DataFrame, failed: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from pairlight.plans import pair_evidence as pe
 from pairlight.queries import oracle as o
 from pairlight.queries import roles
 from pairlight.queries.roles import table
+from pairlight.session import work_folder
+from pairlight.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -594,6 +597,24 @@ def link_sync(spark, sf):
     return diff.select("link_id", "status", "retrieved_at")
 
 
+# Stored tables --------------------------------------------------------------------------------
+
+@query("""SELECT label_id, setid, spl_version, title, manufacturer, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version FROM (
+    SELECT doc_id AS label_id, 'set-' || doc_id AS setid, CASE WHEN lang <> 'es' THEN n_chars::VARCHAR END AS spl_version,
+      'label ' || doc_id AS title, lang AS manufacturer, lang FROM documents)""")
+def stored_labels(spark, sf):
+    """Labels written as two complete versions and read back: German labels from the second, the others from the first."""
+    folder = f"{work_folder(spark)}/store-{uuid.uuid4().hex}"
+    labels = roles.labels(spark, sf)
+    for version, rows in ((1, labels), (2, labels.where("manufacturer = 'de'"))):
+        tables.write_snapshot(rows, folder, "labels", version)
+        tables.commit(spark, folder, "query", version, version)
+    newest = tables.latest(spark, folder)
+    read = lambda v: tables.read_snapshot(spark, folder, "labels", v).withColumn("version", F.lit(v))
+    both = read(newest).unionByName(read(newest - 1).where("manufacturer <> 'de'"))
+    return both.select("label_id", "setid", "spl_version", "title", "manufacturer", "version")
+
+
 # Chunk index ---------------------------------------------------------------------------------
 
 def _chunk_diff(spark, sf):

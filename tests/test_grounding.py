@@ -146,3 +146,6 @@ def test_failure_categories(spark):
     df = spark.createDataFrame([r[:3] for r in rows], "p string, c int, m string")
     got = [r.x for r in df.select(grounding.failure_category(F.col("p"), F.col("c"), F.col("m")).alias("x")).collect()]
     assert got == [r[3] for r in rows]
+    kinds = spark.createDataFrame([("xAI", "key_missing"), ("xAI", None), ("disabled", "timeout"), ("xAI", "unheard of")], "p string, k string")
+    none = F.lit(None)
+    assert [r.x for r in kinds.select(grounding.failure_category(F.col("p"), none.cast("int"), none.cast("string"), F.col("k")).alias("x")).collect()] == ["key_missing", "unavailable", "disabled", "unavailable"]
