@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pairlight import vocab
 from pairlight.functions import text as tx
+from pairlight.session import cut
 
 
 def _pieces(text: Column) -> Column:
@@ -117,8 +118,9 @@ def match_vocabulary(
     is lost, and a trigram that most names have is rarely a join key.
     """
     asked = names.select(F.col(name).alias("_raw")).distinct()
-    asked = asked.withColumn("_k", tx.match_key(F.col("_raw")))
-    known = concepts.select("rxcui", "concept_name", tx.match_key(F.col("concept_name")).alias("_k"))
+    # Several branches read both sides: each is written once, with its keys.
+    asked = cut(asked.withColumn("_k", tx.match_key(F.col("_raw"))))
+    known = cut(concepts.select("rxcui", "concept_name", tx.match_key(F.col("concept_name")).alias("_k")))
     exact = (
         asked.where(F.col("_k") != "").join(known.where(F.col("_k") != ""), "_k")
         .groupBy("_raw").agg(F.min_by(F.struct("rxcui", "concept_name"), "rxcui").alias("_hit"))
@@ -186,11 +188,14 @@ def match_vocabulary(
 
 
 def with_lookup_errors(resolved: DataFrame, errors: DataFrame, name: str = "name") -> DataFrame:
-    """Names whose lookup broke become match_type error, never none. `errors` has (name, error)."""
-    out = resolved.join(errors.select(name, "error"), name, "left")
+    """Names whose lookup broke become match_type error, never none, and have no candidates. `errors` has (name, error)."""
+    out = resolved.join(errors.groupBy(name).agg(F.min("error").alias("error")), name, "left")
     broken = F.col("error").isNotNull()
-    for c in ("rxcui", "normalized_name", "match_score", "warning"):
+    for c in ("rxcui", "normalized_name", "match_score"):
         out = out.withColumn(c, F.when(~broken, F.col(c)))
+    if "other_candidates" in resolved.columns:
+        out = out.withColumn("other_candidates", F.when(broken, F.filter("other_candidates", lambda _: F.lit(False))).otherwise(F.col("other_candidates")))
+    out = out.withColumn("warning", F.when(broken, F.lit(vocab.LOOKUP_FAILED)).otherwise(F.col("warning")))
     return out.withColumn("match_type", F.when(broken, F.lit("error")).otherwise(F.col("match_type")))
 
 

@@ -53,12 +53,14 @@ class Sources:
     related:   rxcui, term_type, brand_names, generic_name, synonyms (one row per rxcui)
     found:     rxcui, rank, setid, spl_version, title, published_date (ranked label candidates)
     documents: output of sources.label_xml.parse_labels, doc being the candidate's setid
+    errors:    name, error (names whose lookup broke; None: no lookup did)
     """
 
     concepts: DataFrame
     related: DataFrame
     found: DataFrame
     documents: DataFrame
+    errors: DataFrame | None = None
 
 
 def first_value(*names: str) -> Column:
@@ -95,9 +97,14 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
     """Next store and one report row per name of (pos, name).
 
     Several names may mean one drug; its row then comes from the last of them.
-    A name that means nothing is reported as failed and changes nothing.
+    A name that means nothing is reported as failed and changes nothing; one whose
+    lookup broke is reported as failed with its error.
     """
-    matched = resolve.match_vocabulary(names, sources.concepts).select("name", "match_type", "rxcui", "normalized_name", "match_score")
+    matched = resolve.match_vocabulary(names, sources.concepts).select("name", "match_type", "rxcui", "normalized_name", "match_score", "warning")
+    if sources.errors is None:
+        matched = matched.withColumn("error", F.lit(None).cast("string"))
+    else:
+        matched = resolve.with_lookup_errors(matched, sources.errors)
     # The small results of each step are written: several tables and the report follow from them.
     resolved = cut(names.join(matched, "name"))
     last = W.partitionBy("rxcui").orderBy(F.desc("pos"))
@@ -148,7 +155,7 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
 
     after = Store(*[upsert.next_table(d) for d in (drug_diff, synonym_diff, label_diff, section_diff, link_diff)])
     report = (
-        resolved.select("pos", "name", "rxcui")
+        resolved.select("pos", "name", "rxcui", "match_type", "error", "warning")
         .join(drug_diff.select("rxcui", F.col("status").alias("drug_status")), "rxcui", "left")
         .join(chosen.select("rxcui", "evidence_status"), "rxcui", "left")
         .join(usable.select("rxcui", "drug_id", "label_id"), "rxcui", "left")
@@ -156,7 +163,7 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
         .join(link_diff.select("drug_id", "label_id", F.col("status").alias("link_status")), ["drug_id", "label_id"], "left")
         .join(upsert.status_report(section_diff, ["label_id"]), "label_id", "left")
         .select(
-            "pos", "name", "rxcui",
+            "pos", "name", "rxcui", "match_type", "error", "warning",
             F.when(F.col("rxcui").isNull(), "failed").otherwise(F.col("drug_status")).alias("drug_status"), "label_status", "link_status",
             F.when(F.col("rxcui").isNotNull(), F.coalesce("evidence_status", F.lit("no_label_found"))).alias("evidence_status"),
             *[F.coalesce(s, F.lit(0)).alias(f"sections_{s}") for s in ("added", "updated", "unchanged")],

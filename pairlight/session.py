@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,12 +45,32 @@ def work_folder(spark: SparkSession) -> str:
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut` writes inside are removed at the end; by then everything that reads them must be written."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.remove(paths)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df as a table of its own in the work folder and read it back.
 
     Later branches then read it instead of computing it again, a lost executor
-    costs no more than its own tasks, and the planner knows its size.
+    costs no more than its own tasks, and the planner knows its size. A table
+    that is not to be kept goes with the `scratch` it is written in, if any.
     """
     path = f"{work_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

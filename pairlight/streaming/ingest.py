@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pairlight.operators import resolve
 from pairlight.plans import ingest as plan
-from pairlight.session import cut
+from pairlight.session import cut, scratch
 from pairlight.sources import tables
 
 
@@ -31,6 +31,11 @@ def load_batch(spark: SparkSession, names: DataFrame, folder: str, batch_id: int
     done = tables.commits(spark, folder).where((F.col("run") == run) & (F.col("batch_id") == batch_id)).first()
     if done is not None:
         return done["version"]
+    with scratch(spark):
+        return _next_version(spark, names, folder, batch_id, sources, embedder, run)
+
+
+def _next_version(spark: SparkSession, names: DataFrame, folder: str, batch_id: int, sources: plan.Sources, embedder, run: str) -> int:
     before = tables.latest(spark, folder)
     version = 0 if before is None else before + 1
     store = plan.Store.empty(spark) if before is None else plan.Store.read(spark, folder, before)

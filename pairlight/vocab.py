@@ -120,6 +120,7 @@ FAILURE_DETAIL = {
     "unavailable": "provider is unavailable",
     "other": "provider request failed",
 }
+LOOKUP_FAILED = "the lookup failed, which does not mean that the name is unknown"
 FAILURE_DISABLED = "LLM disabled: running in evidence-only mode."
 FAILURE_FORMAT = "LLM unavailable (%s): %s."
 # Fixed values: (category, status codes, message markers) per family of provider, first hit wins.

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 
 import pytest
@@ -273,6 +274,16 @@ def test_unvisited_sections_are_not_compared(spark):
     assert diff == {"z": None, rows.first().chunk_id: "unchanged"}
 
 
+def test_broken_lookup_is_reported_as_such(spark):
+    given = sources(spark, {"w2": "Avoid NSAIDs."})
+    errors = spark.createDataFrame([("warfarin", "timeout"), ("warfarin", "timeout")], "name string, error string")
+    table = spark.createDataFrame([(0, "warfarin"), (1, "zzzzqq")], "pos bigint, name string")
+    after, report = plan.ingest(table, plan.Store.empty(spark), dataclasses.replace(given, errors=errors), F.lit("2024-01-01").cast("timestamp"))
+    got = {r.name: (r.match_type, r.drug_status, r.error, r.warning) for r in report.collect()}
+    assert got == {"warfarin": ("error", "failed", "timeout", vocab.LOOKUP_FAILED), "zzzzqq": ("none", "failed", None, None)}
+    assert after.drugs.count() == 0
+
+
 def test_two_new_rows_with_one_key_are_an_error(spark):
     old = spark.createDataFrame([], "k string, a string, updated_at timestamp")
     new = spark.createDataFrame([("1", "x"), ("1", "y")], "k string, a string")
