@@ -68,7 +68,7 @@ class PairTable:
 
 
 class Bpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, piece_limit: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, piece_limit: int = 100_000):
         self.ranks, self.pairs, self.find = ranks, PairTable(ranks), regex.compile(pattern).findall
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
@@ -77,13 +77,6 @@ class Bpe:
         self.whole = {t: np.uint32(r).tobytes() for t, r in ranks.items()}
         self.pieces: dict[bytes, bytes] = {}
         self.piece_limit = piece_limit
-        by_id = sorted(ranks.items(), key=lambda x: x[1])
-        self.first = np.zeros(by_id[-1][1] + 2, dtype=np.int64)
-        size = np.zeros(by_id[-1][1] + 1, dtype=np.int64)
-        for token, r in by_id:
-            size[r] = len(token)
-        np.cumsum(size, out=self.first[1:])
-        self.bytes = np.frombuffer(b"".join(t for t, _ in by_id), dtype=np.uint8)
         self.chunks = ChunkEncoder(self.encode_chunks)
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
@@ -182,6 +175,19 @@ class Bpe:
         for ids in self.chunks.texts(texts):
             yield np.frombuffer(ids, dtype="<u4")
 
+
+class Vocabulary:
+    """The bytes of all ids in one array."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = sorted(ranks.items(), key=lambda x: x[1])
+        self.first = np.zeros(by_id[-1][1] + 2, dtype=np.int64)
+        size = np.zeros(by_id[-1][1] + 1, dtype=np.int64)
+        for token, r in by_id:
+            size[r] = len(token)
+        np.cumsum(size, out=self.first[1:])
+        self.bytes = np.frombuffer(b"".join(t for t, _ in by_id), dtype=np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         if not len(ids):
             return b""
@@ -191,11 +197,26 @@ class Bpe:
         return self.bytes[np.repeat(start - begun, size) + np.arange(int(size.sum()))].tobytes()
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> Bpe:
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Bpe(ranks, pattern)
+    return Bpe(read_ranks(path), pattern)
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(read_ranks(path))
+
+
+def _slices(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short stretches of Arrow batches, so that what is made of a batch stays small beside it."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -211,7 +232,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches):
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, parts = [0], []
             for x in bpe.encode(t or "" for t in batch.column(text).to_pylist()):
                 parts.append(x)
@@ -222,19 +243,19 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return kept.mapInArrow(run, schema)
 
 
-def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """`docs` with the column `out` (binary): the bytes its ids stand for. Null ids give no bytes."""
     kept = docs.drop(out)
     schema = kept.withColumn(out, F.lit(None).cast("binary")).schema
 
     def run(batches):
-        bpe = load(path, pattern)
-        for batch in batches:
+        known = vocabulary(path)
+        for batch in _slices(batches):
             rows = batch.column(ids)
             flat, at = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64), 0
             made = []
             for n in rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False):
-                made.append(bpe.decode(flat[at : at + n]))
+                made.append(known.decode(flat[at : at + n]))
                 at += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, out])
 

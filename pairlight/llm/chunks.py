@@ -119,7 +119,7 @@ class ChunkEncoder:
     process; two different chunks of up to 256 bytes would have to agree in both.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 1_500_000, group_chars: int = 1 << 19):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 800_000, group_chars: int = 1 << 19):
         self.encode, self.group_chars = encode, group_chars
         self.known = _Known(limit)
         self.one, self.two = _Powers(), _Powers()
