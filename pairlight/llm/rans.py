@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlight.llm.chunks import ChunkEncoder
-from pairlight.session import work_folder
+from pairlight.session import cut, work_folder
 
 SCALE, LANES, BLOCK, SEGMENT = 18, 32, 1 << 15, 1 << 21
 _LOW = np.uint64(1 << 32)
@@ -226,7 +226,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                                                  names=["part", "seq", "doc_id", "inner", "n_tokens", "ids"])
 
     decoded = segments.mapInArrow(run, "part int, seq int, doc_id bigint, inner bigint, n_tokens bigint, ids binary")
-    return (decoded.join(segment_starts(segments), ["part", "seq"])
+    return (decoded.join(cut(segment_starts(segments)), ["part", "seq"])
             .select("doc_id", (F.col("seg_start") + F.col("inner")).alias("start"), "n_tokens", "ids"))
 
 
