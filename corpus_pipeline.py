@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairlight.llm import bpe, decontaminate, lines, simhash, toxicity
 from pairlight.llm.queries import learnable, table
-from pairlight.session import cut
+from pairlight.session import cut, scratch
 
 #: A document that keeps a smaller share of its words in the line dedup is a copy of others and goes.
 LEAST_KEPT = 0.2
@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to exactly the text."""
     where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    made = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), *where), *where)
+    made = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), *where), where[0])
     exact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return made.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", exact.alias("exact"))
 
@@ -65,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = cut(stage(spark, docs, sf_dir), keep=True)
     return docs
