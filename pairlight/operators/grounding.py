@@ -198,8 +198,14 @@ def explain(pairs: DataFrame, evidence: DataFrame, answers: DataFrame, validatio
     pairs:   (answer_id, rxcui_a, rxcui_b, evidence_status)
     answers: parsed answers with provider and failure (category or null); a pair
              without an answer row was not sent to any provider.
+
+    `citations` holds the whole records behind `cited_evidence`, in its order;
+    `validation` is null for answers that were not checked.
     """
-    listed = citations(evidence).groupBy(*PAIR).agg(F.sort_array(F.collect_list("evidence_id")).alias("_listed"))
+    # At most as many citations as a pair has evidence ids.
+    fields = [c for c in citations(evidence).columns if c not in PAIR]
+    listed = citations(evidence).groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_records")).select(
+        *PAIR, "_records", F.transform("_records", lambda r: r["evidence_id"]).alias("_listed"))
     known = (
         cited_evidence(answers.where(~F.col("malformed")), evidence).where("known")
         .groupBy("answer_id").agg(F.sort_array(F.collect_list(F.struct("pos", "evidence_id"))).alias("_cited"))
@@ -213,6 +219,9 @@ def explain(pairs: DataFrame, evidence: DataFrame, answers: DataFrame, validatio
         .join(listed, PAIR, "left")
     )
     listed_ids = F.coalesce("_listed", F.array().cast("array<string>"))
+    cited_ids = F.coalesce("_cited", F.array().cast("array<string>"))
+    records = lambda ids: F.transform(ids, lambda i: F.get(F.filter("_records", lambda r: r["evidence_id"] == i), F.lit(0)))
+    checked = F.when(F.col("passed").isNotNull(), F.struct("passed", "fatal_issues", "corrections", "corrected_severity"))
     reason = (
         F.when(F.col("evidence_status") == vocab.INSUFFICIENT, F.lit(vocab.REASON_NO_EVIDENCE))
         .when(F.col("evidence_status").isin(*vocab.NO_TEXT_STATUSES),
@@ -231,11 +240,12 @@ def explain(pairs: DataFrame, evidence: DataFrame, answers: DataFrame, validatio
         F.when(grounded, F.col("interaction_assessment")).otherwise(F.col("evidence_status")).alias("interaction_assessment"),
         only("evidence_summary"), only("clinical_effect"), only("mechanism"),
         F.when(grounded, F.col("corrected_severity")).alias("severity"),
-        F.when(grounded, F.coalesce("_cited", F.array().cast("array<string>"))).otherwise(listed_ids).alias("cited_evidence"),
+        F.when(grounded, cited_ids).otherwise(listed_ids).alias("cited_evidence"),
+        F.when(grounded, records(cited_ids)).otherwise(records(listed_ids)).alias("citations"),
         F.concat(F.array(*[F.lit(x) for x in vocab.LIMITATIONS]),
                  F.when(grounded, F.col("limitations")).otherwise(F.array().cast("array<string>"))).alias("limitations"),
         F.coalesce(F.when(grounded, F.nullif("safety_notice", F.lit(""))), F.lit(vocab.SAFETY_NOTICE)).alias("safety_notice"),
-        "fallback_reason",
+        "fallback_reason", checked.alias("validation"),
     )
 
 

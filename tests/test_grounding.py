@@ -120,6 +120,8 @@ def test_explanations(spark):
     assert got["off"].fallback_reason == vocab.FAILURE_DISABLED
     assert got["lost"].fallback_reason == "Cannot generate an explanation: retrieval result was 'drug_not_found'."
     assert all(r.safety_notice for r in got.values())
+    assert all([c.evidence_id for c in r.citations] == r.cited_evidence for r in got.values())
+    assert got["ok"].citations[0].text and got["ok"].validation.passed and not got["bad"].validation.passed and got["off"].validation is None
 
 
 def test_prompts_and_generation(spark):
