@@ -13,6 +13,10 @@ def _differs(columns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in columns], F.lit(False))
 
 
+def _same_key(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in columns])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], compare: list[str],
            as_of: Column | None = None, touch: str | None = None, also_changed: DataFrame | None = None,
            stamp: str | None = "updated_at") -> DataFrame:
@@ -27,8 +31,11 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], compare: list[str],
     several = F.count(F.lit(1)).over(W.partitionBy(*key)) > 1
     named = F.raise_error(F.concat(F.lit("more than one new row for the key "), F.to_json(F.struct(*key)))).cast("boolean")
     new = new.withColumn("_several", several).where(F.when(F.col("_several"), named).otherwise(True)).drop("_several")
-    on = reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key])
-    o = old.withColumn("_in_old", F.lit(True)).alias("o")
+    on = _same_key(key)
+    # Only stored rows that the load names are compared; a small load leaves the others where they are.
+    named_keys = new.select(*key).distinct().alias("n")
+    o = old.alias("o").join(named_keys, on, "left_semi").withColumn("_in_old", F.lit(True)).alias("o")
+    rest = old.alias("o").join(named_keys, on, "left_anti").withColumn("status", F.lit(None).cast("string"))
     n = new.withColumn("_in_new", F.lit(True)).alias("n")
     both = o.join(n, on, "full_outer")
     is_new, is_old = F.col("n._in_new").isNotNull(), F.col("o._in_old").isNotNull()
@@ -56,7 +63,7 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], compare: list[str],
         else:
             value = F.col(f"o.{c}")
         out.append(value.alias(c))
-    return both.select(*out, status.alias("status"))
+    return both.select(*out, status.alias("status")).unionByName(rest)
 
 
 def reconcile(old: DataFrame, new: DataFrame, parents: DataFrame, parent: str) -> DataFrame:
@@ -65,8 +72,10 @@ def reconcile(old: DataFrame, new: DataFrame, parents: DataFrame, parent: str) -
     Children of other parents are kept and have a null status.
     """
     columns = old.columns
-    on = reduce(lambda a, b: a & b, [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in columns])
-    both = old.distinct().withColumn("_o", F.lit(True)).alias("o").join(
+    on = _same_key(columns)
+    visited = parents.select(parent).unionByName(new.select(parent)).distinct()
+    rest = old.join(visited, parent, "left_anti").distinct().withColumn("status", F.lit(None).cast("string"))
+    both = old.join(visited, parent, "left_semi").distinct().withColumn("_o", F.lit(True)).alias("o").join(
         new.select(*columns).distinct().withColumn("_n", F.lit(True)).alias("n"), on, "full_outer"
     ).select(*[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in columns], "_o", "_n")
     named = parents.select(parent).distinct().withColumn("_p", F.lit(True))
@@ -75,7 +84,7 @@ def reconcile(old: DataFrame, new: DataFrame, parents: DataFrame, parent: str) -
         F.when(F.col("_n") & F.col("_o").isNull(), "added")
         .when(F.col("_o") & F.col("_n").isNull() & F.col("_p"), "deleted")
         .when(F.col("_n") & F.col("_o"), "unchanged").alias("status"),
-    )
+    ).unionByName(rest.select(*columns, "status"))
 
 
 def next_table(diff: DataFrame) -> DataFrame:
