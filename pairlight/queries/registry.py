@@ -597,6 +597,44 @@ def link_sync(spark, sf):
     return diff.select("link_id", "status", "retrieved_at")
 
 
+# Load ------------------------------------------------------------------------------------------
+
+@query("""WITH n AS (SELECT drug_id AS pos, input_name AS name, rxcui, drug_id, drug_id % 7 = 3 AS broke FROM drugs WHERE normalized_name IS NOT NULL
+      UNION ALL SELECT 1000 + r_regionkey, 'zz-' || r_regionkey, NULL, NULL, false FROM region),
+    f AS (SELECT substr(source, 4)::BIGINT AS drug_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY 1),
+    r AS (SELECT *, rxcui IS NOT NULL AND NOT broke AS known, rxcui IS NOT NULL AND NOT broke AND lang <> 'de' AS labelled FROM n LEFT JOIN f USING (drug_id))
+    SELECT pos, name, CASE WHEN known THEN rxcui END AS rxcui, CASE WHEN broke THEN 'error' WHEN known THEN 'exact' ELSE 'none' END AS match_type,
+      CASE WHEN broke THEN 'timeout' END AS error, CASE WHEN known THEN 'added' ELSE 'failed' END AS drug_status,
+      CASE WHEN labelled THEN 'added' END AS label_status, CASE WHEN labelled THEN 'added' END AS link_status,
+      CASE WHEN labelled THEN 'interaction_evidence_found' WHEN known THEN 'error' END AS evidence_status,
+      CASE WHEN labelled THEN 7 ELSE 0 END AS sections_added FROM r""")
+def ingest_names(spark, sf):
+    """The load of drug names, some unknown and some with a broken lookup, with label documents in XML.
+
+    A source's first three documents are its candidates. German ones cannot be read, so a lookup that meets one first is an error.
+    """
+    from pairlight.plans import ingest as plan
+    from pairlight.sources import label_xml as lx
+
+    drugs = roles.drugs(spark, sf).where(F.col("normalized_name").isNotNull())
+    names = drugs.select(F.col("drug_id").alias("pos"), F.col("input_name").alias("name")).unionByName(
+        table(spark, sf, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("pos"), F.concat(F.lit("zz-"), "r_regionkey").alias("name")))
+    other = roles.synonyms(spark, sf).groupBy("drug_id").agg(F.sort_array(F.collect_list(F.struct("ord", "synonym", "synonym_type"))).alias("s"))
+    of_kind = lambda k: F.transform(F.filter("s", lambda x: x["synonym_type"] == k), lambda x: x["synonym"])
+    related = drugs.join(other, "drug_id", "left").select(
+        "rxcui", F.lit("IN").alias("term_type"), of_kind("brand").alias("brand_names"), "generic_name", of_kind("synonym").alias("synonyms"))
+    place = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
+    found = table(spark, sf, "documents").select("source", "doc_id", "n_chars", place.alias("rank")).where("rank <= 3").select(
+        (roles.drug_number(F.col("source")) + 1000).cast("string").alias("rxcui"), "rank", F.col("doc_id").cast("string").alias("setid"),
+        F.col("n_chars").cast("string").alias("spl_version"), F.lit("candidate").alias("title"), F.lit(None).cast("string").alias("published_date"))
+    # Only candidates are parsed.
+    wanted = label_xml(spark, sf).withColumn("doc", F.col("doc").cast("string")).join(found.select(F.col("setid").alias("doc")).distinct(), "doc", "left_semi")
+    errors = drugs.where("drug_id % 7 = 3").select(F.col("input_name").alias("name"), F.lit("timeout").alias("error"))
+    sources = plan.Sources(drugs.select("rxcui", F.col("normalized_name").alias("concept_name")), related, found, lx.parse_labels(wanted), errors)
+    _, report = plan.ingest(names, plan.Store.empty(spark), sources, F.lit(AS_OF).cast("timestamp"))
+    return report.select("pos", "name", "rxcui", "match_type", "error", "drug_status", "label_status", "link_status", "evidence_status", "sections_added")
+
+
 # Stored tables --------------------------------------------------------------------------------
 
 @query("""SELECT label_id, setid, spl_version, title, manufacturer, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS version FROM (
