@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlight.llm.chunks import ChunkEncoder
+from pairlight.llm.chunks import ChunkEncoder, short_batches
 
 NONE = np.int32(np.iinfo(np.int32).max)
 WIDTHS = (4, 8, 16, 32, 64, 128, 256, 512)
@@ -212,11 +212,24 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(read_ranks(path))
 
 
-def _slices(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Short stretches of Arrow batches, so that what is made of a batch stays small beside it."""
-    for batch in batches:
-        for k in range(0, len(batch), rows):
-            yield batch.slice(k, rows)
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """`encode` and `decode` in one pass of one Python worker: `docs` with the ids and the bytes decoded from these ids."""
+    kept = docs.drop(ids, out)
+    schema = kept.withColumn(ids, F.lit(None).cast("array<int>")).withColumn(out, F.lit(None).cast("binary")).schema
+
+    def run(batches):
+        bpe, known = load(path, pattern), vocabulary(path)
+        for batch in short_batches(batches):
+            made = list(bpe.encode(t or "" for t in batch.column(text).to_pylist()))
+            back = pa.array([known.decode(x.astype(np.int64)) for x in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(made), back], names=[*batch.schema.names, ids, out])
+
+    return kept.mapInArrow(run, schema)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -232,13 +245,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batches):
         bpe = load(path, pattern)
-        for batch in _slices(batches):
-            sizes, parts = [0], []
-            for x in bpe.encode(t or "" for t in batch.column(text).to_pylist()):
-                parts.append(x)
-                sizes.append(sizes[-1] + len(x))
-            flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], names=[*batch.schema.names, ids])
+        for batch in short_batches(batches):
+            made = list(bpe.encode(t or "" for t in batch.column(text).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(made)], names=[*batch.schema.names, ids])
 
     return kept.mapInArrow(run, schema)
 
@@ -250,7 +259,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
     def run(batches):
         known = vocabulary(path)
-        for batch in _slices(batches):
+        for batch in short_batches(batches):
             rows = batch.column(ids)
             flat, at = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64), 0
             made = []

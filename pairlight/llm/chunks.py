@@ -17,6 +17,7 @@ import os
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes after a blank that may begin white space: the blank is then no border. More than needed, which is safe.
 _SPACY = np.zeros(256, dtype=bool)
@@ -24,6 +25,13 @@ _SPACY[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _LONG = 256  # longer chunks are not remembered
 
 
+def short_batches(batches, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short stretches of Arrow batches, so that what is made of a batch stays small beside it."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 class _Powers:
     """Powers of a random odd number and of its inverse, modulo 2**64."""
 
@@ -119,7 +127,7 @@ class ChunkEncoder:
     process; two different chunks of up to 256 bytes would have to agree in both.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 800_000, group_chars: int = 1 << 19):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 400_000, group_chars: int = 1 << 18):
         self.encode, self.group_chars = encode, group_chars
         self.known = _Known(limit)
         self.one, self.two = _Powers(), _Powers()

@@ -51,8 +51,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *where).drop("text")
-    return bpe.decode(encoded, where[0]).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), *where).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -155,7 +155,7 @@ def _encoder(path: str) -> ChunkEncoder:
                     out.append(np.array(next(more).ids, dtype="<u4").tobytes())
         return out
 
-    return ChunkEncoder(encode)
+    return ChunkEncoder(encode, limit=800_000, group_chars=1 << 19)
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, segment_tokens: int = SEGMENT, doc_id: str = "doc_id", text: str = "text") -> None:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlight.llm.chunks import short_batches
+
 SAMPLE, MIN_DOCS, SEED = 30_000, 5, 42
 #: Letters that a sign can stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
@@ -53,7 +55,7 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     def run(batches):
         sums, held, n = np.zeros(_SIZE**3, dtype=np.int64), [], 0
-        for batch in batches:
+        for batch in short_batches(batches):
             for t in batch.column("text").to_pylist():
                 if t:
                     c = np.concatenate([[0, 0], classes(t), [0]])
@@ -152,7 +154,7 @@ class Model:
     weights: dict[str, float]
     fit: np.ndarray  # of the two strongest weights, and the constant
 
-    def scorer(self, limit: int = 500_000):
+    def scorer(self, limit: int = 150_000):
         known: dict[str, float] = {}
         weights, letters = self.weights, self.letters
 
@@ -189,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
 
     def count(batches):
         model, memo = shared.value, {}
-        for batch in batches:
+        for batch in short_batches(batches):
             found, ys = [], []
             for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 have: set[str] = set()
@@ -201,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
                 ys += [y] * len(have)
                 if len(found) > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(ys, pa.int32())], names=["f", "y"])
-                    found, ys, memo = [], [], memo if len(memo) < 300_000 else {}
+                    found, ys, memo = [], [], memo if len(memo) < 100_000 else {}
+            memo = memo if len(memo) < 100_000 else {}
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(ys, pa.int32())], names=["f", "y"])
 
     sizes = chosen.agg(F.sum("y"), F.count("y")).first()
@@ -217,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
 
     def measure(batches):
         top = both.value.scorer()
-        for batch in batches:
+        for batch in short_batches(batches):
             pairs = [top(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.float64()), pa.array([p[1] for p in pairs], pa.float64()), batch.column("y")], names=["m1", "m2", "y"])
 
@@ -248,7 +251,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "toxicit
 
     def run(batches):
         top, fit = shared.value.scorer(), shared.value.fit
-        for batch in batches:
+        for batch in short_batches(batches):
             pairs = np.array([top(t or "") for t in batch.column(text).to_pylist()], dtype=float).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(pairs @ fit[:2] + fit[2], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(p, 9))], names=[*batch.schema.names, out])

@@ -57,6 +57,7 @@ def test_bpe_tables(spark):
     made = bpe.decode(bpe.encode(docs, *WHERE), RANKS).orderBy("doc_id").collect()
     assert [(r.doc_id, len(r.ids), bytes(r.decoded)) for r in made] == [(1, 2, b"a b"), (1, 2, b"a b"), (2, 0, b""), (3, 0, b"")]
     assert bpe.decode(bpe.encode(docs.limit(0), *WHERE), RANKS).count() == 0
+    assert bpe.round_trip(docs, *WHERE).orderBy("doc_id").collect() == made and bpe.round_trip(docs.limit(0), *WHERE).count() == 0
 
 
 def test_op6_query(spark):
