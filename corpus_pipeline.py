@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids, and whether the ids decode to exactly the text."""
     where = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    made = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), *where), where[0])
+    made = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), *where)
     exact = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return made.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", exact.alias("exact"))
 
