@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lon
     # equal bytes are one group: copies meet in partial sums, before anything is moved
     by_bytes = found.groupBy("d", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("first"))
     repeated = by_bytes.groupBy("d").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).where("n > 1 and texts = 1")
-    own = found.groupBy("owner", "version", "d").agg(F.sort_array(F.collect_list("no")).alias("nos"))
+    own = found.groupBy("owner", "version", "d").agg(F.sort_array(F.collect_set("no")).alias("nos"))
     drop = (own.join(repeated, "d").select("owner", "version", F.when(F.col("owner") == F.col("first"), F.slice("nos", F.lit(2), F.size("nos"))).otherwise(F.col("nos")).alias("nos"))
             .where(F.size("nos") > 0).groupBy("owner", "version").agg(F.flatten(F.collect_list("nos")).alias("nos")))
     there = base.withColumns({"_owner": key, "_version": F.xxhash64(text)})
