@@ -15,8 +15,9 @@ from pairlight.llm import bpe, decontaminate, lines, simhash, toxicity
 from pairlight.llm.queries import learnable, table
 from pairlight.session import cut, scratch
 
-#: A document that keeps a smaller share of its words in the line dedup is a copy of others and goes.
-LEAST_KEPT = 0.2
+#: Share of its words that a document has to keep in the line dedup: less than one word of any text, so only documents
+#: left without a word go. All their chunks stand in other documents first; copies with words left are for the next stage.
+LEAST_KEPT = 1e-12
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

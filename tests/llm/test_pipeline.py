@@ -63,3 +63,13 @@ def test_odd_rows(spark):
 def test_run(spark):
     made = corpus_pipeline.run(spark, SF)
     assert made.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "exact"] and made.count() > 0
+
+
+def test_line_dedup_keeps_documents_with_words_left(spark):
+    """A document that repeats its own paragraph stays with one copy of it; one that consists of others' chunks goes."""
+    own = " ".join(f"own{i}" for i in range(60))
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, other), (2, "\n".join([own] * 20)), (3, "\n".join([other] * 20) + "\nthree words left"), (4, other), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "cast(length(text) as bigint) n_chars")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert {d: t and t.strip() for d, t in got.items()} == {1: other, 2: own, 3: "three words left", 5: None, 6: ""}
