@@ -9,6 +9,13 @@ its surroundings have. A paragraph of `long_words` or more words is always a
 chunk border on both sides; words are counted by blanks. Chunks of two lines or
 more, or of `min_words` words, count; of those that occur again, in bytes and apart from blanks at the
 end, the occurrences after the first are removed. DataFrame functions only.
+
+Chunks lose the ends of a passage, whose chunks hold neighbouring lines too.
+`passages` finds every run of `passage_words` words that stands elsewhere
+first, wherever it begins. A window of that many words is named by the least
+hash of its stretches of STRETCH words, equal windows by the same one; only
+windows whose name occurs in two documents, or twice in one, are compared, by
+a 128-bit digest of their words.
 """
 
 from __future__ import annotations
@@ -17,8 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlight.functions.text import let
+from pairlight.session import cut
 
 LONG_WORDS, MIN_WORDS = 20, 50
+#: Words of a stretch that names windows; a power of two.
+STRETCH = 16
 _LAST = (1 << 63) - 1
 
 
@@ -73,9 +83,76 @@ def _counts(chunk: Column, text: Column, min_words: int) -> Column:
     return (F.size(chunk) > 1) | (_blanks(text) + 1 >= min_words)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\f\r", "     "), " ", -1), "")
+
+
+def _spread(x: Column, width: int, now: int, op) -> tuple[Column, int]:
+    """op over x[i] and x[i + by], for values that cover `now` places each and then more, `width` at most."""
+    by = min(now, width - now)
+    return F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - by, F.lit(0))), F.slice(x, by + 1, F.greatest(F.size(x) - by, F.lit(0))), op), now + by
+
+
+def _names(words: Column, n: int) -> Column:
+    """For each window of n words, its name."""
+    def grown(x: Column, now: int, width: int, op, then) -> Column:
+        if now == width:
+            return then(x)
+        made, wider = _spread(x, width, now, op)
+        return let(made, lambda m: grown(m, wider, width, op, then))
+
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    least = lambda s: grown(s, 1, n - STRETCH + 1, lambda a, b: F.least(a, b), lambda m: m)
+    return let(hashed, lambda h: grown(h, 1, STRETCH, lambda a, b: F.xxhash64(a, b), least))
+
+
+def passages(docs: DataFrame, n: int = MIN_WORDS) -> DataFrame:
+    """(owner, version, starts): places, sorted from 1, of the windows of n words of `docs` (owner, version, text) that stand elsewhere first.
+
+    First is the smallest owner; in one text also a window that ends before. Texts of one owner keep each other's.
+    """
+    if n < STRETCH:
+        raise ValueError(f"windows need {STRETCH} words")
+    # windows in a row mostly have one name: a row for each stretch of them
+    found = docs.select("owner", "version", _names(_words(F.col("text")), n).alias("names")).where(F.size("names") > 0)
+    begins = F.filter(F.sequence(F.lit(1), F.size("names")), lambda i: (i == 1) | (F.get("names", i - 1) != F.get("names", i - 2)))
+    cells = let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get("names", i - 1).alias("name"), i.alias("at"), (F.coalesce(F.get(b, k + 1), F.size("names") + 1) - i).alias("n"))))
+    runs = cut(found.select("owner", "version", F.explode(cells).alias("c")).select("owner", "version", "c.name", "c.at", "c.n"))
+    # a text can repeat itself inside one run of equal names (a run of one word)
+    often = runs.groupBy("name").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("longest")).where(f"many > 1 or longest > {n}").select("name")
+    asked = runs.join(often, "name", "left_semi").groupBy("owner", "version").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    texts = docs.join(asked, ["owner", "version"])
+    at = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
+    digests = let(_words(F.col("text")), lambda w: F.transform(at, lambda i: F.struct(i.alias("at"), F.unhex(F.md5(F.array_join(F.slice(w, i, F.lit(n)), " "))).alias("d"))))
+    windows = texts.select("owner", "version", F.explode(digests).alias("w")).groupBy("w.d", "owner", "version").agg(F.sort_array(F.collect_set("w.at")).alias("at"))
+    windows = cut(windows)
+    first = windows.groupBy("d").agg(F.min("owner").alias("first"), F.sum(F.size("at")).alias("n")).where("n > 1").select("d", "first")
+    gone = F.when(F.col("owner") > F.col("first"), F.col("at")).otherwise(F.filter("at", lambda i: i >= F.get("at", F.lit(0)) + n))
+    return (windows.join(first, "d").select("owner", "version", gone.alias("at")).where(F.size("at") > 0)
+            .groupBy("owner", "version").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("starts")))
+
+
+def _without(text: Column, chunked: Column, gone: Column, starts: Column, n: int) -> tuple[Column, Column]:
+    """The text without the words of the chunks `gone` and of the windows at `starts`, and the number of stretches those windows make."""
+    begins = F.filter(starts, lambda x, k: (k == 0) | (x - F.get(starts, k - 1) > n))
+    ends = F.transform(F.filter(starts, lambda x, k: (k == F.size(starts) - 1) | (F.get(starts, k + 1) - x > n)), lambda x: x + n)
+    of_chunks = F.flatten(F.transform(chunked, lambda c, i: F.array_repeat(gone[i].isNotNull(), F.size(_words(F.array_join(c, ""))))))
+    words = F.zip_with(F.regexp_extract_all(text, F.lit(r"\S+\s*"), F.lit(0)), of_chunks, lambda t, g: F.when(g, F.lit("")).otherwise(t))
+
+    def between(w: Column, b: Column, e: Column) -> Column:
+        rest = F.transform(F.sequence(F.lit(0), F.size(b)), lambda k: let(F.when(k == 0, F.lit(1)).otherwise(F.get(e, k - 1)), lambda a: F.slice(w, a, F.coalesce(F.get(b, k), F.size(w) + 1) - a)))
+        return F.concat(F.regexp_extract(text, r"^\s*", 0), F.array_join(F.flatten(rest), ""))
+
+    return let(words, lambda w: let(begins, lambda b: let(ends, lambda e: between(w, b, e)))), F.size(begins)
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_words: int = LONG_WORDS, min_words: int = MIN_WORDS, passage_words: int | None = None) -> DataFrame:
     """`docs` with the columns text_kept, n_lines, n_chunks, n_removed (chunks), removed_chars.
 
+    With `passage_words`, also text_own, the text without these chunks and
+    without the passages of that many words or more that stand elsewhere first,
+    and n_passages, the number of stretches of such passages.
+
     The first occurrence is the one in the smallest doc_id, then the earliest
     in its text; rows with one doc_id count as one document and keep each
     other's chunks, rows without doc_id come last. Null text gives text_kept
@@ -83,7 +160,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lon
     Columns of `docs` with one of the new names are replaced; the others,
     repeated rows included, stay. An empty table gives an empty table.
     """
-    base = docs.drop("text_kept", "n_lines", "n_chunks", "n_removed", "removed_chars")
+    base = docs.drop("text_kept", "n_lines", "n_chunks", "n_removed", "removed_chars", *(["text_own", "n_passages"] if passage_words else []))
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))
     source = docs.select(key.alias("owner"), F.xxhash64(text).alias("version"), F.posexplode(chunks(F.col(text), long_words)).alias("no", "chunk"))
     found = (source.select("owner", "version", "no", "chunk", _bare(F.col("chunk")).alias("bytes"))
@@ -96,12 +173,19 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lon
             .where(F.size("nos") > 0).groupBy("owner", "version").agg(F.flatten(F.collect_list("nos")).alias("nos")))
     there = base.withColumns({"_owner": key, "_version": F.xxhash64(text)})
     joined = there.join(drop.select(F.col("owner").alias("_owner"), F.col("version").alias("_version"), F.col("nos").alias("_nos")), ["_owner", "_version"], "left")
+    starts = F.lit(None).cast("array<int>")
+    if passage_words:
+        again = passages(docs.select(key.alias("owner"), F.xxhash64(text).alias("version"), F.col(text).alias("text")), passage_words)
+        joined = joined.join(again.select(F.col("owner").alias("_owner"), F.col("version").alias("_version"), F.col("starts").alias("_starts")), ["_owner", "_version"], "left")
+        starts = F.col("_starts")
 
     def rebuilt(c: Column) -> Column:
         gone = F.map_from_entries(F.transform(F.array_distinct(F.coalesce("_nos", F.array().cast("array<int>"))), lambda x: F.struct(x, F.lit(True))))
         kept = F.when(F.col("_nos").isNull(), F.col(text)).otherwise(let(gone, lambda g: F.array_join(F.flatten(F.filter(c, lambda x, i: g[i].isNull())), "")))
-        return F.struct(kept.alias("text_kept"), F.size(F.flatten(c)).alias("n_lines"), F.size(c).alias("n_chunks"))
+        own = let(gone, lambda g: F.struct(*(x.alias(name) for x, name in zip(_without(F.col(text), c, g, starts, passage_words or 0), ("text_own", "n_passages")))))
+        return F.struct(kept.alias("text_kept"), F.size(F.flatten(c)).alias("n_lines"), F.size(c).alias("n_chunks"), F.when(starts.isNotNull(), own).alias("own"))
 
     out = joined.withColumn("_r", let(chunks(F.col(text), long_words), rebuilt))
+    more = [F.coalesce("_r.own.text_own", "_r.text_kept").alias("text_own"), F.coalesce("_r.own.n_passages", F.lit(0)).alias("n_passages")] if passage_words else []
     return out.select(*[out[c] for c in base.columns], "_r.text_kept", "_r.n_lines", "_r.n_chunks", F.coalesce(F.size("_nos"), F.lit(0)).alias("n_removed"),
-                      F.coalesce(F.length(text) - F.length("_r.text_kept"), F.lit(0)).alias("removed_chars"))
+                      F.coalesce(F.length(text) - F.length("_r.text_kept"), F.lit(0)).alias("removed_chars"), *more)

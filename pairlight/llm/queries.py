@@ -99,8 +99,9 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        "doc_id", "n_lines", "n_chunks", "n_removed", "removed_chars", F.length("text_kept").alias("kept_chars"), F.sha2("text_kept", 256).alias("kept_sha256"))
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=lines.MIN_WORDS).select(
+        "doc_id", "n_lines", "n_chunks", "n_removed", "removed_chars", F.length("text_kept").alias("kept_chars"), F.sha2("text_kept", 256).alias("kept_sha256"),
+        "n_passages", F.length("text_own").alias("own_chars"), F.sha2("text_own", 256).alias("own_sha256"))
 
 
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,64 @@ def test_op8_query(spark):
         kept, n_lines, n_chunks, gone = want.pop(r.doc_id)
         assert (r.n_lines, r.n_chunks, r.n_removed, r.kept_chars, r.kept_sha256) == (n_lines, n_chunks, gone, len(kept), hashlib.sha256(kept.encode()).hexdigest())
     assert not want
+
+
+def repeated_words(rows, n=50):
+    """Of each (doc_id, text), the words in windows of n words that an earlier document has, or this one before the window."""
+    seen, out = {}, {}
+    for d, text in sorted(rows):
+        words, mark = text.split(), set()
+        for i in range(len(words) - n + 1):
+            at = seen.setdefault(tuple(words[i : i + n]), (d, i))
+            if at[0] != d or i >= at[1] + n:
+                mark.update(range(i, i + n))
+        out[d] = mark
+    return out
+
+
+def without(text, gone):
+    tokens = re.findall(r"\S+\s*", text)
+    return re.match(r"\s*", text)[0] + "".join(t for i, t in enumerate(tokens) if i not in gone)
+
+
+def slow_own(docs):
+    repeated, seen, out = repeated_words(docs), set(), {}
+    for d, text in sorted(docs):
+        gone, at = set(repeated[d]), 0
+        for c in slow_chunks(text):
+            bare, n = "".join(c).rstrip(" \n"), len("".join(c).split())
+            if len(c) > 1 or bare.count(" ") + 1 >= 50:
+                if bare in seen:
+                    gone |= set(range(at, at + n))
+                seen.add(bare)
+            at += n
+        out[d] = gone
+    return out
+
+
+def test_passages_of_fifty_words(spark):
+    """Ends of a shared passage go too, also inside lines; the first place of each stays."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    prose = lambda n: " ".join(word() + ("." if rnd.random() < 0.1 else "") for _ in range(n))
+    shared, long = prose(90), " ".join(word() for _ in range(70))
+    docs = [(1, prose(40) + " " + shared + " " + prose(40)), (2, prose(33) + " " + shared + " " + prose(10)), (3, "\n " + prose(30) + " " + long + " " + prose(5)),
+            (4, prose(7) + "\t" + long + "\n" + prose(60)), (5, "x " * 300), (6, prose(20) + "\n" + shared[:200] + "\n" + long + " " + shared), (7, long), (8, ""), (9, prose(49))]
+    df = spark.createDataFrame([*docs, (10, None)], "doc_id long, text string")
+    made = {r.doc_id: r for r in lines.dedup_lines(df, passage_words=50).collect()}
+    gone, repeated = slow_own(docs), repeated_words(docs)
+    for d, text in docs:
+        want = without(text, gone[d]) if repeated[d] else made[d].text_kept
+        assert made[d].text_own == want, d
+        assert made[d].n_passages == sum(i - 1 not in repeated[d] for i in repeated[d])
+    assert made[10].text_own is None and len(made[2].text_own.split()) == 43 and made[7].text_own == ""
+    assert not any(repeated_words([(d, made[d].text_own) for d, _ in docs]).values())
+
+
+def test_op8_query_has_no_repeated_passages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    gone, repeated, kept = slow_own(docs), repeated_words(docs), slow(docs)
+    want = {d: without(text, gone[d]) if repeated[d] else kept[d][0] for d, text in docs}
+    got = {r.doc_id: (r.own_chars, r.own_sha256) for r in queries.op8_line_dedup(spark, sf).collect()}
+    assert got == {d: (len(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in want.items()}
