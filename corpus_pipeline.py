@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm import bpe, decontaminate, lines, simhash, toxicity
+from pairlight.llm import bpe, copies, decontaminate, lines, toxicity
 from pairlight.llm.queries import learnable, table
 from pairlight.session import cut, scratch
 
@@ -36,7 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    """The first of the documents that are copies by op2's contract or by a similarity of 0.8 in runs of five words."""
+    return copies.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
