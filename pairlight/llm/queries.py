@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm import ann, bpe, chat, decontaminate, lines, pii, rans, shards, simhash, toxicity
+from pairlight.llm import ann, bpe, chat, decontaminate, lines, merkle, pii, rans, shards, simhash, toxicity
 from pairlight.session import cut
 
 
@@ -114,7 +114,41 @@ def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(coded, coded.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document, by checksum, is tampered with at verification."""
+    marked = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    changed = F.when(marked, F.col("n_chars").cast("decimal(38,0)") + 1).otherwise(F.col("n_chars"))
+    made = merkle.manifest(table(spark, sf_dir, "documents"), claimed={"n_chars": changed})
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(F.translate("proof", "LRS", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+OP13_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, source, lang, n_chars, text, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+        lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) % 7 = 0, false) AS marked FROM documents),
+said AS (SELECT doc_id, lang, marked, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-')) AS a,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS b FROM d),
+leaf AS MATERIALIZED (SELECT doc_id, lang, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || b) AS leaf,
+    sha256(a || coalesce(strlen((n_chars + marked::INT)::VARCHAR) || ':' || (n_chars + marked::INT), '-') || b) AS found FROM said),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+tree AS (SELECT lang, 0 AS lvl, i, n, leaf AS h FROM placed
+    UNION ALL SELECT lang, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+heads AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lvl, i, n, h FROM heads
+    UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+steps AS (SELECT p.doc_id, p.leaf, t.lvl, (p.i >> t.lvl) % 2 AS side, o.h FROM placed p JOIN (SELECT DISTINCT lang, lvl FROM tree WHERE n > 1) t ON t.lang IS NOT DISTINCT FROM p.lang
+      LEFT JOIN tree o ON o.lang IS NOT DISTINCT FROM p.lang AND o.lvl = t.lvl AND o.i = xor(p.i >> t.lvl, 1)
+    UNION ALL SELECT p.doc_id, p.leaf, 1000 + t.lvl, (g.i >> t.lvl) % 2, o.h FROM placed p JOIN heads g ON g.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) t ON true
+      LEFT JOIN top o ON o.lvl = t.lvl AND o.i = xor(g.i >> t.lvl, 1)),
+paths AS MATERIALIZED (SELECT doc_id, leaf, list({'side': side, 'h': coalesce(h, '')} ORDER BY lvl) AS path, string_agg(coalesce(h, ''), '' ORDER BY lvl) AS proof FROM steps GROUP BY doc_id, leaf),
+fold AS (SELECT p.doc_id, p.leaf, 0 AS k, p.found AS h, coalesce(path, []) AS path FROM placed p LEFT JOIN paths USING (doc_id, leaf)
+    UNION ALL SELECT doc_id, leaf, k + 1, CASE WHEN path[k + 1].side = 1 THEN sha256(path[k + 1].h || h) ELSE sha256(h || path[k + 1].h) END, path FROM fold WHERE k < len(path))
+SELECT p.doc_id, p.leaf, g.h AS subroot, r.h AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM placed p JOIN heads g ON g.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT h FROM top WHERE n = 1) r ON true
+JOIN (SELECT * FROM fold WHERE k = len(path)) f USING (doc_id, leaf) LEFT JOIN paths q USING (doc_id, leaf)
+"""
+
+
 QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op3_chat_format": op3_chat_format, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity,
            "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_kd_shards": op9_kd_shards,
-           "op10_one_bit_ann": op10_one_bit_ann}
-ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_decontamination": OP4_SQL}
+           "op10_one_bit_ann": op10_one_bit_ann, "op13_merkle_manifest": op13_merkle_manifest}
+ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_decontamination": OP4_SQL, "op13_merkle_manifest": OP13_SQL}
