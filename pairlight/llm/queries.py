@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm import ann, bpe, chat, decontaminate, lines, merkle, pii, rans, shards, simhash, toxicity
+from pairlight.llm import ann, bpe, chat, decontaminate, filters, lines, merkle, pii, rans, shards, simhash, toxicity
 from pairlight.session import cut
 
 
@@ -114,6 +114,29 @@ def op10_one_bit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(coded, coded.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.interactions(filters.count_masks(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels")))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+known AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+m AS MATERIALIZED (SELECT part, quality, toxic, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+      + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+      + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d LEFT JOIN known USING (doc_id)),
+c AS MATERIALIZED (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad FROM m GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM f p, f q, f r, f s, f t WHERE p.b | q.b | r.b | s.b | t.b = 31),
+steps AS (SELECT filter_order, i AS step, bits[i] AS own, coalesce(list_sum(bits[1 : i - 1]), 0)::INT AS prior FROM o, range(1, 6) u(i)),
+made AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (prior | own) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & prior = 0 AND mask & own <> 0), 0) AS removed,
+      coalesce(sum(n) FILTER (mask & prior <> 0 AND mask & own <> 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+      coalesce(sum(good) FILTER (mask & prior = 0 AND mask & own <> 0), 0) AS good_lost, coalesce(sum(bad) FILTER (mask & prior = 0 AND mask & own <> 0), 0) AS toxic_lost
+    FROM c, steps GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM made
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh document, by checksum, is tampered with at verification."""
     marked = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
@@ -150,5 +173,5 @@ JOIN (SELECT * FROM fold WHERE k = len(path)) f USING (doc_id, leaf) LEFT JOIN p
 
 QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op3_chat_format": op3_chat_format, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity,
            "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_kd_shards": op9_kd_shards,
-           "op10_one_bit_ann": op10_one_bit_ann, "op13_merkle_manifest": op13_merkle_manifest}
-ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_decontamination": OP4_SQL, "op13_merkle_manifest": OP13_SQL}
+           "op10_one_bit_ann": op10_one_bit_ann, "op11_filter_audit": op11_filter_audit, "op13_merkle_manifest": op13_merkle_manifest}
+ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_decontamination": OP4_SQL, "op11_filter_audit": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
