@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlight.llm import ann, bpe, chat, decontaminate, filters, lines, merkle, pii, rans, shards, simhash, toxicity
+from pairlight.llm import ann, bpe, chat, decontaminate, filters, jaccard, lines, merkle, pii, rans, shards, simhash, toxicity
 from pairlight.session import cut
 
 
@@ -137,6 +137,25 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
 """
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: array_to_string(w[i : i + 2], ' ')))) END AS s FROM w),
+d AS MATERIALIZED (SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS h FROM s),
+c AS MATERIALIZED (SELECT h, min(doc_id) AS rep, any_value(n) AS n FROM d WHERE n > 0 GROUP BY 1),
+g AS MATERIALIZED (SELECT rep, n, unnest(s) AS g FROM c JOIN s ON s.doc_id = c.rep),
+l AS MATERIALIZED (SELECT a.rep AS a, b.rep AS b FROM g a JOIN g b ON a.g = b.g AND a.rep < b.rep AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n
+    HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS at, a AS seen FROM e UNION SELECT r.at, e.b FROM r JOIN e ON e.a = r.seen),
+m AS (SELECT at, min(seen) AS low FROM r GROUP BY 1)
+SELECT d.doc_id, d.n AS n_shingles, CASE WHEN d.n = 0 THEN d.doc_id ELSE coalesce(m.low, c.rep) END AS component_id FROM d LEFT JOIN c ON c.h = d.h AND d.n > 0 LEFT JOIN m ON m.at = c.rep
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh document, by checksum, is tampered with at verification."""
     marked = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
@@ -173,5 +192,5 @@ JOIN (SELECT * FROM fold WHERE k = len(path)) f USING (doc_id, leaf) LEFT JOIN p
 
 QUERIES = {"op1_token_files": op1_token_files, "op2_simhash": op2_simhash, "op3_chat_format": op3_chat_format, "op4_decontamination": op4_decontamination, "op5_toxicity": op5_toxicity,
            "op6_byte_bpe": op6_byte_bpe, "op7_pii": op7_pii, "op8_line_dedup": op8_line_dedup, "op9_kd_shards": op9_kd_shards,
-           "op10_one_bit_ann": op10_one_bit_ann, "op11_filter_audit": op11_filter_audit, "op13_merkle_manifest": op13_merkle_manifest}
-ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_decontamination": OP4_SQL, "op11_filter_audit": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+           "op10_one_bit_ann": op10_one_bit_ann, "op11_filter_audit": op11_filter_audit, "op12_ngram_jaccard": op12_ngram_jaccard, "op13_merkle_manifest": op13_merkle_manifest}
+ORACLE: dict[str, str] = {"op3_chat_format": OP3_SQL, "op4_decontamination": OP4_SQL, "op11_filter_audit": OP11_SQL, "op12_ngram_jaccard": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
