@@ -12,11 +12,11 @@ from pairlight import vocab
 # White space and word characters are spelled out so that no engine's ASCII default applies.
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
 WORD = r"[\p{L}\p{N}_]"
+OTHER = r"[^\p{L}\p{N}_]"
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-EDGE = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -49,10 +49,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"))
 
 
-def whole_word_pattern(term: Column) -> Column:
-    """Regular expression that finds a term as written, between word edges."""
-    quoted = F.regexp_replace(term, r"([^\p{L}\p{N}_])", r"\\$1")
-    return F.concat(F.lit(EDGE), quoted, F.lit(EDGE))
+def units(text: Column) -> Column:
+    """Words and what stands between them, in turn, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+|{OTHER}+)"))
 
 
 def match_key(name: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlight import vocab
 from pairlight.functions.text import let
 
 
@@ -71,6 +73,68 @@ class ModelEmbedder:
         return df.withColumn(out, embed(F.col(text)))
 
 
+#: A tokenizer and an encoder: lists of token ids of texts; (ids, mask) of one width to vectors per token.
+TokenModel = tuple[Callable[[list[str]], list[list[int]]], Callable[[np.ndarray, np.ndarray], np.ndarray]]
+
+
+def pool_tokens(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Masked means of token vectors (rows, width, dimension), scaled to length one; zeros where no token counts."""
+    weight = mask[:, :, None].astype(np.float64)
+    mean = (tokens * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-9)
+    return mean / np.maximum(np.sqrt((mean * mean).sum(axis=1, keepdims=True)), 1e-12)
+
+
+class TokenEmbedder:
+    """Embedding by a model that gives a vector per token, with all that stands around it.
+
+    `load` builds the tokenizer and the encoder once per Python worker. Token lists
+    are cut after `max_tokens`, sorted by length within an Arrow batch and padded to
+    the next of `widths` only, so short texts don't pay for long ones; the encoder
+    sees at most `batch` rows at once. Means count unpadded tokens alone and are
+    scaled to length one. Null texts get no vector and don't reach the model, texts
+    without tokens get zeros.
+    """
+
+    def __init__(self, load: Callable[[], TokenModel], dimension: int, batch: int = 64, max_tokens: int = vocab.MAX_TOKENS, widths: tuple[int, ...] = (16, 32, 64, 128)):
+        self.load, self.dimension, self.batch, self.max_tokens = load, dimension, batch, max_tokens
+        self.widths = np.array(sorted({min(w, max_tokens) for w in widths} | {max_tokens}))
+
+    def embed(self, model: TokenModel, texts: list[str]) -> np.ndarray:
+        """Vectors of texts, in their order."""
+        tokenize, encode = model
+        tokens = [t[: self.max_tokens] for t in tokenize(texts)]
+        length = np.array([len(t) for t in tokens], dtype=np.int64)
+        width = self.widths[np.searchsorted(self.widths, length)] if len(tokens) else length
+        out = np.zeros((len(tokens), self.dimension))
+        order = np.argsort(width, kind="stable")
+        for w in np.unique(width):
+            rows = order[np.searchsorted(width[order], w, "left") : np.searchsorted(width[order], w, "right")]
+            for k in range(0, len(rows), self.batch):
+                part = rows[k : k + self.batch]
+                ids, mask = np.zeros((len(part), w), dtype=np.int64), np.arange(w) < length[part, None]
+                ids[mask] = np.concatenate([np.asarray(tokens[i], dtype=np.int64) for i in part])
+                vectors = np.asarray(encode(ids, mask), dtype=np.float64)
+                if vectors.shape != (len(part), w, self.dimension):
+                    raise ValueError(f"the model returned {vectors.shape} for {(len(part), w, self.dimension)}")
+                out[part] = pool_tokens(vectors, mask)
+        return out
+
+    def __call__(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        load, embed = self.load, self.embed
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = load()
+            for texts in batches:
+                asked = np.flatnonzero(texts.notna().to_numpy())
+                vectors = np.full(len(texts), None, dtype=object)
+                for at, vector in zip(asked, embed(model, texts.iloc[asked].tolist()), strict=True):
+                    vectors[at] = vector
+                yield pd.Series(vectors, index=texts.index)
+
+        return df.withColumn(out, run(F.col(text)))
+
+
 def norm(vec: Column) -> Column:
     return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 

@@ -249,15 +249,51 @@ def explain(pairs: DataFrame, evidence: DataFrame, answers: DataFrame, validatio
     )
 
 
-def generate(prompt_table: DataFrame, load, prompt: str = "prompt", out: str = "raw_text") -> DataFrame:
-    """Adds the generated text of each prompt. `load` builds the generator once per Python worker.
+class CallFailed(Exception):
+    """A generator's call that gave no text; `kind` (a key of FAILURE_DETAIL) and `status` are given where they are known."""
 
-    A generator maps a list of prompts to a list of texts; None marks a failed call.
+    def __init__(self, message: str = "", kind: str | None = None, status: int | None = None):
+        super().__init__(message)
+        self.message, self.kind, self.status = message, kind, status
+
+
+#: Failures that another attempt may mend.
+PASSING = ("timeout", "rate_limit", "unavailable")
+
+
+def generate(prompt_table: DataFrame, load, prompt: str = "prompt", out: str = "raw_text", attempts: int = 1, passing: tuple[str, ...] = PASSING) -> DataFrame:
+    """Adds the generated text of each prompt, or what became of its call: failure_kind, failure_status, failure_message, attempts.
+
+    `load` builds the generator, a function from a prompt to a text, once per Python
+    worker. A call that raises ends its own row only, whatever it raises; of kinds in
+    `passing` it is tried again, up to `attempts` times. A generator that returns no text
+    has failed, too. Null prompts are not sent. failure_category maps the three failure
+    columns. Calls are repeated if their task is.
     """
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def call(make, text: str | None) -> tuple:
+        if text is None:
+            return None, None, None, None, 0
+        for k in range(1, attempts + 1):
+            try:
+                made = make(text)
+                if made is not None:
+                    return made, None, None, None, k
+                failed = CallFailed("the generator returned no text")
+            except CallFailed as e:
+                failed = e
+            except Exception as e:  # one row's failure is that row's result
+                failed = CallFailed(f"{type(e).__name__}: {e}")
+            if failed.kind not in passing:
+                break
+        return None, failed.kind, failed.status, failed.message, k
+
+    schema = f"{out} string, failure_kind string, failure_status int, failure_message string, attempts int"
+
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         make = load()
         for batch in batches:
-            yield pd.Series(make(batch.tolist()), index=batch.index, dtype=object)
+            made = [call(make, None if pd.isna(p) else p) for p in batch]
+            yield pd.DataFrame(made, columns=[c.split(" ")[0] for c in schema.split(", ")], index=batch.index).astype({"failure_status": "Int32"})
 
-    return prompt_table.withColumn(out, run(F.col(prompt)))
+    return prompt_table.withColumn("_made", run(F.col(prompt))).select(*prompt_table.columns, "_made.*")

@@ -1,46 +1,52 @@
-"""Whole-word dictionary matching as an equi-join on words."""
+"""Whole-word dictionary matching as an equi-join on words and on runs of words."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlight.functions import text as tx
+from pairlight.session import cut
+
+
+def _windows(units: Column, size: int, first: int) -> Column:
+    """Runs of `size` units that begin at every second unit from the `first` on."""
+    last = F.size(units) - size + 1
+    runs = F.transform(F.sequence(F.lit(first), last, F.lit(2)), lambda i: F.array_join(F.slice(units, i, size), ""))
+    return F.when(last >= first, runs).otherwise(F.array().cast("array<string>"))
 
 
 def match_terms(texts: DataFrame, terms: DataFrame, key: str = "chunk_id", text: str = "text",
                 term: str = "term") -> DataFrame:
     """(key, term) for every term that occurs in a text as whole words, in any case.
 
-    Texts are cut into their distinct words and joined to the dictionary on the
-    longest word of each term, the one that fewest texts can be expected to hold.
-    A one-word term is then settled by equality. Only for the remaining terms is
-    the text looked at again, for candidates only.
+    Terms and texts are sequences of units, words and what stands between them in
+    turn, and a term occurs where its units are a run of the text's. So texts are
+    cut into runs of as many units as the dictionary's terms have, and joined to
+    the terms by equality; a text is read once, whatever it holds. A term that
+    begins or ends with other signs than words needs a word beyond them, so the
+    signs at a text's ends open and close no run. Repeated terms count once, blank
+    ones never; null texts hold nothing.
     """
-    longest = lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a)
-    entries = (
+    entries = cut(
         terms.select(F.col(term).alias("_term"))
         .where(tx.strip(F.col(term)) != "")
         .distinct()
         .withColumn("_key", tx.fold(F.col("_term")))
-        .withColumn("_word", F.aggregate(tx.tokens(F.col("_key")), F.lit(""), longest))
-    )
-    words = texts.select(F.col(key).alias("_id"), F.explode(F.array_distinct(tx.tokens(F.col(text)))).alias("_word"))
-    single = entries.where((F.col("_word") == F.col("_key")))
-    longer = entries.where((F.col("_word") != F.col("_key")) & (F.col("_word") != ""))
-    # Only a term without any word character meets every text; without such terms this side is empty.
-    bare = entries.where(F.col("_word") == "")
-    everywhere = texts.select(F.col(key).alias("_id"), F.lit("").alias("_word")).join(bare, "_word").select("_id", "_term", "_key")
-    sure = words.join(single, "_word").select("_id", "_term")
-    checked = (
-        words.join(longer, "_word")
-        .select("_id", "_term", "_key")
-        .unionByName(everywhere)
-        .join(texts.select(F.col(key).alias("_id"), F.lower(text).alias("_text")), "_id")
-        .where(F.contains("_text", "_key") & F.rlike("_text", tx.whole_word_pattern(F.col("_key"))))
-        .select("_id", "_term")
+        .withColumn("_size", F.size(tx.units(F.col("_key"))))
+        .withColumn("_first", F.when(F.col("_key").rlike(f"^{tx.WORD}"), 1).otherwise(2))
     )
-    return sure.unionByName(checked).select(F.col("_id").alias(key), F.col("_term").alias(term))
+    # As many rows as terms have different lengths.
+    kinds = sorted((r["_size"], r["_first"]) for r in entries.select("_size", "_first").distinct().collect())
+    if not kinds:
+        return texts.join(entries, F.lit(False)).select(key, F.col("_term").alias(term))
+    longer = [k for k in kinds if k != (1, 1)]
+    within = tx.units(F.regexp_replace(F.col(text), f"^{tx.OTHER}+|{tx.OTHER}+$", ""))
+    runs = [tx.tokens(F.col(text))] * ((1, 1) in kinds)
+    if longer:
+        runs.append(tx.let(within, lambda u: F.concat(*[_windows(u, *k) for k in longer])))
+    words = texts.select(F.col(key).alias("_id"), F.explode(F.array_distinct(F.concat(*runs))).alias("_key"))
+    return words.join(entries.select("_key", "_term"), "_key").select(F.col("_id").alias(key), F.col("_term").alias(term))
 
 
 def by_owner(found: DataFrame, owner_terms: DataFrame, key: str = "chunk_id", owner: str = "rxcui") -> DataFrame:

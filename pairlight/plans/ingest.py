@@ -93,13 +93,22 @@ def choose_labels(found: DataFrame, documents: DataFrame) -> DataFrame:
     ).drop("_broken")
 
 
-def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> tuple[Store, DataFrame]:
-    """Next store and one report row per name of (pos, name).
+@dataclass(frozen=True)
+class Incoming:
+    """What the names of a load bring, before any stored table is looked at."""
 
-    Several names may mean one drug; its row then comes from the last of them.
-    A name that means nothing is reported as failed and changes nothing; one whose
-    lookup broke is reported as failed with its error.
-    """
+    resolved: DataFrame
+    drugs: DataFrame
+    synonyms: DataFrame
+    chosen: DataFrame
+    usable: DataFrame
+    labels: DataFrame
+    sections: DataFrame
+    links: DataFrame
+
+
+def prepare(names: DataFrame, sources: Sources, as_of: Column) -> Incoming:
+    """The rows that a load of (pos, name) brings. Several names may mean one drug; its row then comes from the last of them."""
     matched = resolve.match_vocabulary(names, sources.concepts).select("name", "match_type", "rxcui", "normalized_name", "match_score", "warning")
     if sources.errors is None:
         matched = matched.withColumn("error", F.lit(None).cast("string"))
@@ -126,10 +135,6 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
     # In stored order; the first of equal ones.
     synonyms = drugs.select("drug_id", F.posexplode(kinds).alias("ord", "k")).groupBy("drug_id", "k.synonym", "k.synonym_type").agg(
         (F.min("ord") + 1).alias("ord"))
-    synonym_diff = upsert.reconcile(store.drug_synonyms, synonyms, drugs, "drug_id")
-    moved = synonym_diff.where(F.col("status").isin("added", "deleted")).join(drugs.select("drug_id", "rxcui"), "drug_id")
-    drug_diff = upsert.upsert(store.drugs, drugs.drop("brand_names", "synonyms"), ["rxcui"], DRUG_FIELDS, as_of, also_changed=moved)
-
     found = sources.found.join(drugs.select("rxcui"), "rxcui", "left_semi")
     documents = cut(sources.documents.join(
         found.where(F.col("rank") <= vocab.CANDIDATES_CHECKED).select(F.col("setid").alias("doc")).distinct(), "doc", "left_semi"))
@@ -143,22 +148,30 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
     ).withColumn("label_id", tables.natural_id("setid", "spl_version"))
     one = W.partitionBy("label_id").orderBy("rxcui")
     labels = usable.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n").withColumn("retrieved_at", as_of).withColumn("updated_at", as_of)
-    label_diff = upsert.upsert(store.labels, labels, ["setid", "spl_version"], LABEL_FIELDS, as_of)
     sections = (
         labels.select("label_id", "doc").join(documents.select("doc", "sections"), "doc")
         .select("label_id", F.explode("sections").alias("s")).select("label_id", "s.*")
         .withColumn("section_id", tables.natural_id("label_id", "section_code")).withColumn("updated_at", as_of)
     )
-    section_diff = upsert.upsert(store.label_sections, sections, ["label_id", "section_code"], ["text", "found", "section_name"], as_of)
     links = usable.withColumn("link_id", tables.natural_id("drug_id", "label_id")).withColumn("retrieved_at", as_of)
-    link_diff = upsert.upsert(store.drug_label_links, links, ["drug_id", "label_id"], LINK_FIELDS, as_of, stamp=None, touch="retrieved_at")
+    return Incoming(resolved, drugs, synonyms, chosen, usable, labels, sections, links)
+
+
+def merge(new: Incoming, store: Store, as_of: Column) -> tuple[Store, DataFrame]:
+    """Next store and one report row per name. Of `store` only the rows that have the keys of `new` matter."""
+    synonym_diff = upsert.reconcile(store.drug_synonyms, new.synonyms, new.drugs, "drug_id")
+    moved = synonym_diff.where(F.col("status").isin("added", "deleted")).join(new.drugs.select("drug_id", "rxcui"), "drug_id")
+    drug_diff = upsert.upsert(store.drugs, new.drugs.drop("brand_names", "synonyms"), ["rxcui"], DRUG_FIELDS, as_of, also_changed=moved)
+    label_diff = upsert.upsert(store.labels, new.labels, ["setid", "spl_version"], LABEL_FIELDS, as_of)
+    section_diff = upsert.upsert(store.label_sections, new.sections, ["label_id", "section_code"], ["text", "found", "section_name"], as_of)
+    link_diff = upsert.upsert(store.drug_label_links, new.links, ["drug_id", "label_id"], LINK_FIELDS, as_of, stamp=None, touch="retrieved_at")
 
     after = Store(*[upsert.next_table(d) for d in (drug_diff, synonym_diff, label_diff, section_diff, link_diff)])
     report = (
-        resolved.select("pos", "name", "rxcui", "match_type", "error", "warning")
+        new.resolved.select("pos", "name", "rxcui", "match_type", "error", "warning")
         .join(drug_diff.select("rxcui", F.col("status").alias("drug_status")), "rxcui", "left")
-        .join(chosen.select("rxcui", "evidence_status"), "rxcui", "left")
-        .join(usable.select("rxcui", "drug_id", "label_id"), "rxcui", "left")
+        .join(new.chosen.select("rxcui", "evidence_status"), "rxcui", "left")
+        .join(new.usable.select("rxcui", "drug_id", "label_id"), "rxcui", "left")
         .join(label_diff.select("label_id", F.col("status").alias("label_status")), "label_id", "left")
         .join(link_diff.select("drug_id", "label_id", F.col("status").alias("link_status")), ["drug_id", "label_id"], "left")
         .join(upsert.status_report(section_diff, ["label_id"]), "label_id", "left")
@@ -172,6 +185,16 @@ def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> t
     return after, report
 
 
+def ingest(names: DataFrame, store: Store, sources: Sources, as_of: Column) -> tuple[Store, DataFrame]:
+    """Next store and one report row per name of (pos, name).
+
+    Several names may mean one drug; its row then comes from the last of them.
+    A name that means nothing is reported as failed and changes nothing; one whose
+    lookup broke is reported as failed with its error.
+    """
+    return merge(prepare(names, sources, as_of), store, as_of)
+
+
 def build_index(store: Store, old: DataFrame, embedder, rxcuis: DataFrame | None = None,
                 size: int = vocab.CHUNK_WORDS, overlap: int = vocab.CHUNK_OVERLAP) -> tuple[DataFrame, DataFrame]:
     """Next index and the report of the run, for all drugs or for a table of rxcuis."""

@@ -507,15 +507,19 @@ def _stamped(df, **times):
     ON n.setid = p.setid AND n.spl_version IS NOT DISTINCT FROM p.spl_version)""")
 def label_upsert(spark, sf):
     """A load without German labels against a store without one source and with old French makers."""
+    old, new = old_new_labels(spark, sf)
+    diff = upsert.upsert(old, new, ["setid", "spl_version"], LABEL_FIELDS, as_of=F.lit(AS_OF).cast("timestamp"))
+    return diff.select("setid", "spl_version", "manufacturer", "status", "updated_at")
+
+
+def old_new_labels(spark, sf):
     docs = roles.labels(spark, sf)
     five = table(spark, sf, "documents").where("source = 'src5'").select(F.col("doc_id").alias("label_id"))
     old = _stamped(
         docs.join(five, "label_id", "left_anti").withColumn(
             "manufacturer", F.when(F.col("manufacturer") == "fr", "old").otherwise(F.col("manufacturer"))),
         updated_at="2024-01-01 00:00:00")
-    diff = upsert.upsert(old, docs.where("manufacturer <> 'de'"), ["setid", "spl_version"], LABEL_FIELDS,
-                         as_of=F.lit(AS_OF).cast("timestamp"))
-    return diff.select("setid", "spl_version", "manufacturer", "status", "updated_at")
+    return old, docs.where("manufacturer <> 'de'")
 
 
 def _old_new_synonyms(spark, sf):
@@ -599,40 +603,57 @@ def link_sync(spark, sf):
 
 # Load ------------------------------------------------------------------------------------------
 
-@query("""WITH n AS (SELECT drug_id AS pos, input_name AS name, rxcui, drug_id, drug_id % 7 = 3 AS broke FROM drugs WHERE normalized_name IS NOT NULL
-      UNION ALL SELECT 1000 + r_regionkey, 'zz-' || r_regionkey, NULL, NULL, false FROM region),
-    f AS (SELECT substr(source, 4)::BIGINT AS drug_id, arg_min(lang, doc_id) AS lang FROM documents GROUP BY 1),
-    r AS (SELECT *, rxcui IS NOT NULL AND NOT broke AS known, rxcui IS NOT NULL AND NOT broke AND lang <> 'de' AS labelled FROM n LEFT JOIN f USING (drug_id))
-    SELECT pos, name, CASE WHEN known THEN rxcui END AS rxcui, CASE WHEN broke THEN 'error' WHEN known THEN 'exact' ELSE 'none' END AS match_type,
-      CASE WHEN broke THEN 'timeout' END AS error, CASE WHEN known THEN 'added' ELSE 'failed' END AS drug_status,
-      CASE WHEN labelled THEN 'added' END AS label_status, CASE WHEN labelled THEN 'added' END AS link_status,
-      CASE WHEN labelled THEN 'interaction_evidence_found' WHEN known THEN 'error' END AS evidence_status,
-      CASE WHEN labelled THEN 7 ELSE 0 END AS sections_added FROM r""")
-def ingest_names(spark, sf):
-    """The load of drug names, some unknown and some with a broken lookup, with label documents in XML.
-
-    A source's first three documents are its candidates. German ones cannot be read, so a lookup that meets one first is an error.
-    """
+def load_sources(spark, sf):
+    """What a load reads: related names, each source's whole list of documents as candidates, and all label documents in XML."""
     from pairlight.plans import ingest as plan
     from pairlight.sources import label_xml as lx
 
     drugs = roles.drugs(spark, sf).where(F.col("normalized_name").isNotNull())
-    names = drugs.select(F.col("drug_id").alias("pos"), F.col("input_name").alias("name")).unionByName(
-        table(spark, sf, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("pos"), F.concat(F.lit("zz-"), "r_regionkey").alias("name")))
     other = roles.synonyms(spark, sf).groupBy("drug_id").agg(F.sort_array(F.collect_list(F.struct("ord", "synonym", "synonym_type"))).alias("s"))
     of_kind = lambda k: F.transform(F.filter("s", lambda x: x["synonym_type"] == k), lambda x: x["synonym"])
     related = drugs.join(other, "drug_id", "left").select(
         "rxcui", F.lit("IN").alias("term_type"), of_kind("brand").alias("brand_names"), "generic_name", of_kind("synonym").alias("synonyms"))
     place = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    found = table(spark, sf, "documents").select("source", "doc_id", "n_chars", place.alias("rank")).where("rank <= 3").select(
+    found = table(spark, sf, "documents").select("source", "doc_id", "n_chars", place.alias("rank")).select(
         (roles.drug_number(F.col("source")) + 1000).cast("string").alias("rxcui"), "rank", F.col("doc_id").cast("string").alias("setid"),
         F.col("n_chars").cast("string").alias("spl_version"), F.lit("candidate").alias("title"), F.lit(None).cast("string").alias("published_date"))
-    # Only candidates are parsed.
-    wanted = label_xml(spark, sf).withColumn("doc", F.col("doc").cast("string")).join(found.select(F.col("setid").alias("doc")).distinct(), "doc", "left_semi")
+    documents = lx.parse_labels(label_xml(spark, sf).withColumn("doc", F.col("doc").cast("string")))
     errors = drugs.where("drug_id % 7 = 3").select(F.col("input_name").alias("name"), F.lit("timeout").alias("error"))
-    sources = plan.Sources(drugs.select("rxcui", F.col("normalized_name").alias("concept_name")), related, found, lx.parse_labels(wanted), errors)
-    _, report = plan.ingest(names, plan.Store.empty(spark), sources, F.lit(AS_OF).cast("timestamp"))
-    return report.select("pos", "name", "rxcui", "match_type", "error", "drug_status", "label_status", "link_status", "evidence_status", "sections_added")
+    return plan.Sources(drugs.select("rxcui", F.col("normalized_name").alias("concept_name")), related, found, documents, errors)
+
+
+def load_names(spark, sf):
+    """(pos, name): the drugs' names, and names of no drug."""
+    drugs = roles.drugs(spark, sf).where(F.col("normalized_name").isNotNull())
+    return drugs.select(F.col("drug_id").alias("pos"), F.col("input_name").alias("name")).unionByName(
+        table(spark, sf, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("pos"), F.concat(F.lit("zz-"), "r_regionkey").alias("name")))
+
+
+LOADED = """n AS (SELECT drug_id AS pos, input_name AS name, rxcui, drug_id, drug_id % 7 = 3 AS broke FROM drugs WHERE normalized_name IS NOT NULL
+      UNION ALL SELECT 1000 + r_regionkey, 'zz-' || r_regionkey, NULL, NULL, false FROM region),
+    f AS (SELECT substr(source, 4)::BIGINT AS drug_id, arg_min(lang, doc_id) AS lang, min(doc_id) AS first_doc, count(*) AS total FROM documents GROUP BY 1),
+    r AS (SELECT *, rxcui IS NOT NULL AND NOT broke AS known, rxcui IS NOT NULL AND NOT broke AND lang <> 'de' AS labelled FROM n LEFT JOIN f USING (drug_id))"""
+
+
+@query(f"""WITH {LOADED}
+    SELECT pos, name, CASE WHEN known THEN rxcui END AS rxcui, CASE WHEN broke THEN 'error' WHEN known THEN 'exact' ELSE 'none' END AS match_type,
+      CASE WHEN broke THEN 'timeout' END AS error, CASE WHEN known THEN 'added' ELSE 'failed' END AS drug_status,
+      CASE WHEN labelled THEN 'added' END AS label_status, CASE WHEN labelled THEN 'added' END AS link_status,
+      CASE WHEN labelled THEN 'interaction_evidence_found' WHEN known THEN 'error' END AS evidence_status,
+      CASE WHEN labelled THEN 7 ELSE 0 END AS sections_added, CASE WHEN labelled THEN 1 END AS candidates_checked, CASE WHEN labelled THEN total END AS total_candidates_found FROM r""")
+def ingest_names(spark, sf):
+    """The load of drug names, some unknown and some with a broken lookup, with label documents in XML.
+
+    All documents of a source are its candidates, of which the load itself takes three. German ones cannot be read, so a
+    lookup that meets one first is an error.
+    """
+    from pairlight.plans import ingest as plan
+
+    after, report = plan.ingest(load_names(spark, sf), plan.Store.empty(spark), load_sources(spark, sf), F.lit(AS_OF).cast("timestamp"))
+    links = after.drug_label_links.join(after.drugs.select("drug_id", "rxcui"), "drug_id").select(
+        "rxcui", "candidates_checked", F.col("total_candidates_found").cast("long").alias("total_candidates_found"))
+    return report.join(links, "rxcui", "left").select(
+        "pos", "name", "rxcui", "match_type", "error", "drug_status", "label_status", "link_status", "evidence_status", "sections_added", "candidates_checked", "total_candidates_found")
 
 
 # Stored tables --------------------------------------------------------------------------------
@@ -847,27 +868,41 @@ def grounding_checks(spark, sf):
 @query(f"""WITH {CHECKS},
     listed AS (SELECT rxcui_a, rxcui_b, string_agg(evidence_id, '|' ORDER BY evidence_id) AS ids FROM evidence WHERE evidence_id IS NOT NULL GROUP BY 1, 2),
     mine AS (SELECT answer_id, string_agg(evidence_id, '|' ORDER BY pos) FILTER (classification IS NOT NULL) AS ids FROM found GROUP BY 1),
-    e AS (SELECT p.*, s.evidence_status AS status, i.fatal, i.stated, i.supported, coalesce(l.ids, '') AS listed, coalesce(m.ids, '') AS mine,
+    records AS (SELECT v.rxcui_a, v.rxcui_b, v.evidence_id, concat_ws('|', v.evidence_id, c.section_code, c.rxcui, v.classification, md5(c.text)) AS r FROM evidence v JOIN chunks c USING (chunk_id) WHERE v.evidence_id IS NOT NULL),
+    allrec AS (SELECT rxcui_a, rxcui_b, string_agg(r, chr(10) ORDER BY evidence_id) AS recs FROM records GROUP BY 1, 2),
+    minerec AS (SELECT answer_id, string_agg(r, chr(10) ORDER BY pos) AS recs FROM cited JOIN records USING (rxcui_a, rxcui_b, evidence_id) GROUP BY 1),
+    e AS (SELECT p.*, coalesce(s.evidence_status, 'insufficient_evidence') AS status, i.fatal, i.stated, i.supported, coalesce(l.ids, '') AS listed, coalesce(m.ids, '') AS mine,
+      coalesce(x.recs, '') AS listedrec, coalesce(y.recs, '') AS minerec, i.answer_id IS NOT NULL AS checked,
       CASE WHEN s.evidence_status = 'insufficient_evidence' THEN {o.quote(vocab.REASON_NO_EVIDENCE)}
         WHEN s.evidence_status IN {o.in_list(vocab.NO_TEXT_STATUSES)} THEN 'Cannot generate an explanation: retrieval result was ''' || s.evidence_status || '''.'
-        WHEN l.ids IS NULL THEN {o.quote(vocab.REASON_NO_EVIDENCE)}
+        WHEN s.evidence_status IS NULL OR l.ids IS NULL THEN {o.quote(vocab.REASON_NO_EVIDENCE)}
         WHEN p.malformed THEN 'LLM unavailable (OpenRouter): provider returned malformed output.'
         WHEN len(i.fatal) > 0 THEN {o.quote(vocab.REASON_REJECTED)} || array_to_string(i.fatal, '; ') END AS reason
-      FROM parsed p JOIN idstatuses s USING (rxcui_a, rxcui_b) LEFT JOIN issues i USING (answer_id) LEFT JOIN listed l USING (rxcui_a, rxcui_b)
-      LEFT JOIN mine m USING (answer_id))
+      FROM parsed p LEFT JOIN idstatuses s USING (rxcui_a, rxcui_b) LEFT JOIN issues i USING (answer_id) LEFT JOIN listed l USING (rxcui_a, rxcui_b)
+      LEFT JOIN mine m USING (answer_id) LEFT JOIN allrec x USING (rxcui_a, rxcui_b) LEFT JOIN minerec y USING (answer_id))
     SELECT answer_id, CASE WHEN reason IS NULL THEN 'llm_grounded' ELSE 'evidence_only' END AS mode,
       CASE WHEN reason IS NULL THEN interaction_assessment ELSE status END AS interaction_assessment,
       CASE WHEN reason IS NULL THEN evidence_summary END AS evidence_summary, CASE WHEN reason IS NULL THEN clinical_effect END AS clinical_effect,
       CASE WHEN reason IS NULL AND stated AND supported THEN severity END AS severity,
       CASE WHEN reason IS NULL THEN mine ELSE listed END AS cited_evidence,
       {o.quote('|'.join(vocab.LIMITATIONS))} || CASE WHEN reason IS NULL THEN '|' || limitations[1] ELSE '' END AS limitations,
-      CASE WHEN reason IS NULL THEN safety_notice ELSE {o.quote(vocab.SAFETY_NOTICE)} END AS safety_notice, reason AS fallback_reason FROM e""")
+      CASE WHEN reason IS NULL THEN safety_notice ELSE {o.quote(vocab.SAFETY_NOTICE)} END AS safety_notice, reason AS fallback_reason,
+      md5(CASE WHEN reason IS NULL THEN minerec ELSE listedrec END) AS citations_hash,
+      CASE WHEN checked THEN md5(concat_ws(chr(10), (len(fatal) = 0)::VARCHAR, array_to_string(fatal, '|'),
+        CASE WHEN stated AND NOT supported THEN 'Severity ''' || severity || ''' was not found verbatim in the cited evidence text.' ELSE '' END,
+        CASE WHEN len(fatal) = 0 AND stated AND supported THEN severity ELSE '' END)) END AS validation_hash FROM e""")
 def explanations(spark, sf):
+    """Every answer gets an explanation; a pair that no regimen asks for was not searched and has insufficient evidence."""
     found, statuses, parsed, checked = _validated(spark, sf)
-    asked = parsed.select("answer_id", "rxcui_a", "rxcui_b").join(statuses, ["rxcui_a", "rxcui_b"])
+    asked = parsed.select("answer_id", "rxcui_a", "rxcui_b").join(statuses, ["rxcui_a", "rxcui_b"], "left").withColumn(
+        "evidence_status", F.coalesce("evidence_status", F.lit(vocab.INSUFFICIENT)))
     out = grounding.explain(asked, found, parsed.withColumn("failure", F.lit(None).cast("string")), checked)
+    records = F.transform("citations", lambda c: F.concat_ws("|", c["evidence_id"], c["section_code"], c["rxcui"], c["classification"], F.md5(c["text"])))
+    v = F.col("validation")
+    said = F.when(v.isNotNull(), F.concat_ws("\n", v["passed"].cast("string"), joined(v["fatal_issues"]), joined(v["corrections"]), F.coalesce(v["corrected_severity"], F.lit(""))))
     return out.select("answer_id", "mode", "interaction_assessment", "evidence_summary", "clinical_effect", "severity",
-                      joined("cited_evidence").alias("cited_evidence"), joined("limitations").alias("limitations"), "safety_notice", "fallback_reason")
+                      joined("cited_evidence").alias("cited_evidence"), joined("limitations").alias("limitations"), "safety_notice", "fallback_reason",
+                      F.md5(F.array_join(records, "\n")).alias("citations_hash"), F.md5(said).alias("validation_hash"))
 
 
 def _failure_sql(family: str) -> str:
@@ -935,3 +970,7 @@ def admission(spark, sf):
     events = table(spark, sf, "events").select("user_id", "event_id", "ts")
     out = adm.admit_batch(events, key="user_id", ts="ts", order="event_id", limit=ADMIT[0], window_seconds=ADMIT[1])
     return out.select("user_id", "event_id", "allowed", F.round("retry_after", 3).alias("retry_after"))
+
+
+# Queries of their own modules register when imported.
+from pairlight.queries import models, stores, streams  # noqa: E402, F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,21 @@ def read_snapshot(spark: SparkSession, folder: str, table: str, version: int) ->
     return conform(spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}/version={version}"), table)
 
 
+def save_bucketed(df: DataFrame, path: str, id: str, buckets: int) -> DataFrame:
+    """Write df in buckets of `id`, sorted by it within a bucket, and read it back as a table that Spark knows to be so.
+
+    Joins and groups on `id` then read the buckets as they are. The catalog's entry is
+    needed to plan the read only and is dropped again; the files stay in `path`.
+    """
+    name = f"bucketed_{uuid.uuid4().hex}"
+    session = df.sparkSession
+    df.repartition(buckets, id).write.bucketBy(buckets, id).sortBy(id).option("path", path).format("parquet").saveAsTable(name)
+    read = session.table(name)
+    read.schema  # analysed before the entry goes
+    session.sql(f"DROP TABLE {name}")
+    return read
+
+
 COMMITS = "run string, batch_id bigint, version bigint"
 
 

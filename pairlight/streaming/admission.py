@@ -6,11 +6,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pairlight import vocab
 
@@ -103,40 +103,46 @@ def admit_batch(events: DataFrame, key: str, ts: str, order: str, limit: int = L
     return parts.mapInPandas(run, schema)
 
 
+class _Log(StatefulProcessor):
+    """The sliding log of one key: the times of its last admitted events."""
+
+    def __init__(self, key: str, order: str, limit: int, window: int, ttl_ms: int | None):
+        self.key, self.order, self.limit, self.window, self.ttl_ms = key, order, limit, window, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.hits = handle.getListState("hits", "at bigint", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        hits = deque(r[0] for r in self.hits.get())
+        for row in sorted(rows, key=lambda r: (r["_t"], r[self.order])):
+            allowed, wait = admit(hits, row["_t"], self.limit, self.window)
+            yield Row(**{self.key: key[0], self.order: row[self.order], "allowed": allowed, "retry_after": wait})
+        if hits:
+            self.hits.put([(t,) for t in hits])
+        else:
+            self.hits.clear()
+
+    def close(self) -> None:
+        pass
+
+
 def admit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int = LIMIT,
                  window_seconds: float = WINDOW, idle_seconds: float | None = None) -> DataFrame:
-    """Streaming form: state per key is the times of its last admitted events, at most `limit`.
+    """Streaming form: state per key is the list of the times of its last admitted events, at most `limit`.
 
     The events of one trigger are decided in the order of ts, then `order`; across
     triggers the order of arrival counts. The source's limit per trigger bounds
     what a key can bring at once. Every event gets a decision, however late it
     is: there is no watermark that could take it away. With `idle_seconds` the
     state of a key that brings nothing for so long (by the clock, so choose more
-    than the window and the greatest delay together) is dropped; without it state
-    stays.
+    than the window and the greatest delay together) lapses; without it state
+    stays. Start the query inside `session.state_on_disk`.
     """
     window = round(window_seconds * 1e6)
-    key_type = events.schema[key].dataType
     out_schema = T.StructType([
-        T.StructField(key, key_type), T.StructField(order, events.schema[order].dataType),
+        T.StructField(key, events.schema[key].dataType), T.StructField(order, events.schema[order].dataType),
         T.StructField("allowed", T.BooleanType()), T.StructField("retry_after", T.DoubleType()),
     ])
-
-    def run(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hits = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values(["_t", order])
-        decided = [admit(hits, int(now), limit, window) for now in rows["_t"]]
-        state.update((list(hits),))
-        if idle_seconds:
-            state.setTimeoutDuration(round(idle_seconds * 1000))
-        yield pd.DataFrame({
-            key: [group[0]] * len(rows), order: rows[order].tolist(),
-            "allowed": [d[0] for d in decided], "retry_after": [d[1] for d in decided],
-        })
-
-    timed = events.select(key, order, ts).withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout
-    return timed.groupBy(key).applyInPandasWithState(run, out_schema, "hits array<bigint>", "append", timeout)
+    timed = events.select(key, order, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    processor = _Log(key, order, limit, window, round(idle_seconds * 1000) if idle_seconds else None)
+    return timed.groupBy(key).transformWithState(processor, out_schema, "append", "processingTime" if idle_seconds else "none")

@@ -193,3 +193,6 @@ INSTRUCTIONS = (
     "interaction_assessment, evidence_summary, clinical_effect, mechanism, severity, cited_evidence_ids, "
     "limitations, safety_notice."
 )
+
+# Fixed value: tokens of a text that a model sees.
+MAX_TOKENS = 256

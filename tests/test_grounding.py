@@ -135,12 +135,35 @@ def test_prompts_and_generation(spark):
     assert got["a", "d"].endswith("EVIDENCE: none retrieved. There is no evidence to summarize.")
 
     def load():
-        return lambda prompts: [None if "drug d" in p else json.dumps({"n": len(p)}) for p in prompts]
+        return lambda p: None if "drug d" in p else json.dumps({"n": len(p)})
 
     texts = {(r.rxcui_a, r.rxcui_b): r.raw_text for r in grounding.generate(table, load).collect()}
     assert texts["a", "d"] is None and json.loads(texts["a", "b"])["n"] == len(got["a", "b"])
 
 
+def test_a_failed_call_ends_its_own_row_only(spark):
+    def load():
+        seen = {}
+
+        def make(prompt):
+            seen[prompt] = seen.get(prompt, 0) + 1
+            if prompt == "bug":
+                raise KeyError("x")
+            if prompt == "slow" or (prompt == "late" and seen[prompt] < 3):
+                raise grounding.CallFailed("took too long", "timeout", 504)
+            if prompt == "key":
+                raise grounding.CallFailed("no", "key_invalid", 401)
+            return None if prompt == "none" else prompt.upper()
+        return make
+
+    rows = [(i, p, "kept") for i, p in enumerate(["a", "bug", "slow", "late", "key", "none", None, "a"])]
+    df = spark.createDataFrame(rows, "id int, prompt string, other string").coalesce(1)
+    got = {r.id: (r.raw_text, r.failure_kind, r.failure_status, r.failure_message, r.attempts) for r in grounding.generate(df, load, attempts=3).collect()}
+    assert got == {0: ("A", None, None, None, 1), 1: (None, None, None, "KeyError: 'x'", 1), 2: (None, "timeout", 504, "took too long", 3), 3: ("LATE", None, None, None, 3),
+                   4: (None, "key_invalid", 401, "no", 1), 5: (None, None, None, "the generator returned no text", 1), 6: (None, None, None, None, 0), 7: ("A", None, None, None, 1)}
+    assert grounding.generate(df.limit(0), load).collect() == []
+
+
 def test_failure_categories(spark):
     rows = [("Gemini", None, "PermissionDenied: x", "key_invalid"), ("Gemini", None, "quota", "rate_limit"), ("Gemini", None, "odd", "unavailable"),
             ("xAI", 401, "", "key_invalid"), ("xAI", 504, "", "timeout"), ("OpenRouter", 429, None, "rate_limit"), ("OpenRouter", 500, "no auth", "key_invalid"),

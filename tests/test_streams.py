@@ -5,6 +5,7 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from pairlight.operators import audit
+from pairlight.session import state_on_disk
 from pairlight.streaming import admission, audit as audit_stream
 
 T0 = dt.datetime(2024, 1, 1)
@@ -71,8 +72,9 @@ def test_stream_equals_batch(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(SCHEMA).parquet(source)
-        admission.admit_stream(stream, "key", "ts", "id", 3, 20.0).writeStream.format("parquet").option("path", out).option(
-            "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        with state_on_disk(spark):
+            admission.admit_stream(stream, "key", "ts", "id", 3, 20.0).writeStream.format("parquet").option("path", out).option(
+                "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
     run()
     df.where("id >= 100").coalesce(1).write.mode("append").parquet(source)
@@ -81,6 +83,43 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == expected(times, 3, 20.0)
 
 
+def test_idle_state_lapses(spark, tmp_path):
+    """With a time to live, a key's log is gone once it has been idle; decisions of a run before it are not undone."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(2):
+        spark.createDataFrame([("a", k, T0 + dt.timedelta(seconds=k))], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        with state_on_disk(spark):
+            admission.admit_stream(spark.readStream.schema(SCHEMA).parquet(source), "key", "ts", "id", 1, 60.0, idle_seconds=0.001).writeStream.format("parquet").option(
+                "path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {r.id: r.allowed for r in spark.read.parquet(out).collect()} == {0: True, 1: True}
+
+
+def test_late_rows_are_counted_beside_closed_windows(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    mark, seen, want = None, [], {}
+    for times in ([0, 10, 70], [5, 130, 300, None], [20, 290, 310, 400, 65], [401, 0, 0]):
+        rows = [(None if t is None else T0 + dt.timedelta(seconds=t), "e", "r", "/x", None, None, None if t == 5 else "s", "m", 1.5, None) for t in times]
+        spark.createDataFrame(rows, audit_stream.CHECK_SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        with state_on_disk(spark):
+            audit_stream.windows_with_late(spark.readStream.schema(audit_stream.CHECK_SCHEMA).parquet(source), 60, "30 seconds").writeStream.format("parquet").option(
+                "path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        for t in times:
+            if t is not None:
+                late = mark is not None and t // 60 * 60 + 60 <= mark
+                key = (t // 60 * 60, None if t == 5 else "s")
+                n, lates = want.get(key, (0, 0))
+                want[key] = (n, lates + 1) if late else (n + 1, lates)
+        seen += [t for t in times if t is not None]
+        mark = max(seen) - 30
+    got = {}
+    for r in spark.read.parquet(out).collect():
+        key = (int((r.window_start - T0).total_seconds()), r.evidence_status)
+        n, lates = got.get(key, (0, 0))
+        got[key] = (n + r.n_requests, lates + r.n_late)
+    assert got == {k: v for k, v in want.items() if k[0] + 60 <= mark}
+    assert sum(v[1] for v in got.values()) == 4
+
+
 def test_audit_files_and_counts(spark, tmp_path):
     events = spark.createDataFrame(
         [(T0 + dt.timedelta(seconds=20 * i), f"r{i}", "/check", "1", "2", "supporting_evidence_found", "evidence_only", 1.2345, "secret") for i in range(9)],

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,38 @@ def test_matching_against_brute_force(spark):
     assert got == want
 
 
+def test_long_terms_and_very_many_positions(spark):
+    words = ["the"] * 5000 + ["rare", "find"] + ["the"] * 5000
+    t = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, ""), (4, "--"), (5, "the-the")], "chunk_id int, text string")
+    terms = ["the the", "rare find", "the rare find the", "find rare", "the " * 30 + "the", "The-the", "the  the", None, "  ", "the the"]
+    d = spark.createDataFrame([(x,) for x in terms], "term string")
+    got = sorted((r.chunk_id, r.term) for r in mentions.match_terms(t, d).collect())
+    assert got == sorted([(1, "the the"), (1, "rare find"), (1, "the rare find the"), (1, "the " * 30 + "the"), (5, "The-the")])
+    assert mentions.match_terms(t, d.where("term = '  '")).collect() == []
+    assert mentions.match_terms(t.where("chunk_id < 0"), d).collect() == []
+
+
+def test_token_path_of_a_model(spark):
+    """Cut, padding by width, mask and scale against a plain loop; rows come back in their order."""
+    rng = random.Random(6)
+
+    def load():
+        return (lambda texts: [[len(w) for w in t.split()] for t in texts]), (lambda ids, mask: np.stack([ids + 1.0, ids * ids], axis=2) * 1.0 + (~mask[:, :, None]) * 1e6)
+
+    texts = [" ".join("x" * rng.randint(1, 9) for _ in range(rng.choice([0, 1, 3, 15, 16, 17, 40, 300]))) for _ in range(120)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    made = {r.id: r.v for r in vectors.TokenEmbedder(load, 2, batch=4, max_tokens=20)(df, "t", "v").collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert made[i] is None
+            continue
+        tokens = [len(w) for w in t.split()][:20]
+        mean = np.array([[x + 1.0, x * x] for x in tokens]).mean(axis=0) if tokens else np.zeros(2)
+        assert np.allclose(made[i], mean / max(np.linalg.norm(mean), 1e-12)), t
+    with pytest.raises(Exception, match="the model returned"):
+        vectors.TokenEmbedder(load, 3)(df, "t", "v").collect()
+
+
 def test_mentions_keep_term_order_and_first_class_wins(spark):
     texts = spark.createDataFrame([("c1", "Advil and ibuprofen are NSAIDs, an nsaid")], "chunk_id string, text string")
     terms = spark.createDataFrame([("5640", "ibuprofen", 0), ("5640", "Advil", 1), ("1", "warfarin", 0)],
