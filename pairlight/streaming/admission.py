@@ -136,7 +136,8 @@ def admit_stream(events: DataFrame, key: str, ts: str, order: str, limit: int =
     is: there is no watermark that could take it away. With `idle_seconds` the
     state of a key that brings nothing for so long (by the clock, so choose more
     than the window and the greatest delay together) lapses; without it state
-    stays. Start the query inside `session.state_on_disk`.
+    stays. State that lapses by the clock needs a trigger that goes on, as an
+    available-now run would not end. Start the query inside `session.state_on_disk`.
     """
     window = round(window_seconds * 1e6)
     out_schema = T.StructType([

@@ -116,6 +116,4 @@ def test_streamed_loads(spark, tmp_path):
     (names / "2.json").write_text('{"pos": 2, "name": "Warfarin"}\n{"pos": 3, "name": "ibuprofen"}\n')
     run("cp")
     assert store.latest() == 1 and store.read("drugs", 1).count() == 2
-    run("other")  # a fresh checkpoint goes on from what is there
-    assert store.latest() == 2 and store.read("drugs", 2).count() == 2
-    assert tables.commits(spark, store.folder).count() == 3
+    assert tables.commits(spark, store.folder).count() == 2

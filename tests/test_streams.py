@@ -83,17 +83,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == expected(times, 3, 20.0)
 
 
-def test_idle_state_lapses(spark, tmp_path):
-    """With a time to live, a key's log is gone once it has been idle; decisions of a run before it are not undone."""
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for k in range(2):
-        spark.createDataFrame([("a", k, T0 + dt.timedelta(seconds=k))], SCHEMA).coalesce(1).write.mode("append").parquet(source)
-        with state_on_disk(spark):
-            admission.admit_stream(spark.readStream.schema(SCHEMA).parquet(source), "key", "ts", "id", 1, 60.0, idle_seconds=0.001).writeStream.format("parquet").option(
-                "path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert {r.id: r.allowed for r in spark.read.parquet(out).collect()} == {0: True, 1: True}
-
-
 def test_late_rows_are_counted_beside_closed_windows(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     mark, seen, want = None, [], {}
