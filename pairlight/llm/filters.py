@@ -35,12 +35,13 @@ from pairlight.session import work_folder
 
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
-BUCKET, BATCHES, STRETCH = 64, 8, 1 << 16
+BUCKET, BATCHES, STRETCH = 64, 4, 1 << 16
 _ODD = re.compile(rb"[#$%&*|]")
 _UPPER = bytes(range(0x41, 0x5B))
 COUNTER = "part string, mask int, good boolean, toxic boolean, n bigint"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State of any size stays off the heap, and a batch adds what it changed to the checkpoint in place of a whole copy.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def text_mask(data: bytes) -> int:
@@ -172,12 +173,14 @@ def count_masks(spark: SparkSession, path: str, labels: DataFrame, doc_id: str =
     def add(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)  # state of any size stays off the heap
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         changes.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/stream").foreachBatch(add).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not given.head(1):
         return spark.createDataFrame([], COUNTER)
     counters = spark.read.schema(f"{COUNTER}, batch int").parquet(f"{folder}/counters")
