@@ -46,12 +46,13 @@ def work_folder(spark: SparkSession) -> str:
 
 
 STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 @contextmanager
 def state_on_disk(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB, off the heap, and checkpoint only what a batch changed."""
+    """Streams started inside keep their state in RocksDB, off the heap, checkpoint only what a batch changed and reserve no disk ahead."""
     before = {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
