@@ -39,9 +39,10 @@ BUCKET, BATCHES, STRETCH = 64, 4, 1 << 16
 _ODD = re.compile(rb"[#$%&*|]")
 _UPPER = bytes(range(0x41, 0x5B))
 COUNTER = "part string, mask int, good boolean, toxic boolean, n bigint"
-#: State of any size stays off the heap, and a batch adds what it changed to the checkpoint in place of a whole copy.
+#: State of any size stays off the heap, a batch adds what it changed to the checkpoint in place of a whole copy, and small stores reserve no disk.
 STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def text_mask(data: bytes) -> int:
