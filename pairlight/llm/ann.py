@@ -3,8 +3,8 @@
 A vector is scaled to length one and rotated by a fixed random rotation; its
 code is one sign bit per dimension, packed, with two correction scalars: its
 length and the inner product of the rotated vector with its code's corner. A
-query is rotated too and rounded to `QUERY_BITS` bit planes; inner products
-follow from and-ing planes with codes and counting bits. The estimate has a
+query is rotated too; a slice's bits become signs once, and the inner products
+of many queries with all its corners are one matrix product. The estimate has a
 known error; only vectors whose upper bound reaches the k-th best exact score
 so far are scored exactly on the original vectors.
 
@@ -15,6 +15,7 @@ k rows per query. Both sizes are constants; what grows is the number of tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BITS, ERROR, BLOCK, SLICE, SEED = 6, 2.5, 2048, 16384, 7
+ERROR, BLOCK, SLICE, STEP, SEED = 2.5, 2048, 16384, 64, 7
 INDEX = "vec_id bigint, dim int, vector array<float>, code binary, length double, aligned double"
 
 
@@ -60,39 +61,31 @@ def index(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     return rows.mapInArrow(run, INDEX)
 
 
-def _planes(query: np.ndarray, bits: int) -> tuple[np.ndarray, float, float]:
-    """A rotated query as bit planes (bits, words), with its lowest value and step."""
-    low, top = float(query.min()), float(query.max())
-    step = (top - low) / ((1 << bits) - 1) or 1.0
-    whole = np.rint((query - low) / step).astype(np.uint8)
-    return np.stack([np.packbits(whole >> b & 1, bitorder="little").view(np.uint64) for b in range(bits)]), low, step
-
-
-def nearest(query: np.ndarray, skip: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, aligned: np.ndarray, k: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of one slice: ids and exact scores, nearest first, ties to the smaller id. ids ascend."""
-    size = float(np.linalg.norm(query))
-    turned = (query / size) @ turn
+def nearest(asked: np.ndarray, skip: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, length: np.ndarray, aligned: np.ndarray, k: int, turn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row of `asked`, the k nearest of one slice but the id in `skip`: ids and exact scores, nearest first, ties to the smaller id. ids ascend."""
     wide = turn.shape[1]
-    planes, low, step = _planes(turned, QUERY_BITS)
-    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-    met = np.zeros(len(ids), dtype=np.int64)
-    for b, plane in enumerate(planes):
-        met += np.bitwise_count(codes & plane).sum(axis=1, dtype=np.int64) << b
-    dot = (2 * (step * met + low * ones) - turned.sum()) / np.sqrt(wide)  # with the code's corner
-    rounding = step / 2  # of a plane sum: at most this much for a dimension, as the root of their mean square
-    spread = np.sqrt(np.maximum(0.0, 1 - aligned**2)) / aligned * ERROR / np.sqrt(max(1, wide - 1)) + ERROR * rounding / aligned
-    estimate, bound = size * length * dot / aligned, size * length * spread
-    open_ = ids != skip
-    exact = lambda at: (vectors[at].astype(np.float64) * query).sum(axis=1)
-    some = np.flatnonzero(open_)
-    if len(some) > k:
-        first = some[np.argpartition(-estimate[some], k - 1)[:k]]
-        reached = exact(first).min()
-        some = some[(estimate + bound)[some] >= reached]
-        some = np.union1d(some, first)
-    score = exact(some)
-    order = np.lexsort((ids[some], -score))[:k]
-    return ids[some][order], score[order]
+    corners = np.unpackbits(codes, axis=1, bitorder="little").astype(np.float32) * 2 - 1
+    factor = length / aligned / np.sqrt(wide)
+    bound = length * (np.sqrt(np.maximum(0.0, 1 - aligned**2)) / aligned * ERROR / np.sqrt(max(1, wide - 1)) + 1e-5)
+    for at in range(0, len(asked), STEP):
+        block = asked[at : at + STEP]
+        size = np.linalg.norm(block, axis=1)
+        estimate = (((block / size[:, None]) @ turn).astype(np.float32) @ corners.T) * factor
+        estimate[ids[None, :] == skip[at : at + STEP, None]] = -np.inf
+        n_open = np.isfinite(estimate).sum(axis=1)
+        firsts = np.argpartition(-estimate, k - 1, axis=1)[:, :k] if len(ids) > k else None
+        upper = estimate + bound
+        for i, query in enumerate(block):
+            if n_open[i] > k:
+                reached = (vectors[firsts[i]].astype(np.float64) @ query).min() / size[i]
+                some = np.flatnonzero(upper[i] >= reached - 1e-9 * abs(reached))
+                rough = vectors[some].astype(np.float64) @ query
+                some = some[rough >= np.partition(rough, -k)[-k] - 1e-12 * size[i] * length[some].max()] if len(some) > k else some
+            else:
+                some = np.flatnonzero(np.isfinite(estimate[i]))
+            score = (vectors[some].astype(np.float64) * query).sum(axis=1)  # equal vectors get equal scores, wherever they stand
+            order = np.lexsort((ids[some], -score))[:k]
+            yield ids[some][order], score[order]
 
 
 def search(table: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, slice_rows: int = SLICE, seed: int = SEED) -> DataFrame:
@@ -119,10 +112,12 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK
         out: list[tuple[int, int, float]] = []
         if len(here) and len(ask):
             ids, vectors = here.column("vec_id").to_numpy(), matrix(here)
-            codes = np.frombuffer(b"".join(here.column("code").to_pylist()), dtype=np.uint64).reshape(len(here), -1)
+            codes = np.frombuffer(b"".join(here.column("code").to_pylist()), dtype=np.uint8).reshape(len(here), -1)
             length, aligned = here.column("length").to_numpy(), here.column("aligned").to_numpy()
-            for q, v in zip(ask.column("vec_id").to_pylist(), matrix(ask).astype(np.float64)):
-                out += [(q, i, s) for i, s in zip(*(x.tolist() for x in nearest(v, q, ids, vectors, codes, length, aligned, k, rotation(dim, seed))))]
+            asking = ask.column("vec_id").to_numpy()
+            found = nearest(matrix(ask).astype(np.float64), asking, ids, vectors, codes, length, aligned, k, rotation(dim, seed))
+            for q, (near, scores) in zip(asking.tolist(), found, strict=True):
+                out += zip([q] * len(near), near.tolist(), scores.tolist())
         names = ["query_id", "vec_id", "score"]
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.float64()))], names=names)
 
