@@ -13,8 +13,10 @@ others; all blocks of a segment are decoded side by side.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -158,19 +160,29 @@ def _encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(encode, limit=800_000, group_chars=1 << 19)
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[re.Pattern, Callable[[str], bytes]]:
+    """A pattern for texts that hold an added token of the file, and the ids of such a text: the library takes it whole."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokens = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+    return re.compile("|".join(tokens) or r"(?!)"), lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, segment_tokens: int = SEGMENT, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode whole texts with the library's tokenizer file and write a token-id file at `out`.
 
     Documents stand in ascending doc_id order (null first); documents with the
     same id stand in the order of their texts. Each one ends with `end_id`. Null
-    text counts as empty. Strings of special tokens inside a text are ordinary
-    text. Memory is bounded by one segment and the largest document.
+    text counts as empty. Added tokens inside a text get their own ids, as in the
+    library's encoding of the whole text. Memory is bounded by one segment and the largest document.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     end = np.uint32(end_id).tobytes()
 
     def run(batches):
-        encoder = _encoder(tokenizer)
+        encoder, (added, whole) = _encoder(tokenizer), _added(tokenizer)
         part, seq = TaskContext.get().partitionId(), 0
         held: list[tuple[int, bytes]] = []
         n = 0
@@ -182,7 +194,12 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, segment
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
 
         for batch in batches:
-            for i, ids in zip(batch.column("id").to_pylist(), encoder.texts(batch.column("text").to_pylist())):
+            texts = batch.column("text").to_pylist()
+            apart = {k for k, t in enumerate(texts) if added.search(t)}
+            made = encoder.texts("" if k in apart else t for k, t in enumerate(texts))
+            for k, (i, ids) in enumerate(zip(batch.column("id").to_pylist(), made, strict=True)):
+                if k in apart:
+                    ids = whole(texts[k])
                 held.append((i, ids + end))
                 n += len(ids) // 4 + 1
                 if n >= segment_tokens:

@@ -104,7 +104,7 @@ def test_frequencies_sum():
 
 
 def test_token_file(spark):
-    rows = [(5, "b c", "x"), (2, "a", "y"), (9, None, "z"), (2, "a", "y"), (None, "n n", "q"), (7, "", "w"), (8, "long " * 5000, "v")]
+    rows = [(5, "b c", "x"), (2, "a", "y"), (9, None, "z"), (2, "a", "y"), (None, "n n", "q"), (7, "", "w"), (8, "long " * 5000, "v"), (11, "a <|endoftext|> b<|endoftext|>", "u"), (12, "<|endoftext|", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     path = rans.new_file(spark)
     rans.write_tokens(docs, path, FILE, end_id=2, segment_tokens=50)
