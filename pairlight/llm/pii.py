@@ -4,8 +4,8 @@ Each kind has one pattern whose matches are leftmost and do not overlap. The
 text between matches gives the places: a match starts behind all pieces and
 matches before it, summed in two levels so that a text with very many matches
 stays cheap. Cards need the Luhn sum, bank accounts the remainder 1 of division
-by 97. Kinds that the checks cannot confirm (`national`) need a context word to
-reach the threshold. Patterns are possessive and start at the first sign of a
+by 97. Kinds that the checks cannot confirm (`national`, `secret`) need a context word
+to reach the threshold. Patterns are possessive and start at the first sign of a
 run, so that very long runs cost no more than their length. One pass over the
 rows, no shuffle; DataFrame functions only.
 """
@@ -48,6 +48,11 @@ def parts_at_most_255(s: Column) -> Column:
     return F.forall(F.split(s, "[.]"), lambda p: let(F.regexp_replace(p, "^0+", ""), lambda q: (F.length(q) < 3) | ((F.length(q) == 3) & (q <= "255"))))
 
 
+def mixed(s: Column) -> Column:
+    """Whether a run looks made by a machine: letters, four digits or more, eight different signs or more."""
+    return s.rlike("[A-Za-z]") & (F.length(_digits(s)) >= 4) & (F.size(F.array_distinct(F.split(s, ""))) >= 8)
+
+
 @dataclass(frozen=True)
 class Kind:
     """`pattern` proposes; `confirm` drops what fails; `score` plus `near` if a word of `context` is close. `base` kinds always stay."""
@@ -68,6 +73,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda m: _between(m, 9, 15), "phone|tel|telephone|call|mobile|fax", 0.6),
     Kind("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, "iban|account|bank|konto|compte|cuenta", 0.7, False),
     Kind("national", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), "ssn|social security|social|insurance", 0.3, False),
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+", mixed, "tokens?|secrets?|passwords?|passwd|pwd|credentials?|bearer|auth|(?:api|access|private|secret)[_ -]?keys?", 0.3, False),
+    Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-]))", lambda m: F.lit(True), "key|token", 0.7, False),
 )
 
 

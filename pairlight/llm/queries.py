@@ -89,7 +89,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["nr"] < 4)
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"),
+                        *map(count, ("account", "national", "secret", "access_key")), F.size("pii").cast("bigint").alias("n_spans"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
