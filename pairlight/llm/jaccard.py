@@ -97,7 +97,7 @@ def commonness(rows: DataFrame, words: int, bits: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, digest, firsts, sizes, fine): size and digest of each text's set, its rarest members in order, its sizes per block and per finer block."""
+    """(doc_id, key, n, digest, firsts, sizes, fine): size and digest of each text's set, its rarest members in order, its sizes per block and per finer block."""
     known, shift = _Hashes(), np.uint64(64 - int(len(common)).bit_length() + 1)
     for batch in short_batches(batches):
         sizes, digests, firsts, blocks, fine = [], [], [], [], []
@@ -109,8 +109,8 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int, common:
             firsts.append(has[order].view(np.int64))
             blocks.append(block_sizes(has, BLOCKS))
             fine.append(block_sizes(has, fine_blocks(len(has))))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(blocks, pa.binary()),
-                                          pa.array(fine, pa.binary())], names=["doc_id", "n", "digest", "firsts", "sizes", "fine"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(blocks, pa.binary()),
+                                          pa.array(fine, pa.binary())], names=["doc_id", "key", "n", "digest", "firsts", "sizes", "fine"])
 
 
 def fine_blocks(n: int) -> int:
@@ -212,7 +212,7 @@ def _multiplied(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: in
     entries; a tile is a pair of blocks. So a set is sent once to each tile that it has pairs in, however many they are.
     """
     both = pairs.select(F.col("hub").alias("x"), F.col("node").alias("y")).unionByName(pairs.select(F.col("node").alias("x"), F.col("hub").alias("y")))
-    homes = cut(both.groupBy("x").agg(F.min(F.least("x", "y")).alias("home")).join(classes.select(F.col("node").alias("x"), "n", "rep", "digest"), "x"))
+    homes = cut(both.groupBy("x").agg(F.min(F.least("x", "y")).alias("home")).join(classes.select(F.col("node").alias("x"), "n", "key", "digest"), "x"))
     sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("n") / (1 << 20))).alias("parts"))
     blocks = homes.join(sizes, "home").select("x", F.xxhash64("home", F.pmod(F.xxhash64("x"), "parts")).alias("block"))
     of = lambda end, name: blocks.select(F.col("x").alias(end), F.col("block").alias(name))
@@ -225,8 +225,9 @@ def _multiplied(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: in
             same = pa.array([xxhash.xxh128_digest(x) == d for x, d in zip(of, batch.column("digest").to_pylist())])  # rows with one doc_id can have other texts
             yield pa.RecordBatch.from_arrays([batch.column("x"), pa.array(of, pa.binary())], names=["a", "has"]).filter(same)
 
-    texts = rows.withColumnRenamed("doc_id", "rep").where(_marked(F.col("rep"), homes.select("rep")))
-    sets = homes.join(texts, "rep").select("x", "digest", "text").mapInArrow(made, "a bigint, has binary")
+    texts = rows.where(_marked(F.col("key"), homes.select("key")))
+    texts = texts.where("doc_id is not null").unionByName(texts.where("doc_id is null").dropDuplicates(["key", "text"])).drop("doc_id")
+    sets = homes.join(texts, "key").select("x", "digest", "text").mapInArrow(made, "a bigint, has binary")
     wanted = dealt.select("tile", "a").distinct().unionByName(dealt.select("tile", F.col("b").alias("a")).distinct()).distinct()
     given = wanted.join(sets, "a").select("tile", F.lit(0).alias("role"), "a", F.lit(None).cast("bigint").alias("b"), "has")
     met = given.unionByName(dealt.select("tile", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("has")))
@@ -278,13 +279,14 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     the size of the union is at most 100 times that of the intersection of their
     sets; a text without words links with nothing and is its own component.
     component_id is the smallest doc_id that links reach; n_links counts the links
-    between different sets that were needed to find it. Rows without doc_id have no
-    component unless another row has their set. Repeated rows stay, no rows give none.
+    between different sets that were needed to find it. Rows without doc_id link like
+    any other; their component_id is null if no row that they reach has a doc_id.
+    Repeated rows stay, no rows give none.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))  # the key finds a text again
     common = commonness(rows.select("text"), words, bits)
-    marked = cut(rows.mapInArrow(lambda b: _signed(b, words, percent, common), "doc_id bigint, n bigint, digest binary, firsts array<bigint>, sizes binary, fine binary"))
-    classes = cut(marked.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("sizes").alias("sizes"), F.first("fine").alias("fine"))
+    marked = cut(rows.mapInArrow(lambda b: _signed(b, words, percent, common), "doc_id bigint, key bigint, n bigint, digest binary, firsts array<bigint>, sizes binary, fine binary"))
+    classes = cut(marked.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("sizes").alias("sizes"), F.first("fine").alias("fine"))
                   .withColumn("node", F.monotonically_increasing_id()))
     postings = classes.select("node", "n", F.posexplode("firsts").alias("pos", "col")).withColumn("pos", F.col("pos") + 1)
     several = postings.groupBy("col").agg(F.count(F.lit(1)).alias("f")).where("f > 1")

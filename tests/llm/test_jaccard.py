@@ -86,3 +86,11 @@ def test_shingle_sets():
         t = " ".join(rnd.choice(["a", "B", "c", "É", "d\x1ce"]) for _ in range(rnd.randint(0, 30)))
         made = jaccard.shingle_set(t, 3, jaccard._Hashes())
         assert len(made) == len(grams(t)) and np.all(np.diff(made.astype(object)) > 0)
+
+
+def test_rows_without_id_link(spark):
+    base = [f"w{i}" for i in range(64)]
+    text = lambda n: " ".join(base[:n])
+    rows = [(2, text(50)), (None, text(54)), (None, text(54)), (1, text(58)), (5, text(64)), (None, "quite another text"), (None, "quite another text indeed")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(2, 48, 1), (None, 52, 1), (1, 56, 1), (5, 62, 1), (None, 2, None), (None, 1, None)}
