@@ -16,7 +16,8 @@ def first_spellings(names: Column) -> Column:
     """Array of names without blanks and without later spellings of an earlier name."""
     clean = F.filter(F.transform(names, tx.strip), lambda n: n != "")
     return tx.let(clean, lambda c: tx.let(
-        F.transform(c, F.lower), lambda low: F.filter(c, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)))
+        F.transform(c, F.lower), lambda low: F.when(F.size(F.array_distinct(low)) == F.size(low), c).otherwise(
+            F.filter(c, lambda n, i: F.array_position(low, F.lower(n)) == i + 1))))
 
 
 def unordered_pairs(names: Column) -> Column:
@@ -42,45 +43,41 @@ def check_names(df: DataFrame, name: str = "name") -> DataFrame:
 def check_regimens(names: DataFrame) -> DataFrame:
     """(regimen_id, n_names, names, reason) from rows (regimen_id, pos, name).
 
-    Sizes are counted first, with partial counts on the map side. Only regimens
-    within the size limits are gathered, so no group holds more than ten names
-    however long an odd list is.
+    Names are shuffled and sorted once and become rows of at most ten columns by
+    their place, so no group holds more than ten names however long an odd list is.
     """
     low, high = vocab.REGIMEN_SIZE
-    sizes = names.groupBy("regimen_id").agg(F.count("*").alias("n_names"))
-    within = F.col("n_names").between(low, high)
-    outside = sizes.where(~within).select(
-        "regimen_id", "n_names", F.lit(None).cast("array<string>").alias("names"),
-        F.when(F.col("n_names") < low, F.lit(vocab.REGIMEN_SMALL))
-        .otherwise(F.format_string(vocab.REGIMEN_LARGE, F.col("n_names"), F.lit(high))).alias("reason"),
-    )
-    # Names are cleaned and checked as rows, before they are gathered.
+    # Names are cleaned and checked as rows, before they are put beside each other.
     each = names.select("regimen_id", "pos", tx.strip(F.col("name")).alias("_n")).withColumn(
         "_problem", tx.name_problem(F.col("_n")))
-    listed = (
-        each.join(sizes.where(within), "regimen_id")
-        .groupBy("regimen_id", "n_names")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", F.col("_n").alias("name")))).alias("_l"),
-             F.min_by("_problem", F.when(F.col("_problem").isNotNull(), F.col("pos"))).alias("_problem"))
-        .withColumn("_clean", F.transform("_l", lambda x: x["name"]))
-    )
+    ranked = each.withColumn("_i", F.row_number().over(W.partitionBy("regimen_id").orderBy("pos", "_n")))
+    listed = ranked.groupBy("regimen_id").agg(
+        F.count("*").alias("n_names"),
+        F.min_by("_problem", F.when(F.col("_problem").isNotNull(), F.col("_i"))).alias("_problem"),
+        *[F.max(F.when(F.col("_i") == i, F.col("_n"))).alias(f"_{i}") for i in range(1, high + 1)])
+    within = F.col("n_names").between(low, high)
+    filled = lambda of: F.slice(F.array(*[of(F.col(f"_{i}")) for i in range(1, high + 1)]), F.lit(1), F.col("n_names").cast("int"))
     again = tx.let(F.transform("_clean", F.lower), lambda low: F.sort_array(F.array_distinct(
         F.filter("_clean", lambda n, i: F.array_position(low, F.lower(n)) != i + 1))))
-    checked = (
-        listed.withColumn("_again", F.when(F.size(F.array_distinct(F.transform("_clean", F.lower))) < F.size("_clean"), again))
-        .withColumn("reason", F.coalesce("_problem", F.format_string(vocab.REGIMEN_DUPLICATE, F.array_join("_again", ", "))))
-        .withColumn("reason", F.when(F.col("_problem").isNotNull() | F.col("_again").isNotNull(), F.col("reason")))
-        .select("regimen_id", "n_names", F.when(F.col("reason").isNull(), F.col("_clean")).alias("names"), "reason")
+    wrong = (
+        F.when(F.col("n_names") < low, F.lit(vocab.REGIMEN_SMALL))
+        .when(F.col("n_names") > high, F.format_string(vocab.REGIMEN_LARGE, F.col("n_names"), F.lit(high)))
+        .when(F.col("_problem").isNotNull(), F.col("_problem"))
+        .when(F.size(F.array_distinct("_low")) < F.size("_low"), F.format_string(vocab.REGIMEN_DUPLICATE, F.array_join(again, ", ")))
     )
-    return outside.unionByName(checked)
+    checked = listed.select("regimen_id", "n_names", "_problem", F.when(within, filled(lambda c: c)).alias("_clean"), F.when(within, filled(F.lower)).alias("_low"))
+    return checked.withColumn("reason", wrong).select("regimen_id", "n_names", F.when(F.col("reason").isNull(), F.col("_clean")).alias("names"), "reason")
 
 
 def regimen_pairs(checked: DataFrame) -> DataFrame:
     """(regimen_id, pair_no, drug_a, drug_b) for every accepted regimen, at most 45 pairs each."""
+    names = checked.where(F.col("reason").isNull()).select("regimen_id", first_spellings(F.col("names")).alias("_l"))
+    first = names.select("regimen_id", "_l", F.posexplode("_l").alias("_i", "drug_a"))
+    i, n = F.col("_i"), F.size("_l")
+    later = F.slice("_l", i + 2, F.greatest(n - i - 1, F.lit(0)))
     return (
-        checked.where(F.col("reason").isNull())
-        .select("regimen_id", F.posexplode(unordered_pairs(first_spellings(F.col("names")))).alias("_i", "_p"))
-        .select("regimen_id", (F.col("_i") + 1).alias("pair_no"), "_p.drug_a", "_p.drug_b")
+        first.select("regimen_id", "drug_a", (i * (2 * n - i - 1) / 2).cast("int").alias("_before"), F.posexplode(later).alias("_j", "drug_b"))
+        .select("regimen_id", (F.col("_before") + F.col("_j") + 1).alias("pair_no"), "drug_a", "drug_b")
     )
 
 

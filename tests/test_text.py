@@ -204,3 +204,17 @@ def test_regimens(spark):
     assert got[5].reason is None and got[5].names == ["a", "b", "c"]
     assert got[6].reason == "Duplicate drug name(s) in request: A, B, b."
     assert pairs.regimen_pairs(pairs.check_regimens(df)).count() == 3
+
+
+def test_regimens_are_shuffled_once(spark, capsys):
+    rows = [(1, 2, "Ab"), (1, 1, " cd "), (1, 3, "ef"), (2, 1, "x1"), (2, 2, "X1 "), (3, 1, "one"), (4, 1, "ok"), (4, 2, "<b>"), (None, 1, "p"), (None, 2, "q")]
+    rows += [(5, i, f"n{i}") for i in range(2000)]
+    names = spark.createDataFrame(rows, "regimen_id bigint, pos int, name string")
+    checked = pairs.check_regimens(names)
+    got = {r.regimen_id: (r.n_names, r.names, r.reason is None) for r in checked.collect()}
+    assert got == {1: (3, ["cd", "Ab", "ef"], True), 2: (2, None, False), 3: (1, None, False), 4: (2, None, False), 5: (2000, None, False), None: (2, ["p", "q"], True)}
+    out = pairs.regimen_pairs(checked)
+    assert {tuple(r) for r in out.collect()} == {(1, 1, "cd", "Ab"), (1, 2, "cd", "ef"), (1, 3, "Ab", "ef"), (None, 1, "p", "q")}
+    capsys.readouterr()
+    pairs.regimen_pairs(pairs.check_regimens(names)).explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
