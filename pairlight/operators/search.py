@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ def vector_rejects(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.where(~F.coalesce(usable(vector), F.lit(False))).select(key, F.lit("vector missing or not finite").alias("reason"))
 
 
-def _block_top_k(k: int, digits: int):
-    """Top k of one block of chunks for each query of one block of queries."""
+def _block_top_k(k: int, digits: int, strip: int = 32):
+    """Top k of one block of chunks for each query of one block of queries, by distance and then by id."""
 
     def matrix(table: pa.Table, name: str) -> np.ndarray:
         flat = table[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -50,27 +51,27 @@ def _block_top_k(k: int, digits: int):
         if queries.num_rows == 0 or chunks.num_rows == 0:
             return pa.table({"query_id": pa.array([], pa.string()), "chunk_id": pa.array([], pa.string()),
                              "distance": pa.array([], pa.float64())})
+        # In the order of the ids, so that a stable choice settles equal distances.
+        chunks = chunks.take(pc.sort_indices(chunks["chunk_id"]))
         q, c = matrix(queries, "qvec"), matrix(chunks, "cvec")
-        dist = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (q @ c.T)
-        dist = np.round(np.maximum(dist, 0.0), digits) + 0.0
-        # Equal distances at the border of the k best are all kept here; the id decides below.
-        if dist.shape[1] > k:
-            border = np.partition(dist, k - 1, axis=1)[:, k - 1]
-            rows, cols = np.nonzero(dist <= border[:, None])
-        else:
-            rows, cols = (a.ravel() for a in np.indices(dist.shape))
-        best = pa.table({
-            "row": rows,
-            "chunk_id": chunks["chunk_id"].combine_chunks().take(pa.array(cols)),
-            "distance": dist[rows, cols],
-        }).sort_by([("row", "ascending"), ("distance", "ascending"), ("chunk_id", "ascending")])
-        row = best["row"].to_numpy()
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        best = best.filter(pa.array(place < k))
+        square, keep = (c * c).sum(1), min(k, len(c))
+        cols, found = np.empty((len(q), keep), dtype=np.int64), np.empty((len(q), keep))
+        for i in range(0, len(q), strip):  # a few queries at a time, whatever the block
+            part = q[i : i + strip]
+            dist = (part * part).sum(1)[:, None] + square[None, :] - 2.0 * (part @ c.T)
+            dist = np.round(np.maximum(dist, 0.0), digits) + 0.0
+            border = np.partition(dist, keep - 1, axis=1)[:, keep - 1 : keep]
+            # Of the chunks at the border only as many are kept as the nearer ones leave room for.
+            near, equal = dist < border, dist == border
+            room = keep - near.sum(axis=1, keepdims=True)
+            at = np.nonzero(near | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= room)))[1].reshape(-1, keep)
+            near = np.take_along_axis(dist, at, axis=1)
+            order = np.argsort(near, axis=1, kind="stable")
+            cols[i : i + strip], found[i : i + strip] = np.take_along_axis(at, order, axis=1), np.take_along_axis(near, order, axis=1)
         return pa.table({
-            "query_id": queries["query_id"].combine_chunks().take(best["row"].combine_chunks()),
-            "chunk_id": best["chunk_id"],
-            "distance": best["distance"],
+            "query_id": queries["query_id"].combine_chunks().take(pa.array(np.repeat(np.arange(len(q)), keep))),
+            "chunk_id": chunks["chunk_id"].combine_chunks().take(pa.array(cols.ravel())),
+            "distance": found.ravel(),
         })
 
     return search

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +204,16 @@ def test_status_labels_have_a_default(spark):
     df = spark.createDataFrame([(vocab.INSUFFICIENT,), ("odd",), (None,)], "evidence_status string")
     got = [(r.label, r.tone) for r in pairs.with_status_label(df).collect()]
     assert got == [("Insufficient evidence", "neutral"), ("odd", "neutral"), ("Unknown", "neutral")]
+
+
+def test_blocks_of_equal_vectors_stay_small():
+    vectors = lambda n: pa.array([[0.5, 1.0]] * n, pa.list_(pa.float64()))
+    queries = pa.table({"query_id": [f"q{i}" for i in range(300)], "qvec": vectors(300)})
+    chunks = pa.table({"chunk_id": [f"c{i:05d}" for i in np.random.default_rng(1).permutation(6000)], "cvec": vectors(6000)})
+    tracemalloc.start()
+    got = search._block_top_k(3, 6)(queries, chunks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 900 and set(got["chunk_id"].to_pylist()) == {"c00000", "c00001", "c00002"}
+    assert got["chunk_id"].to_pylist()[:3] == ["c00000", "c00001", "c00002"]
+    assert peak < 24 << 20
