@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +27,12 @@ def read_label_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(name.alias("doc"), F.col("value").alias("xml"))
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_TYPES = [pa.string(), pa.bool_(), *[pa.string()] * 5, pa.list_(pa.struct([("code", pa.string()), ("raw", pa.string())]))]
+_ROWS = 64
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fields of each document; a few documents at a time are Python objects, however many a batch holds."""
     tag = lambda name: f"{{{vocab.LABEL_NAMESPACE}}}{name}"
     wanted = {code for code, _ in vocab.SECTIONS.values()}
 
@@ -58,10 +63,12 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             [{"code": c, "raw": r} for c, r in sections],
         )
 
-    names = ["ok", "setid", "spl_version", "title", "effective_time", "manufacturer", "sections"]
+    names = ["doc", "ok", "setid", "spl_version", "title", "effective_time", "manufacturer", "sections"]
     for batch in batches:
-        rows = pd.DataFrame([one(x) for x in batch["xml"]], columns=names, index=batch.index, dtype=object)
-        yield pd.concat([batch[["doc"]], rows], axis=1)
+        for k in range(0, len(batch), _ROWS):
+            part = batch.slice(k, _ROWS)
+            fields = zip(*(one(x) for x in part.column("xml").to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([part.column("doc").to_pylist(), *fields], _TYPES, strict=True)], names=names)
 
 
 def parse_labels(docs: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def parse_labels(docs: DataFrame) -> DataFrame:
     sections, placeholder handling and defaults are column expressions. Per code
     the first occurrence with content wins, else the first.
     """
-    raw = docs.select(F.col("doc").cast("string"), "xml").mapInPandas(_parse, _RAW)
+    raw = docs.select(F.col("doc").cast("string"), "xml").mapInArrow(_parse, _RAW)
     clean = F.transform("sections", lambda s: F.struct(s["code"].alias("code"), tx.squish(s["raw"]).alias("text")))
     target = F.array(*[
         F.struct(F.lit(k).alias("section_key"), F.lit(c).alias("section_code"), F.lit(n).alias("section_name"))

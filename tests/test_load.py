@@ -1,6 +1,7 @@
 import dataclasses
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,3 +290,13 @@ def test_two_new_rows_with_one_key_are_an_error(spark):
     new = spark.createDataFrame([("1", "x"), ("1", "y")], "k string, a string")
     with pytest.raises(Exception, match="more than one new row"):
         upsert.upsert(old, new, ["k"], ["a"]).collect()
+
+
+def test_few_parsed_documents_are_held():
+    good = f'<document xmlns="{vocab.LABEL_NAMESPACE}"><setId root="s"/><title>t</title></document>'
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(200)]), pa.array([good, "<broken", None, good] * 50)], names=["doc", "xml"])
+    made = list(label_xml._parse(iter([batch])))
+    assert max(b.num_rows for b in made) <= 64
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [r["doc"] for r in rows] == [f"d{i}" for i in range(200)]
+    assert [(r["ok"], r["setid"], r["title"], r["sections"]) for r in rows[:3]] == [(True, "s", "t", []), (False, None, None, None), (False, None, None, None)]
