@@ -19,22 +19,22 @@ def index_diff(old: DataFrame, new: DataFrame, delete_unvisited: bool = False) -
     the load does not visit take no part in the comparison: a small load moves
     only its own sections.
     """
-    visited = new.select(*SECTION).distinct()
-    rest = old.join(visited, SECTION, "left_anti").withColumn("status", F.lit("deleted" if delete_unvisited else None).cast("string"))
-    o = old.join(visited, SECTION, "left_semi").withColumn("_o", F.lit(True)).alias("o")
-    n = new.withColumn("_n", F.lit(True)).alias("n")
-    both = o.join(n, F.col("o.chunk_id") == F.col("n.chunk_id"), "full_outer")
+    visited = new.select(*SECTION).distinct().withColumn("_v", F.lit(True))
+    # Both sides are read once: old rows of sections not visited find no partner, since only visited ones have new rows.
+    o = old.join(visited, SECTION, "left").withColumns({"_v": F.coalesce("_v", F.lit(False)), "_o": F.lit(True)}).alias("o")
+    n = new.withColumns({"_v": F.lit(True), "_n": F.lit(True)}).alias("n")
+    both = o.join(n, (F.col("o.chunk_id") == F.col("n.chunk_id")) & (F.col("o._v") == F.col("n._v")), "full_outer")
     is_new, is_old = F.col("n._n").isNotNull(), F.col("o._o").isNotNull()
     take_new = is_new & (~is_old | ~F.col("o.text").eqNullSafe(F.col("n.text")))
-    merged = both.select(
+    return both.select(
         *[
             (F.when(take_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in new.columns
              else F.when(~take_new, F.col(f"o.{c}"))).alias(c)
             for c in old.columns
         ],
-        F.when(is_new & ~is_old, "added").when(take_new, "updated").when(is_new, "unchanged").otherwise("deleted").alias("status"),
+        F.when(is_new & ~is_old, "added").when(take_new, "updated").when(is_new, "unchanged").when(F.col("o._v"), "deleted")
+        .otherwise(F.lit("deleted" if delete_unvisited else None).cast("string")).alias("status"),
     )
-    return merged.unionByName(rest.select(*merged.columns))
 
 
 def embed_changes(diff: DataFrame, embedder, text: str = "text") -> DataFrame:

@@ -300,3 +300,17 @@ def test_few_parsed_documents_are_held():
     rows = [r for b in made for r in b.to_pylist()]
     assert [r["doc"] for r in rows] == [f"d{i}" for i in range(200)]
     assert [(r["ok"], r["setid"], r["title"], r["sections"]) for r in rows[:3]] == [(True, "s", "t", []), (False, None, None, None), (False, None, None, None)]
+
+
+def test_index_diff_reads_the_old_index_once(spark, tmp_path, capsys):
+    schema = "chunk_id string, link_id bigint, db_record_id bigint, text string"
+    old = [("a", 1, 1, "x"), ("b", 1, 1, "y"), ("c", 2, 1, "z"), ("d", None, 1, "n"), ("e", 3, 1, "moved")]
+    new = [("a", 1, 1, "x"), ("f", 1, 1, "w"), ("e", 4, 1, "moved"), (None, 1, 1, "v")]
+    for name, rows in (("old", old), ("new", new)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}")
+    diff = index.index_diff(*(spark.read.parquet(f"{tmp_path}/{n}") for n in ("old", "new")))
+    assert sorted((tuple(r) for r in diff.select("chunk_id", "link_id", "status").collect()), key=str) == sorted([
+        ("a", 1, "unchanged"), ("b", 1, "deleted"), ("c", 2, None), ("d", None, None), ("e", 3, None), ("e", 4, "added"), ("f", 1, "added"), (None, 1, "added")], key=str)
+    capsys.readouterr()
+    diff.explain()
+    assert capsys.readouterr().out.count(f"{tmp_path}/old") == 1
