@@ -11,23 +11,29 @@ from pairlight.functions import text as tx
 from pairlight.session import cut
 
 
+_LONGEST = 4
+
+
 def _pieces(text: Column) -> Column:
-    """All substrings of one to three characters, and the empty one."""
-    return F.array_distinct(F.concat(F.array(F.lit("")), tx.grams(text, 1), tx.grams(text, 2), tx.grams(text, 3)))
+    """All substrings of one to four characters, and the empty one."""
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[tx.grams(text, n) for n in range(1, _LONGEST + 1)]))
 
 
 def _query_pieces(query: Column) -> Column:
     """Substrings any match of a LIKE pattern must hold: those of its literal runs, of the longest size."""
     runs = F.filter(F.split(query, "[%_]"), lambda r: r != "")
-    three = F.flatten(F.transform(runs, lambda r: tx.grams(r, 3)))
-    two = F.flatten(F.transform(runs, lambda r: tx.grams(r, 2)))
-    one = F.flatten(F.transform(runs, lambda r: tx.grams(r, 1)))
-    return (
-        F.when(F.size(three) > 0, F.array_distinct(three))
-        .when(F.size(two) > 0, F.array_distinct(two))
-        .when(F.size(one) > 0, F.array_distinct(one))
-        .otherwise(F.array(F.lit("")))
-    )
+    found = F.array(F.lit(""))
+    for n in range(1, _LONGEST + 1):
+        of = F.flatten(F.transform(runs, lambda r: tx.grams(r, n)))  # noqa: B023
+        found = F.when(F.size(of) > 0, F.array_distinct(of)).otherwise(found)
+    return found
+
+
+def _pattern(query: Column) -> Column:
+    """The LIKE pattern of a query; a run of wildcards becomes its _ and at most one %, which no text makes a matcher try over and over."""
+    every = F.concat(F.lit("%"), F.replace(query, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    runs = F.regexp_extract_all(every, F.lit("([%_]+|[^%_]+)"))
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[%_]*%"), F.concat(F.replace(r, F.lit("%"), F.lit("")), F.lit("%"))).otherwise(r)), "")
 
 
 def search_terms(drugs: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -45,26 +51,26 @@ def search_names(queries: DataFrame, terms: DataFrame, query: str = "query") ->
     The query is stripped and matched in lower case; % and _ in it work as
     wildcards. The rarest of the substrings that every match must hold is the
     join key, so frequent substrings do not decide the size of the join; the
-    pattern itself settles each candidate. Queries that are shorter than three
-    characters, or wildcards only, use shorter keys, so nothing is missed.
+    pattern itself settles each candidate. Queries that are shorter than four
+    characters, or wildcards only, use shorter keys, so nothing is missed. Of the
+    terms' substrings only those that some query must hold are shuffled.
     """
     asked = (
         queries.select(F.col(query).alias("_raw")).distinct()
         .withColumn("_q", tx.fold(F.col("_raw")))
     )
     distinct_terms = terms.select(F.lower("term").alias("_t")).distinct()
-    pieces = distinct_terms.select("_t", F.explode(_pieces(F.col("_t"))).alias("_g"))
+    wanted = asked.select("_raw", "_q", F.explode(_query_pieces(F.col("_q"))).alias("_g"))
+    pieces = distinct_terms.select("_t", F.explode(_pieces(F.col("_t"))).alias("_g")).join(wanted.select("_g").distinct(), "_g", "left_semi")
     common = pieces.groupBy("_g").agg(F.count("*").alias("_n"))
     rarest = (
-        asked.select("_raw", "_q", F.explode(_query_pieces(F.col("_q"))).alias("_g"))
-        .join(common, "_g", "left")
+        wanted.join(common, "_g", "left")
         .groupBy("_raw", "_q")
         .agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
+        .select("_raw", "_g", _pattern(F.col("_q")).alias("_p"))
     )
-    pattern = F.concat(F.lit("%"), F.replace(F.col("_q"), F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     hits = (
         rarest.join(pieces, "_g")
-        .withColumn("_p", pattern)
         .where(F.expr("_t like _p"))
         .select("_raw", "_t")
     )

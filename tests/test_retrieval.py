@@ -217,3 +217,13 @@ def test_blocks_of_equal_vectors_stay_small():
     assert got.num_rows == 900 and set(got["chunk_id"].to_pylist()) == {"c00000", "c00001", "c00002"}
     assert got["chunk_id"].to_pylist()[:3] == ["c00000", "c00001", "c00002"]
     assert peak < 24 << 20
+
+
+def test_runs_of_wildcards_settle_at_once(spark):
+    texts = ["a" * 70, "a" * 70 + "q", "b" * 11 + "q", "b" * 12 + "q", "back\\slash_q%", None]
+    terms = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "drug_id bigint, kind int, term string")
+    asked = ["_%" * 12 + "q", "%_%", "k\\S", "a%a%%_q", "", "_%%_", "aaaaaq"]
+    got = {(r.query, r.drug_id) for r in resolve.search_names(spark.createDataFrame([(a,) for a in asked], "query string"), terms).collect()}
+    every = {0, 1, 2, 3, 4}
+    want = {asked[0]: {1, 3}, "%_%": every, "k\\S": {4}, "a%a%%_q": {1}, "": every, "_%%_": every, "aaaaaq": {1}}
+    assert got == {(q, d) for q, ds in want.items() for d in ds}
