@@ -6,8 +6,9 @@ row. Sorted from rare to common n-grams, two rows that link share one of the
 first n - ceil(0.9 n) + 1 of each, so the product starts from these columns
 alone, as postings (column, row, size, place). A pair that meets in a column is
 dropped at once if sizes and places leave room for too small an overlap only, and
-then if the sizes of its rows in each of 64 blocks of columns do: the smaller one
-of both, summed up over the blocks, is never below the overlap.
+then if its rows differ too often in which blocks of columns hold an odd number of
+their members: each such block has a member that only one of them has. The number
+of blocks follows the size of a set, so that long texts are told apart as well.
 
 Two products of blocks follow. First, each column and size band has a hub, its
 smallest row, and every row meets the hubs of its own band and the next one.
@@ -32,7 +33,7 @@ from pairlight.llm.chunks import short_batches
 from pairlight.llm.graph import components
 from pairlight.session import cut
 
-WORDS, PERCENT, BITS, TILE, BLOCKS = 3, 90, 18, 512, 64
+WORDS, PERCENT, BITS, TILE = 3, 90, 18, 512
 _WORD_LIMIT = 1 << 18
 
 
@@ -97,56 +98,86 @@ def commonness(rows: DataFrame, words: int, bits: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, n, digest, firsts, sizes, fine): size and digest of each text's set, its rarest members in order, its sizes per block and per finer block."""
+    """(doc_id, key, n, digest, firsts, odd, fine): size and digest of each text's set, its rarest members in order, its odd ones among few blocks and among more."""
     known, shift = _Hashes(), np.uint64(64 - int(len(common)).bit_length() + 1)
     for batch in short_batches(batches):
-        sizes, digests, firsts, blocks, fine = [], [], [], [], []
+        sizes, digests, firsts, odd, fine = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             has = shingle_set(text, words, known)
             order = np.lexsort((has, common[(has >> shift).astype(np.int64)]))[: first_places(len(has), percent)]
             sizes.append(len(has))
             digests.append(xxhash.xxh128_digest(has.tobytes()))
             firsts.append(has[order].view(np.int64))
-            blocks.append(block_sizes(has, BLOCKS))
-            fine.append(block_sizes(has, fine_blocks(len(has))))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(blocks, pa.binary()),
-                                          pa.array(fine, pa.binary())], names=["doc_id", "key", "n", "digest", "firsts", "sizes", "fine"])
+            odd.append(odd_blocks(has, few_blocks(len(has))))
+            fine.append(odd_blocks(has, fine_blocks(len(has))))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(odd, pa.binary()),
+                                          pa.array(fine, pa.binary())], names=["doc_id", "key", "n", "digest", "firsts", "odd", "fine"])
 
 
 def fine_blocks(n: int) -> int:
-    """Blocks of columns, a power of two, that hold about 8 members of a set of size n."""
-    return max(BLOCKS, 1 << max(0, (n // 8).bit_length() - 1))
+    """Blocks of columns, a power of two from 64 on: more than a set of size n has members, twice as many at most."""
+    return 1 << max(6, int(n).bit_length())
 
 
-def block_sizes(has: np.ndarray, blocks: int) -> bytes:
-    """Members of a set in each block of columns, as 16-bit numbers that stop at their largest."""
-    return np.minimum(np.bincount((has % np.uint64(blocks)).astype(np.int64), minlength=blocks), 65535).astype("<u2").tobytes()
+def few_blocks(n: int) -> int:
+    """Half as many, for sizes from 4096 on a quarter, as each of a set's rarest members brings them along."""
+    bits = int(n).bit_length()
+    return 1 << max(6, min(bits - 1, max(11, bits - 2)))
 
 
-def folded(sizes: np.ndarray, blocks: int) -> np.ndarray:
-    """Sizes in fewer blocks, of which each takes in those with its number modulo `blocks`."""
-    return np.minimum(sizes.reshape(-1, blocks).sum(axis=0, dtype=np.int64), 65535)
+def odd_blocks(has: np.ndarray, blocks: int) -> bytes:
+    """A bit for each block of columns, set if it holds an odd number of a set's members."""
+    held = np.bincount((has % np.uint64(blocks)).astype(np.int64), minlength=blocks)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def most_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Upper bounds of the overlaps of sets with these sizes per block, row by row."""
-    least = np.minimum(a, b).astype(np.int64)
-    return np.where(least.max(axis=-1, initial=0) == 65535, np.iinfo(np.int64).max, least.sum(axis=-1))
+def folded(odd: np.ndarray, words: int) -> np.ndarray:
+    """The odd ones (rows of 64-bit words) of fewer blocks, of which each takes in those with its number modulo their number."""
+    return np.bitwise_xor.reduce(odd.reshape(len(odd), -1, words), axis=1)
 
 
-def _sizes_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, BLOCKS)
+def least_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Members that one of two sets has alone, at least, from their odd blocks, row by row."""
+    words = min(a.shape[1], b.shape[1])
+    return np.bitwise_count(folded(a, words) ^ folded(b, words)).sum(axis=1, dtype=np.int64)
+
+
+def most_apart(a, b, percent: int = PERCENT):
+    """Members that one of two linked sets of sizes a and b has alone, at most."""
+    return a + b - 2 * least_overlap(a, b, percent)
+
+
+class _Odd:
+    """The odd blocks of many sets, in a matrix per number of blocks."""
+
+    def __init__(self, odd: list[bytes]):
+        self.words = np.fromiter(map(len, odd), dtype=np.int64, count=len(odd)) // 8
+        self.place, self.of = np.zeros(len(odd), dtype=np.int64), {}
+        for w in np.unique(self.words).tolist():
+            some = np.flatnonzero(self.words == w)
+            self.place[some] = np.arange(len(some))
+            self.of[w] = np.frombuffer(b"".join(odd[k] for k in some.tolist()), dtype="<u8").reshape(-1, w)
+
+    def least_apart(self, i: np.ndarray, other: _Odd, j: np.ndarray) -> np.ndarray:
+        """least_apart of the sets i and the sets j of `other`, pair by pair."""
+        least = np.zeros(len(i), dtype=np.int64)
+        kind = self.words[i] << 32 | other.words[j]
+        for k in np.unique(kind).tolist():
+            some = np.flatnonzero(kind == k)
+            a, b = self.of[k >> 32], other.of[k & (1 << 32) - 1]
+            for at in range(0, len(some), 4096):  # a stretch of pairs is copied at once
+                part = some[at : at + 4096]
+                least[part] = least_apart(a[self.place[i[part]]], b[other.place[j[part]]])
+        return least
 
 
 def _roomy(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (hub, node) whose sizes per fine block leave room for a link."""
-    for batch in batches:
-        fits = []
-        for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "fine", "others")), strict=True):
-            x, y = np.frombuffer(a, dtype="<u2"), np.frombuffer(b, dtype="<u2")
-            blocks = min(len(x), len(y))
-            fits.append(bool(most_overlap(folded(x, blocks), folded(y, blocks)) >= least_overlap(n, m, percent)))
-        yield batch.select(["hub", "node"]).filter(pa.array(fits, pa.bool_()))
+    """The pairs (hub, node) whose odd blocks, the finer ones, leave room for a link."""
+    for batch in short_batches(batches, 1 << 12):
+        n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+        one, other = (_Odd(batch.column(c).to_pylist()) for c in ("fine", "others"))
+        at = np.arange(len(batch))
+        yield batch.select(["hub", "node"]).filter(pa.array(one.least_apart(at, other, at) <= most_apart(n, m, percent)))
 
 
 def _possible(a: Column, b: Column, i: Column, j: Column, percent: int) -> Column:
@@ -201,7 +232,9 @@ def _marked(id: Column, wanted: DataFrame) -> Column:
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20))
     bits = np.zeros(1 << 20, dtype=bool)
     bits[wanted.select(place(F.col(wanted.columns[0])).alias("at")).distinct().toArrow().column("at").to_numpy()] = True
-    byte = F.conv(F.hex(F.substr(F.lit(bytearray(np.packbits(bits, bitorder="little").tobytes())), F.shiftright(place(id), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    # as a table of one row: a constant would stand in the text of every plan, and the driver keeps those
+    packed = wanted.sparkSession.createDataFrame([(bytearray(np.packbits(bits, bitorder="little").tobytes()),)], "bits binary").scalar()
+    byte = F.conv(F.hex(F.substr(packed, F.shiftright(place(id), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.getbit(byte.cast("bigint"), place(id).bitwiseAND(F.lit(7)).cast("int")) == 1
 
 
@@ -235,11 +268,12 @@ def _multiplied(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: in
 
 
 def _apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (hub, node) of rows of different components that can link, for batches (g, node, n, pos, root, sizes) sorted by g."""
-    def pairs(g: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs (hub, node) of rows of different components that can link, for batches (g, node, n, pos, root, odd) sorted by g."""
+    def pairs(g: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
         """All groups at once: each row with the d-th row after it, as long as some group has one whose size can do."""
         order = np.lexsort((n, g))
-        g, node, n, pos, root, sizes = (x[order] for x in (g, node, n, pos, root, sizes))
+        g, node, n, pos, root, odd = (x[order] for x in (g, node, n, pos, root, odd))
+        blocks = _Odd(odd.tolist())
         last = n * 100 // percent  # larger ones cannot link
         at, d = np.arange(len(g)), 0
         while len(at):
@@ -251,7 +285,7 @@ def _apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             need = least_overlap(n[at], n[to], percent)
             can = (root[at] != root[to]) & (np.minimum(pos[at], pos[to]) + np.minimum(n[at] - pos[at], n[to] - pos[to]) >= need)
             i, j = at[can], to[can]
-            fits = most_overlap(sizes[i], sizes[j]) >= need[can]
+            fits = blocks.least_apart(i, blocks, j) <= n[i] + n[j] - 2 * need[can]
             if fits.any():
                 i, j = i[fits], j[fits]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["hub", "node"])
@@ -259,7 +293,7 @@ def _apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
     for batch in batches:
-        held.append((*(batch.column(c).to_numpy() for c in ("g", "node", "n", "pos", "root")), _sizes_of(batch.column("sizes"))))
+        held.append((*(batch.column(c).to_numpy() for c in ("g", "node", "n", "pos", "root")), batch.column("odd").to_numpy(zero_copy_only=False)))
         rows += len(batch)
         if rows < 1 << 15:
             continue
@@ -285,8 +319,8 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))  # the key finds a text again
     common = commonness(rows.select("text"), words, bits)
-    marked = cut(rows.mapInArrow(lambda b: _signed(b, words, percent, common), "doc_id bigint, key bigint, n bigint, digest binary, firsts array<bigint>, sizes binary, fine binary"))
-    classes = cut(marked.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("sizes").alias("sizes"), F.first("fine").alias("fine"))
+    marked = cut(rows.mapInArrow(lambda b: _signed(b, words, percent, common), "doc_id bigint, key bigint, n bigint, digest binary, firsts array<bigint>, odd binary, fine binary"))
+    classes = cut(marked.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("odd").alias("odd"), F.first("fine").alias("fine"))
                   .withColumn("node", F.monotonically_increasing_id()))
     postings = classes.select("node", "n", F.posexplode("firsts").alias("pos", "col")).withColumn("pos", F.col("pos") + 1)
     several = postings.groupBy("col").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
@@ -298,7 +332,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     profile = classes.select("node", "n", "fine")
 
     def roomy(pairs: DataFrame) -> DataFrame:
-        """Pairs (hub, node) that pass the bound of the fine blocks."""
+        """Pairs (hub, node) that pass the bound of the finer blocks."""
         sized = pairs.join(profile, "node").join(profile.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("fine").alias("others")), "hub")
         return cut(sized.select("hub", "node", "n", "m", "fine", "others").mapInArrow(lambda b: _roomy(b, percent), "hub bigint, node bigint"))
 
@@ -311,7 +345,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     # a part meets itself in every tile that it shares with another part
     tiles = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.filter(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j)), lambda x: x % (parts + 1) != 0))
     tiled = (placed.join(mixed, "col").select(F.explode(tiles).alias("tile"), "col", "node", "n", "pos", "root")
-             .select(F.xxhash64("col", "tile").alias("g"), "node", "n", "pos", "root").join(classes.select("node", "sizes"), "node"))
+             .select(F.xxhash64("col", "tile").alias("g"), "node", "n", "pos", "root").join(classes.select("node", "odd"), "node"))
     rest = roomy(tiled.repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: _apart(b, percent), "hub bigint, node bigint").distinct().join(stars, ["hub", "node"], "left_anti"))
     links = links.unionByName(_multiplied(rest, classes, rows, words, percent, tile))
     found = components(links)

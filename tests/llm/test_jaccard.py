@@ -94,3 +94,19 @@ def test_rows_without_id_link(spark):
     rows = [(2, text(50)), (None, text(54)), (None, text(54)), (1, text(58)), (5, text(64)), (None, "quite another text"), (None, "quite another text indeed")]
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {(2, 48, 1), (None, 52, 1), (1, 56, 1), (5, 62, 1), (None, 2, None), (None, 1, None)}
+
+
+def test_odd_blocks_never_drop_a_link_and_tell_long_sets_apart():
+    rnd = np.random.default_rng(5)
+    draw = lambda n: np.unique(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+    for n in (0, 1, 3, 20, 100, 700, 3000, 5000, 20_000):
+        a = draw(n)
+        sets = [np.concatenate([a[k:], draw(m)]) for k, m in ((0, 0), (n // 30, n // 30), (0, n // 9), (n // 10, 0), (n // 2, n // 2), (n, n))]
+        for blocks in (jaccard.few_blocks, jaccard.fine_blocks):
+            odd = jaccard._Odd([jaccard.odd_blocks(x, blocks(len(x))) for x in sets])
+            i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+            least = odd.least_apart(i, odd, j)
+            for x, y, d in zip(i, j, least):
+                assert d <= len(np.setxor1d(sets[x], sets[y]))
+            if n >= 100:  # sets of other members, and of half their members, leave no room for a link, however long
+                assert min(least[i == 0][4:]) > jaccard.most_apart(n, n)
