@@ -115,14 +115,14 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int, common:
 
 
 def fine_blocks(n: int) -> int:
-    """Blocks of columns, a power of two from 64 on: more than a set of size n has members, twice as many at most."""
-    return 1 << max(6, int(n).bit_length())
+    """Blocks of columns, a power of two from 512 on: more than a set of size n has members."""
+    return 1 << max(9, int(n).bit_length())
 
 
 def few_blocks(n: int) -> int:
-    """Half as many, for sizes from 4096 on a quarter, as each of a set's rarest members brings them along."""
+    """Half as many, 256 at least, for sizes from 4096 on a quarter, as each of a set's rarest members brings them along."""
     bits = int(n).bit_length()
-    return 1 << max(6, min(bits - 1, max(11, bits - 2)))
+    return 1 << max(8, min(bits - 1, max(11, bits - 2)))
 
 
 def odd_blocks(has: np.ndarray, blocks: int) -> bytes:
