@@ -52,8 +52,9 @@ def chunk_store(spark, sf):
     store.delete(rows.where("section_key = 'contraindications'"))
     store.compact(list(range(0, store.buckets, 2)))
     out = lambda df, how: df.select(F.lit(how).alias("read_by"), "chunk_id", "rxcui", F.md5("text").alias("text_hash"))
-    boxed = F.col("section_key") == "boxed_warning"
-    return out(store.by_values(ASKED), "ids").unionByName(out(store.read().where(boxed), "filter")).unionByName(out(store.read(first).where(boxed), "first version"))
+    boxed, needed = F.col("section_key") == "boxed_warning", ["chunk_id", "rxcui", "text"]
+    return (out(store.by_values(ASKED, columns=needed), "ids").unionByName(out(store.read(where=boxed, columns=needed), "filter"))
+            .unionByName(out(store.read(first, where=boxed, columns=needed), "first version")))
 
 
 @query(f"""WITH {LOADED},

@@ -120,10 +120,12 @@ class BucketTable:
         """Buckets of a table of `by` values: at most as many numbers as there are buckets."""
         return sorted(r[0] for r in keys.select(self.bucket_of(F.col(self.by))).distinct().collect())
 
-    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    def read(self, version: int | None = None, buckets: list[int] | None = None, where: Column | None = None, columns: list[str] | None = None) -> DataFrame:
         """Rows of a version, of some buckets or of all. Only file sets of those buckets are opened.
 
         A bucket of one base set is read as it is. Others are merged: of each id the row of the latest set counts.
+        With `where` and `columns`, those rows of the version and columns only. A row that `where` leaves out takes part
+        in the merge by its id alone, as its older forms must not count, so little more than what is asked for is moved.
         """
         sets = [s for s in self.manifest(version) if buckets is None or s["bucket"] in set(buckets)]
         layers: dict[int, set[str]] = {}
@@ -132,16 +134,17 @@ class BucketTable:
         plain = [s for s in sets if layers[s["bucket"]] == {"base"}]
         merged = [s for s in sets if layers[s["bucket"]] != {"base"}]
         empty = self.spark.createDataFrame([], self.schema)
-        columns = empty.columns
-        out = self._open(plain) if plain else empty
+        columns = columns or empty.columns
+        asked = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        out = (self._open(plain) if plain else empty).where(asked).select(*columns)
         if merged:
             kinds = sorted({(s["seq"], s["kind"]) for s in merged})
             layered = None
             for seq, kind in kinds:
                 part = self._open([s for s in merged if (s["seq"], s["kind"]) == (seq, kind)]).select(
-                    F.struct(F.lit(seq).alias("seq"), F.lit(kind != "gone").alias("here")).alias("_at"), *columns)
+                    F.col(self.id).alias("_id"), F.lit(seq).alias("_at"), F.when(F.lit(kind != "gone") & asked, F.struct(*columns)).alias("_r"))
                 layered = part if layered is None else layered.unionByName(part)
-            latest = layered.groupBy(self.id).agg(F.max_by(F.struct("_at", *columns), "_at").alias("_r")).where("_r._at.here")
+            latest = layered.groupBy("_id").agg(F.max_by("_r", "_at").alias("_r")).where("_r is not null")
             newest = latest.select(*[F.col(f"_r.{c}").alias(c) for c in columns])
             out = newest if not plain else out.unionByName(newest)
         return out
@@ -149,11 +152,11 @@ class BucketTable:
     def _open(self, sets: list[dict]) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.folder}/{s['folder']}" for s in sets])
 
-    def by_values(self, values: list, version: int | None = None) -> DataFrame:
+    def by_values(self, values: list, version: int | None = None, columns: list[str] | None = None) -> DataFrame:
         """Rows with one of the given `by` values, from their buckets alone."""
         kind = next(f.dataType for f in self.spark.createDataFrame([], self.schema).schema if f.name == self.by)
         keys = self.spark.createDataFrame([(v,) for v in values], f"{self.by} {kind.simpleString()}")
-        return self.read(version, self.touched(keys)).where(F.col(self.by).isin(values))
+        return self.read(version, self.touched(keys), F.col(self.by).isin(values), columns)
 
     def describe(self, version: int | None = None) -> str:
         """The manifest as JSON lines, for people."""

@@ -66,6 +66,22 @@ def test_only_wanted_buckets_are_opened(spark, table):
     assert len(wanted) == 1 and files and all(f"_bucket={wanted[0]}/" in f for f in files)
 
 
+def test_filtered_reads_of_some_columns(spark, table):
+    """Rows that a filter leaves out are merged by their id; their older forms, which it would take, do not come back."""
+    table.put(rows(spark, {(f"i{k}", f"r{k % 7}"): "old" for k in range(30)}))
+    table.compact([0, 1])
+    table.put(rows(spark, {(f"i{k}", f"r{k % 7}"): "new" for k in range(5, 15)} | {("i40", "r1"): None}))
+    table.delete(rows(spark, {("i1", "r1"): None}))
+    for text in ("old", "new"):
+        found = table.read(where=F.col("text") == text, columns=["id", "rxcui"])
+        assert found.columns == ["id", "rxcui"]
+        assert sorted(map(tuple, found.collect())) == sorted((r.id, r.rxcui) for r in table.read().collect() if r.text == text)
+    assert sorted(r.id for r in table.by_values(["r1"], columns=["id"]).collect()) == sorted(r.id for r in table.read().collect() if r.rxcui == "r1")
+    assert table.read(0, where=F.col("text") == "old", columns=["id"]).count() == 30
+    plan = table.read(where=F.col("text") == "old", columns=["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "v:array" not in plan
+
+
 def test_rewrite_leaves_other_files_alone(spark, table):
     table.put(rows(spark, {(f"i{k}", f"r{k}"): "t" for k in range(30)}))
     before = {s["bucket"]: s["folder"] for s in table.manifest()}
