@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -52,14 +53,15 @@ class Sources:
     concepts:  rxcui, concept_name
     related:   rxcui, term_type, brand_names, generic_name, synonyms (one row per rxcui)
     found:     rxcui, rank, setid, spl_version, title, published_date (ranked label candidates)
-    documents: output of sources.label_xml.parse_labels, doc being the candidate's setid
+    documents: output of sources.label_xml.parse_labels, doc being the candidate's setid; or a function that gives it for
+               a table of wanted docs, so that only what a load looks at is parsed
     errors:    name, error (names whose lookup broke; None: no lookup did)
     """
 
     concepts: DataFrame
     related: DataFrame
     found: DataFrame
-    documents: DataFrame
+    documents: DataFrame | Callable[[DataFrame], DataFrame]
     errors: DataFrame | None = None
 
 
@@ -136,8 +138,10 @@ def prepare(names: DataFrame, sources: Sources, as_of: Column) -> Incoming:
     synonyms = drugs.select("drug_id", F.posexplode(kinds).alias("ord", "k")).groupBy("drug_id", "k.synonym", "k.synonym_type").agg(
         (F.min("ord") + 1).alias("ord"))
     found = sources.found.join(drugs.select("rxcui"), "rxcui", "left_semi")
-    documents = cut(sources.documents.join(
-        found.where(F.col("rank") <= vocab.CANDIDATES_CHECKED).select(F.col("setid").alias("doc")).distinct(), "doc", "left_semi"))
+    # written first: a table of known size, so few wanted documents do not move all texts
+    wanted = cut(found.where(F.col("rank") <= vocab.CANDIDATES_CHECKED).select(F.col("setid").alias("doc")).distinct())
+    read = sources.documents
+    documents = cut(read(wanted) if callable(read) else read.join(wanted, "doc", "left_semi"))
     chosen = cut(choose_labels(found, documents))
     usable = chosen.where(F.col("evidence_status") != "error").select(
         "rxcui", tables.natural_id("rxcui").alias("drug_id"), F.col("setid").alias("doc"),

@@ -604,7 +604,7 @@ def link_sync(spark, sf):
 # Load ------------------------------------------------------------------------------------------
 
 def load_sources(spark, sf):
-    """What a load reads: related names, each source's whole list of documents as candidates, and all label documents in XML."""
+    """What a load reads: related names, each source's whole list of documents as candidates, and label documents in XML, those that it asks for."""
     from pairlight.plans import ingest as plan
     from pairlight.sources import label_xml as lx
 
@@ -617,7 +617,7 @@ def load_sources(spark, sf):
     found = table(spark, sf, "documents").select("source", "doc_id", "n_chars", place.alias("rank")).select(
         (roles.drug_number(F.col("source")) + 1000).cast("string").alias("rxcui"), "rank", F.col("doc_id").cast("string").alias("setid"),
         F.col("n_chars").cast("string").alias("spl_version"), F.lit("candidate").alias("title"), F.lit(None).cast("string").alias("published_date"))
-    documents = lx.parse_labels(label_xml(spark, sf).withColumn("doc", F.col("doc").cast("string")))
+    documents = lambda wanted: lx.parse_labels(label_xml(spark, sf).withColumn("doc", F.col("doc").cast("string")).join(wanted, "doc", "left_semi"))
     errors = drugs.where("drug_id % 7 = 3").select(F.col("input_name").alias("name"), F.lit("timeout").alias("error"))
     return plan.Sources(drugs.select("rxcui", F.col("normalized_name").alias("concept_name")), related, found, documents, errors)
 
