@@ -10,9 +10,10 @@ then if its rows differ too often in which blocks of columns hold an odd number
 their members: each such block has a member that only one of them has. The number
 of blocks follows the size of a set, so that long texts are told apart as well.
 
-Two products of blocks follow. First, each column and size band has a hub, its
-smallest row, and every row meets the hubs of its own band and the next one.
-That joins families of copies by stars. Second, only columns whose rows are
+Two products of blocks follow. First, each column and size band has a hub, and
+every row meets the hubs of its own band and the next one. The hub is the first
+row in one of HUBS orders, so that a family has several and a bad one is made up
+for. That joins families of copies by stars. Second, only columns whose rows are
 still in several components are looked at, and only pairs of different
 components that pass the bounds are multiplied. Rows of one component need no
 further link, so pairs within a family are never made. Both times rows are dealt
@@ -33,7 +34,7 @@ from pairlight.llm.chunks import short_batches
 from pairlight.llm.graph import components
 from pairlight.session import cut
 
-WORDS, PERCENT, BITS, TILE = 3, 90, 18, 512
+WORDS, PERCENT, BITS, TILE, HUBS = 3, 90, 18, 512, 8
 _WORD_LIMIT = 1 << 18
 
 
@@ -268,11 +269,14 @@ def _multiplied(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: in
 
 
 def _apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (hub, node) of rows of different components that can link, for batches (g, node, n, pos, root, odd) sorted by g."""
-    def pairs(g: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs (hub, node) of rows of different components that can link, for batches (g, node, n, pos, root, before, odd) sorted by g.
+
+    Rows with one column before this one met there as well: the bounds of linked pairs hold in all their columns.
+    """
+    def pairs(g: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, before: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
         """All groups at once: each row with the d-th row after it, as long as some group has one whose size can do."""
         order = np.lexsort((n, g))
-        g, node, n, pos, root, odd = (x[order] for x in (g, node, n, pos, root, odd))
+        g, node, n, pos, root, before, odd = (x[order] for x in (g, node, n, pos, root, before, odd))
         blocks = _Odd(odd.tolist())
         last = n * 100 // percent  # larger ones cannot link
         at, d = np.arange(len(g)), 0
@@ -283,7 +287,8 @@ def _apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             near = (g[to] == g[at]) & (n[to] <= last[at])
             at, to = at[near], to[near]
             need = least_overlap(n[at], n[to], percent)
-            can = (root[at] != root[to]) & (np.minimum(pos[at], pos[to]) + np.minimum(n[at] - pos[at], n[to] - pos[to]) >= need)
+            met = (before[at] == before[to]) & (pos[at] > 1) & (pos[to] > 1)
+            can = (root[at] != root[to]) & ~met & (np.minimum(pos[at], pos[to]) + np.minimum(n[at] - pos[at], n[to] - pos[to]) >= need)
             i, j = at[can], to[can]
             fits = blocks.least_apart(i, blocks, j) <= n[i] + n[j] - 2 * need[can]
             if fits.any():
@@ -293,7 +298,7 @@ def _apart(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
     for batch in batches:
-        held.append((*(batch.column(c).to_numpy() for c in ("g", "node", "n", "pos", "root")), batch.column("odd").to_numpy(zero_copy_only=False)))
+        held.append((*(batch.column(c).to_numpy() for c in ("g", "node", "n", "pos", "root", "before")), batch.column("odd").to_numpy(zero_copy_only=False)))
         rows += len(batch)
         if rows < 1 << 15:
             continue
@@ -322,11 +327,12 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     marked = cut(rows.mapInArrow(lambda b: _signed(b, words, percent, common), "doc_id bigint, key bigint, n bigint, digest binary, firsts array<bigint>, odd binary, fine binary"))
     classes = cut(marked.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min("doc_id"), F.min("key")).alias("key"), F.first("n").alias("n"), F.first("firsts").alias("firsts"), F.first("odd").alias("odd"), F.first("fine").alias("fine"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    postings = classes.select("node", "n", F.posexplode("firsts").alias("pos", "col")).withColumn("pos", F.col("pos") + 1)
+    postings = classes.select("node", "n", "firsts", F.posexplode("firsts").alias("pos", "col")).select("node", "n", (F.col("pos") + 1).alias("pos"), "col", F.coalesce(F.get("firsts", F.col("pos") - 1), F.lit(0)).alias("before"))
     several = postings.groupBy("col").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     shared = cut(postings.join(several, "col").withColumn("band", band))
-    hubs = shared.groupBy("col", "band").agg(F.min(F.struct("n", "node", "pos")).alias("hub"))
+    turn = F.struct(F.xxhash64("node", F.pmod("col", F.lit(HUBS))), "node")
+    hubs = shared.groupBy("col", "band").agg(F.min_by(F.struct("n", "node", "pos"), turn).alias("hub"))
     both = shared.select("col", "node", "n", "pos", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
     met = both.join(hubs, ["col", "band"]).where(F.col("node") != F.col("hub.node")).where(_possible(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos"), percent))
     profile = classes.select("node", "n", "fine")
@@ -336,16 +342,16 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         sized = pairs.join(profile, "node").join(profile.select(F.col("node").alias("hub"), F.col("n").alias("m"), F.col("fine").alias("others")), "hub")
         return cut(sized.select("hub", "node", "n", "m", "fine", "others").mapInArrow(lambda b: _roomy(b, percent), "hub bigint, node bigint"))
 
-    stars = roomy(met.select(F.col("hub.node").alias("hub"), "node").distinct())
+    stars = roomy(met.select(F.least("hub.node", "node").alias("hub"), F.greatest("hub.node", "node").alias("node")).distinct())
     links = _multiplied(stars, classes, rows, words, percent, tile)
     joined = components(links)
-    placed = shared.select("col", "node", "n", "pos").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.select("col", "node", "n", "pos", "before").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("col").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("f")).where("low < high").select("col", F.ceil(F.col("f") / tile).cast("int").alias("parts"))
     own, parts = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.col("parts")
     # a part meets itself in every tile that it shares with another part
     tiles = F.when(parts == 1, F.array(F.lit(0))).otherwise(F.filter(F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j)), lambda x: x % (parts + 1) != 0))
-    tiled = (placed.join(mixed, "col").select(F.explode(tiles).alias("tile"), "col", "node", "n", "pos", "root")
-             .select(F.xxhash64("col", "tile").alias("g"), "node", "n", "pos", "root").join(classes.select("node", "odd"), "node"))
+    tiled = (placed.join(mixed, "col").select(F.explode(tiles).alias("tile"), "col", "node", "n", "pos", "root", "before")
+             .select(F.xxhash64("col", "tile").alias("g"), "node", "n", "pos", "root", "before").join(classes.select("node", "odd"), "node"))
     rest = roomy(tiled.repartition("g").sortWithinPartitions("g").mapInArrow(lambda b: _apart(b, percent), "hub bigint, node bigint").distinct().join(stars, ["hub", "node"], "left_anti"))
     links = links.unionByName(_multiplied(rest, classes, rows, words, percent, tile))
     found = components(links)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairlight.llm import jaccard
@@ -110,3 +111,30 @@ def test_odd_blocks_never_drop_a_link_and_tell_long_sets_apart():
                 assert d <= len(np.setxor1d(sets[x], sets[y]))
             if n >= 100:  # sets of other members, and of half their members, leave no room for a link, however long
                 assert min(least[i == 0][4:]) > jaccard.most_apart(n, n)
+
+
+def test_a_family_is_joined_before_its_pairs_are_made(spark, monkeypatch):
+    """Copies with two to four of 400 words replaced: pairs link with up to six replaced in both, so the smallest, with four, reaches few."""
+    rnd = random.Random(31)
+    base = [f"w{rnd.randint(0, 10**9)}" for _ in range(400)]
+    docs = []
+    for d in range(160):
+        words = base[: 400 - (d % 3 == 2)]
+        for i in rnd.sample(range(0, 400, 5), 2 + d % 3):
+            words[i] = f"x{rnd.randint(0, 10**9)}"
+        docs.append((d, " ".join(words)))
+    asked, multiplied = [], jaccard._multiplied
+    monkeypatch.setattr(jaccard, "_multiplied", lambda pairs, *rest: asked.append(pairs.count()) or multiplied(pairs, *rest))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in jaccard.similar(df).collect()) == sorted(brute(docs))
+    assert len(asked) == 2 and sum(asked) < 12 * len(docs), asked
+
+
+def test_rows_that_met_in_the_column_before_are_no_pair_again():
+    """Sets 1 and 2 share three columns in a row, sets 1 and 3 only the last of them."""
+    odd = bytes(32)
+    rows = [(g, node, 40, pos, node, before, odd) for g, node, pos, before in
+            [(5, 1, 1, 0), (5, 2, 1, 0), (6, 1, 2, 5), (6, 2, 2, 5), (7, 1, 3, 6), (7, 2, 3, 6), (7, 3, 1, 0)]]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("g", "node", "n", "pos", "root", "before", "odd"), r, strict=True)) for r in rows])
+    made = [(r["hub"], r["node"]) for b in jaccard._apart(iter([batch]), 90) for r in b.to_pylist()]
+    assert sorted(made) == [(1, 2), (1, 3), (2, 3)]
