@@ -13,9 +13,11 @@ end, the occurrences after the first are removed. DataFrame functions only.
 Chunks lose the ends of a passage, whose chunks hold neighbouring lines too.
 `passages` finds every run of `passage_words` words that stands elsewhere
 first, wherever it begins. A window of that many words is named by the least
-hash of its stretches of STRETCH words, equal windows by the same one; only
-windows whose name occurs in two documents, or twice in one, are compared, by
-a 128-bit digest of their words.
+hash of its stretches of STRETCH words, equal windows by the same one, and
+windows of one name in a row are a run. Runs of one name and equal words, by a
+64-bit digest each, go as a whole, all but those of the first document. Only the
+windows of these first ones whose name occurs in runs of other words, or twice in
+one document, are compared, by a 128-bit digest of their words.
 """
 
 from __future__ import annotations
@@ -93,17 +95,34 @@ def _spread(x: Column, width: int, now: int, op) -> tuple[Column, int]:
     return F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - by, F.lit(0))), F.slice(x, by + 1, F.greatest(F.size(x) - by, F.lit(0))), op), now + by
 
 
-def _names(words: Column, n: int) -> Column:
-    """For each window of n words, its name."""
+def _names(hashed: Column, n: int) -> Column:
+    """For each window of n words, its name; `hashed` are the words' hashes."""
     def grown(x: Column, now: int, width: int, op, then) -> Column:
         if now == width:
             return then(x)
         made, wider = _spread(x, width, now, op)
         return let(made, lambda m: grown(m, wider, width, op, then))
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
     least = lambda s: grown(s, 1, n - STRETCH + 1, lambda a, b: F.least(a, b), lambda m: m)
-    return let(hashed, lambda h: grown(h, 1, STRETCH, lambda a, b: F.xxhash64(a, b), least))
+    return grown(hashed, 1, STRETCH, lambda a, b: F.xxhash64(a, b), least)
+
+
+def _runs(words: Column, n: int) -> Column:
+    """The windows of n words as runs of equal names: name, at (from 1), n, digest of the run's words, whether the text has the name again."""
+    def cells(h: Column, names: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(names)), lambda i: (i == 1) | (F.get(names, i - 1) != F.get(names, i - 2)))
+
+        def made(b: Column) -> Column:
+            here = F.array_sort(F.transform(b, lambda i: F.get(names, i - 1)))
+            again = let(here, lambda x: F.filter(x, lambda v, k: (k > 0) & (v == F.get(x, k - 1))))
+            ends = lambda k: F.coalesce(F.get(b, k + 1), F.size(names) + 1)
+            return let(again, lambda twice: F.transform(b, lambda i, k: let(F.slice(h, i, ends(k) - i + n - 1), lambda own: F.struct(
+                F.get(names, i - 1).alias("name"), i.alias("at"), (ends(k) - i).alias("n"), F.xxhash64(own).alias("words"),
+                F.array_contains(twice, F.get(names, i - 1)).alias("twice")))))
+
+        return F.when(F.size(names) > 0, let(begins, made))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(_names(h, n), lambda names: cells(h, names)))
 
 
 def passages(docs: DataFrame, n: int = MIN_WORDS) -> DataFrame:
@@ -113,14 +132,14 @@ def passages(docs: DataFrame, n: int = MIN_WORDS) -> DataFrame:
     """
     if n < STRETCH:
         raise ValueError(f"windows need {STRETCH} words")
-    # windows in a row mostly have one name: a row for each stretch of them
-    found = docs.select("owner", "version", _names(_words(F.col("text")), n).alias("names")).where(F.size("names") > 0)
-    begins = F.filter(F.sequence(F.lit(1), F.size("names")), lambda i: (i == 1) | (F.get("names", i - 1) != F.get("names", i - 2)))
-    cells = let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get("names", i - 1).alias("name"), i.alias("at"), (F.coalesce(F.get(b, k + 1), F.size("names") + 1) - i).alias("n"))))
-    runs = cut(found.select("owner", "version", F.explode(cells).alias("c")).select("owner", "version", "c.name", "c.at", "c.n"))
+    runs = cut(docs.select("owner", "version", F.explode(_runs(_words(F.col("text")), n)).alias("c")).select("owner", "version", "c.*"))
+    equal = runs.groupBy("name", "words").agg(F.min("owner").alias("first"), F.max("owner").alias("last"), F.max("n").alias("longest"), F.max("twice").alias("twice"))
     # a text can repeat itself inside one run of equal names (a run of one word)
-    often = runs.groupBy("name").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("longest")).where(f"many > 1 or longest > {n}").select("name")
-    asked = runs.join(often, "name", "left_semi").groupBy("owner", "version").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    often = equal.groupBy("name").agg(F.count(F.lit(1)).alias("kinds"), F.max("longest").alias("longest"), F.max("twice").alias("twice")).where(f"kinds > 1 or longest > {n} or twice").select("name", F.lit(True).alias("often"))
+    told = cut(equal.join(often, "name", "left").where("often or first < last").select("name", "words", "first", F.coalesce("often", F.lit(False)).alias("often")))
+    met = cut(runs.join(told, ["name", "words"]).where("often or owner > first").select("owner", "version", "at", "n", (F.col("owner") > F.col("first")).alias("whole")))
+    whole = met.where("whole").select("owner", "version", F.sequence("at", F.col("at") + F.col("n") - 1).alias("at"))
+    asked = met.where("not whole").groupBy("owner", "version").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
     texts = docs.join(asked, ["owner", "version"])
     at = F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["n"] - 1)))
     digests = let(_words(F.col("text")), lambda w: F.transform(at, lambda i: F.struct(i.alias("at"), F.unhex(F.md5(F.array_join(F.slice(w, i, F.lit(n)), " "))).alias("d"))))
@@ -128,8 +147,8 @@ def passages(docs: DataFrame, n: int = MIN_WORDS) -> DataFrame:
     windows = cut(windows)
     first = windows.groupBy("d").agg(F.min("owner").alias("first"), F.sum(F.size("at")).alias("n")).where("n > 1").select("d", "first")
     gone = F.when(F.col("owner") > F.col("first"), F.col("at")).otherwise(F.filter("at", lambda i: i >= F.get("at", F.lit(0)) + n))
-    return (windows.join(first, "d").select("owner", "version", gone.alias("at")).where(F.size("at") > 0)
-            .groupBy("owner", "version").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("starts")))
+    return (windows.join(first, "d").select("owner", "version", gone.alias("at")).where(F.size("at") > 0).unionByName(whole)
+            .groupBy("owner", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("starts")))
 
 
 def _without(text: Column, chunked: Column, gone: Column, starts: Column, n: int) -> tuple[Column, Column]:
@@ -156,23 +175,27 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lon
     The first occurrence is the one in the smallest doc_id, then the earliest
     in its text; rows with one doc_id count as one document and keep each
     other's chunks, rows without doc_id come last. Null text gives text_kept
-    null and zeros. Two chunks of equal digest and different bytes both stay.
+    null and zeros. Bytes are compared by a 128-bit digest beside the one of 64 bits that groups
+    chunks; two chunks with one of the latter and different bytes both stay.
     Columns of `docs` with one of the new names are replaced; the others,
     repeated rows included, stay. An empty table gives an empty table.
     """
     base = docs.drop("text_kept", "n_lines", "n_chunks", "n_removed", "removed_chars", *(["text_own", "n_passages"] if passage_words else []))
     key = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_LAST))
-    source = docs.select(key.alias("owner"), F.xxhash64(text).alias("version"), F.posexplode(chunks(F.col(text), long_words)).alias("no", "chunk"))
-    found = (source.select("owner", "version", "no", "chunk", _bare(F.col("chunk")).alias("bytes"))
-             .where(_counts(F.col("chunk"), F.col("bytes"), min_words)).select("owner", "version", "no", "bytes", F.xxhash64("bytes").alias("d")))
-    # equal bytes are one group: copies meet in partial sums, before anything is moved
+    # what later steps need of the chunks: their digests, not their bytes
+    told = let(chunks(F.col(text), long_words), lambda c: F.struct(F.size(F.flatten(c)).alias("n_lines"), F.size(c).alias("n_chunks"), F.filter(F.transform(c, lambda x, i: let(_bare(x), lambda bare: F.when(
+        _counts(x, bare, min_words), F.struct(i.alias("no"), F.xxhash64(bare).alias("d"), F.unhex(F.md5(bare)).alias("bytes"))))), lambda x: x.isNotNull()).alias("found")))
+    marked = cut(docs.select(key.alias("owner"), F.xxhash64(text).alias("version"), told.alias("c")).select("owner", "version", "c.*"))
+    found = marked.select("owner", "version", F.explode("found").alias("f")).select("owner", "version", "f.*")
     by_bytes = found.groupBy("d", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("first"))
     repeated = by_bytes.groupBy("d").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"), F.min("first").alias("first")).where("n > 1 and texts = 1")
     own = found.groupBy("owner", "version", "d").agg(F.sort_array(F.collect_set("no")).alias("nos"))
     drop = (own.join(repeated, "d").select("owner", "version", F.when(F.col("owner") == F.col("first"), F.slice("nos", F.lit(2), F.size("nos"))).otherwise(F.col("nos")).alias("nos"))
             .where(F.size("nos") > 0).groupBy("owner", "version").agg(F.flatten(F.collect_list("nos")).alias("nos")))
+    sizes = marked.groupBy("owner", "version").agg(F.first("n_lines").alias("_n_lines"), F.first("n_chunks").alias("_n_chunks"))
     there = base.withColumns({"_owner": key, "_version": F.xxhash64(text)})
     joined = there.join(drop.select(F.col("owner").alias("_owner"), F.col("version").alias("_version"), F.col("nos").alias("_nos")), ["_owner", "_version"], "left")
+    joined = joined.join(sizes.withColumnsRenamed({"owner": "_owner", "version": "_version"}), ["_owner", "_version"], "left")
     starts = F.lit(None).cast("array<int>")
     if passage_words:
         again = passages(docs.select(key.alias("owner"), F.xxhash64(text).alias("version"), F.col(text).alias("text")), passage_words)
@@ -183,9 +206,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lon
         gone = F.map_from_entries(F.transform(F.array_distinct(F.coalesce("_nos", F.array().cast("array<int>"))), lambda x: F.struct(x, F.lit(True))))
         kept = F.when(F.col("_nos").isNull(), F.col(text)).otherwise(let(gone, lambda g: F.array_join(F.flatten(F.filter(c, lambda x, i: g[i].isNull())), "")))
         own = let(gone, lambda g: F.struct(*(x.alias(name) for x, name in zip(_without(F.col(text), c, g, starts, passage_words or 0), ("text_own", "n_passages")))))
-        return F.struct(kept.alias("text_kept"), F.size(F.flatten(c)).alias("n_lines"), F.size(c).alias("n_chunks"), F.when(starts.isNotNull(), own).alias("own"))
+        return F.struct(kept.alias("text_kept"), F.when(starts.isNotNull(), own).alias("own"))
 
-    out = joined.withColumn("_r", let(chunks(F.col(text), long_words), rebuilt))
+    whole = F.struct(F.col(text).alias("text_kept"), F.lit(None).cast("struct<text_own:string,n_passages:int>").alias("own"))
+    out = joined.withColumn("_r", F.when(F.col("_nos").isNull() & starts.isNull(), whole).otherwise(let(chunks(F.col(text), long_words), rebuilt)))
     more = [F.coalesce("_r.own.text_own", "_r.text_kept").alias("text_own"), F.coalesce("_r.own.n_passages", F.lit(0)).alias("n_passages")] if passage_words else []
-    return out.select(*[out[c] for c in base.columns], "_r.text_kept", "_r.n_lines", "_r.n_chunks", F.coalesce(F.size("_nos"), F.lit(0)).alias("n_removed"),
+    return out.select(*[out[c] for c in base.columns], "_r.text_kept", F.col("_n_lines").alias("n_lines"), F.col("_n_chunks").alias("n_chunks"), F.coalesce(F.size("_nos"), F.lit(0)).alias("n_removed"),
                       F.coalesce(F.length(text) - F.length("_r.text_kept"), F.lit(0)).alias("removed_chars"), *more)

@@ -158,3 +158,38 @@ def test_op8_query_has_no_repeated_passages(spark):
     want = {d: without(text, gone[d]) if repeated[d] else kept[d][0] for d, text in docs}
     got = {r.doc_id: (r.own_chars, r.own_sha256) for r in queries.op8_line_dedup(spark, sf).collect()}
     assert got == {d: (len(t), hashlib.sha256(t.encode()).hexdigest()) for d, t in want.items()}
+
+
+def marks(spark, docs, n=50):
+    """Of each (doc_id, text), the words in the windows that `passages` finds."""
+    df = spark.createDataFrame([(d, d, t) for d, t in docs], "owner long, version long, text string")
+    found = {r.owner: r.starts for r in lines.passages(df, n).collect()}
+    assert all(s == sorted(set(s)) for s in found.values())
+    return {d: {i - 1 + k for i in found.get(d, []) for k in range(n)} for d, _ in docs}
+
+
+def test_passages_of_texts_that_repeat_themselves(spark):
+    rnd = random.Random(23)
+    pool = [" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(20, 130))) for _ in range(6)] + ["x " * 70 + "y", "a b c " * 40, "z " * 130]
+    docs = [(d, " ".join(rnd.choice(pool) if rnd.random() < 0.7 else f"own{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(1, 9)))) for d in range(60)]
+    want = repeated_words(docs)
+    assert marks(spark, docs) == want and sum(map(len, want.values())) > 5000
+
+
+def test_copies_are_not_cut_into_windows(spark, monkeypatch):
+    """Runs of equal words go as a whole: only the ends of a shared passage, and where one copy differs, are compared window by window."""
+    rnd = random.Random(29)
+    prose = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    shared = prose(1500)
+    docs = [(d, " ".join(prose(20) + shared + prose(20))) for d in range(12)] + [(12, " ".join(shared[:700] + prose(1) + shared[701:]))]
+    written, cut = [], lines.cut
+
+    def seen(df):
+        made = cut(df)
+        if "d" in made.columns:
+            written.append(made.count())
+        return made
+
+    monkeypatch.setattr(lines, "cut", seen)
+    assert marks(spark, docs) == repeated_words(docs)
+    assert len(written) == 1 and written[0] < 6000, written
